@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from caselight import config
 from caselight.operators.blocks import dense_rows, vector_size
-from caselight.operators.features import fit_vocabulary, tfidf_stages, with_terms
+from caselight.operators.features import fit_vocabulary, full_partitions, tfidf_stages, with_terms
 from caselight.operators.ordering import head_per_group
 from caselight.session import ensure_checkpoint_dir
 from caselight.shipping import ship_by_value
@@ -36,9 +36,10 @@ def cluster_count(rows: int, k: int) -> int:
 
 def fit_kmeans(features: DataFrame, features_col: str, k: int = 8, seed: int = 42, starts: int = 10) -> KMeansModel:
     """The best of several seeded starts by training cost."""
-    features = features.select(features_col).persist()
+    rows = features.count()
+    k = cluster_count(rows, k)
+    features = full_partitions(features.select(features_col), rows).persist()
     try:
-        k = cluster_count(features.count(), k)
         models = [KMeans(k=k, seed=seed + s, featuresCol=features_col, predictionCol="cluster", maxIter=300)
                   .fit(features) for s in range(starts)]
         return min(models, key=lambda m: m.summary.trainingCost)

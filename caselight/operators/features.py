@@ -107,3 +107,8 @@ def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocab
 def with_terms(docs: DataFrame, text_col: str, vocabulary: Vocabulary, output_col: str = "terms") -> DataFrame:
     terms = K.terms(F.coalesce(F.col(text_col), F.lit("")), vocabulary.stop_words, vocabulary.ngrams)
     return docs.withColumn(output_col, terms)
+
+
+def full_partitions(features: DataFrame, rows: int, at_least: int = 10_000) -> DataFrame:
+    """Merge near-empty partitions before an iterative fit, which runs one job over all of them per step."""
+    return features.coalesce(max(1, rows // at_least))

@@ -9,11 +9,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, StringIndexer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselight import config
-from caselight.operators.features import (Vocabulary, document_terms, fit_vocabulary, tfidf_stages, with_terms)
+from caselight.operators.features import Vocabulary, fit_vocabulary, full_partitions, tfidf_stages, with_terms
 
 
 # --- floor ----------------------------------------------------------------------
@@ -65,10 +65,10 @@ def english_stop_words() -> tuple[str, ...]:
 
 
 def balanced_weights(labelled: DataFrame, label: str) -> DataFrame:
-    """``(label, weight)`` with weight = n / (number of labels * rows of the label); sums to n over the rows."""
+    """``(label, n, weight)`` with weight = n / (number of labels * rows of the label); sums to n over the rows."""
     counts = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.agg((F.sum("n") / F.count(F.lit(1))).alias("share")).scalar()
-    return counts.select(label, (totals / F.col("n")).alias("weight"))
+    return counts.select(label, "n", (totals / F.col("n")).alias("weight"))
 
 
 def fit_intent_model(train: DataFrame, id_col: str, text_col: str, label: str,
@@ -90,13 +90,14 @@ def fit_intent_model(train: DataFrame, id_col: str, text_col: str, label: str,
     features = tfidf_stages(vocabulary, "_terms", "_features")
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(train)
     ready = features.transform(with_terms(train, text_col, vocabulary, "_terms"))
-    ready = indexer.transform(ready).select("_features", "_label", weight.alias("_weight")).persist()
+    rows = sum(row["n"] for row in weights)
+    ready = full_partitions(indexer.transform(ready).select("_features", "_label", weight.alias("_weight")),
+                            rows).persist()
     try:
-        rows = ready.count()
         regression = LogisticRegression(
             featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_prediction",
             probabilityCol="_probability", rawPredictionCol="_raw", regParam=1.0 / (c * rows),
-            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8).fit(ready)
+            elasticNetParam=0.0, standardization=False, maxIter=max_iter).fit(ready)
     finally:
         ready.unpersist()
     naming = IndexToString(inputCol="_prediction", outputCol="_intent", labels=indexer.labels)
