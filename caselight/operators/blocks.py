@@ -41,6 +41,24 @@ class Size:
         return max(1, math.ceil(self.rows / BLOCK_ROWS), math.ceil(self.entries / BLOCK_ENTRIES))
 
 
+def plan_blocks(queries: Size, corpus: Size, groups: int) -> tuple[int, int]:
+    """(query blocks, corpus blocks): within the size bounds, and enough pairs to keep every core busy.
+
+    A side is sent once per block of the other, so the cut that repeats fewer
+    entries is taken each time.
+    """
+    q, d = queries.blocks(), corpus.blocks()
+    while q * d < groups:
+        can_q, can_d = 32 * q < queries.rows, 32 * d < corpus.rows
+        if can_q and (corpus.entries * q <= queries.entries * d or not can_d):
+            q *= 2
+        elif can_d:
+            d *= 2
+        else:
+            break
+    return q, d
+
+
 def text_size(docs: DataFrame, text_col: str) -> Size:
     """Sizes for texts to be turned into term vectors: a token takes three characters with its gap."""
     row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()
@@ -108,7 +126,8 @@ def _sparse_scores(queries: pa.Table, corpus: pa.Table):
         offset = np.repeat(lo[a:b] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
         cell = np.repeat((q_of[a:b] - start) * n_docs, spans) + doc_of[offset]
         value = np.repeat(q_weight[a:b], spans) * w_of[offset]
-        yield start, np.bincount(cell, weights=value, minlength=(stop - start) * n_docs).reshape(-1, n_docs)
+        scores = np.bincount(cell, weights=value, minlength=(stop - start) * n_docs).astype(np.float64)
+        yield start, scores.reshape(-1, n_docs)
         start = stop
 
 
@@ -150,11 +169,8 @@ def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: str, quer
     from pyspark.sql.pandas.types import to_arrow_schema
 
     parallelism = queries.sparkSession.sparkContext.defaultParallelism
-    corpus_blocks = corpus_size.blocks()
-    # small inputs are still cut up so that every core has a group
-    query_blocks = max(query_size.blocks(),
-                       min(math.ceil(2 * parallelism / corpus_blocks), math.ceil(query_size.rows / 32)), 1)
-    groups = corpus_blocks * query_blocks
+    query_blocks, corpus_blocks = plan_blocks(query_size, corpus_size, 2 * parallelism)
+    groups = query_blocks * corpus_blocks
     tasks = min(groups, max(2 * parallelism, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def dealt(df: DataFrame, own: str, id_col: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from caselight import config
-from caselight.operators.blocks import dense_rows, vector_size
+from caselight.operators.blocks import dense_rows
 from caselight.operators.features import fit_vocabulary, full_partitions, tfidf_stages, with_terms
-from caselight.operators.ordering import head_per_group
+from caselight.operators.ordering import head_per_group, sample_n
 from caselight.session import ensure_checkpoint_dir
 from caselight.shipping import ship_by_value
 
@@ -25,6 +26,7 @@ ship_by_value(__name__)
 
 _SALTS = 16
 _PAIR_ROWS = 4_000  # a block pair compares at most about this many rows squared
+_MAX_PIVOTS = 1_000
 
 
 # --- k-means ------------------------------------------------------------------
@@ -85,15 +87,79 @@ def assign_to_centres(vectors: DataFrame, vector_col: str, centres: DataFrame, c
 
 # --- density ------------------------------------------------------------------
 
-def _block_pairs(points: DataFrame, blocks: int, carry: Sequence[str]):
-    """Cogroups of every unordered pair of blocks; each point is sent to the ``blocks`` pairs it is part of."""
-    tasks = max(2 * points.sparkSession.sparkContext.defaultParallelism,
-                min(blocks * (blocks + 1) // 2, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    own = points.select("id", "weight", *carry, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_own"))
-    left = own.withColumn("_i", F.col("_own")).withColumn("_j", F.explode(F.sequence("_own", F.lit(blocks - 1))))
-    right = own.withColumn("_j", F.col("_own")).withColumn("_i", F.explode(F.sequence(F.lit(0), "_own")))
-    return (left.repartition(tasks, "_i", "_j").groupBy("_i", "_j")
-            .cogroup(right.repartition(tasks, "_i", "_j").groupBy("_i", "_j")))
+@dataclass(frozen=True)
+class _Cells:
+    """Points dealt to blocks of bounded size: by nearest pivot, then by a hash of the id within the pivot.
+
+    ``partners`` lists, per pivot, the pivots whose points can lie within the limit.
+    """
+
+    points: DataFrame
+    first: tuple[int, ...]
+    blocks: tuple[int, ...]
+    partners: tuple[tuple[int, ...], ...]
+
+    def total(self) -> int:
+        return sum(self.blocks)
+
+
+def _nearest_pivot(pivots: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            rows = dense_rows(pa.Table.from_batches([batch]), "weight")
+            gaps = np.maximum(2.0 - 2.0 * (rows @ pivots.T), 0.0)
+            best = gaps.argmin(axis=1)
+            away = np.sqrt(gaps[np.arange(len(rows)), best])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(away)],
+                                             names=[*batch.schema.names, "pivot", "away"])
+    return run
+
+
+def _cells(points: DataFrame, rows: int, eps: float) -> _Cells:
+    """Choose pivots by id digest (at most ``_MAX_PIVOTS``), and drop pivot pairs too far apart to matter.
+
+    For x near pivot p and y near pivot q, |x - y| >= |p - q| - |x - p| - |y - q|,
+    so pairs with |p - q| > r_p + r_q + eps hold no neighbours.  The drop is exact.
+    """
+    spark = points.sparkSession
+    wanted = int(min(_MAX_PIVOTS, max(1, rows // _PAIR_ROWS), max(1, rows // 8)))
+    if rows > 256:
+        wanted = max(wanted, spark.sparkContext.defaultParallelism)
+    chosen = sample_n(points, wanted, ["id"]).select("weight").toArrow()  # a bounded handful of vectors
+    pivots = dense_rows(chosen, "weight") if chosen.num_rows else np.zeros((1, 1))
+    schema = T.StructType([*points.schema.fields, T.StructField("pivot", T.IntegerType()),
+                           T.StructField("away", T.DoubleType())])
+    near = points.mapInArrow(_nearest_pivot(pivots), schema).checkpoint()
+    stats = {r["pivot"]: r for r in near.groupBy("pivot").agg(
+        F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}  # one row per pivot
+    count = len(pivots)
+    size = np.array([stats[p]["n"] if p in stats else 0 for p in range(count)])
+    radius = np.array([stats[p]["radius"] if p in stats else 0.0 for p in range(count)])
+    blocks = -(-size // _PAIR_ROWS)
+    first = np.cumsum(blocks) - blocks
+    apart = np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0))
+    reach = apart <= radius[:, None] + radius[None, :] + eps + 1e-6
+    partners = tuple(tuple(int(q) for q in np.flatnonzero(reach[p] & (blocks > 0))) for p in range(count))
+    return _Cells(near.drop("away"), tuple(map(int, first)), tuple(map(int, blocks)), partners)
+
+
+def _block_pairs(cells: _Cells, points: DataFrame, carry: Sequence[str]):
+    """Cogroups of every unordered pair of blocks that can hold neighbours."""
+    spark = points.sparkSession
+    table = spark.createDataFrame(
+        [(p, cells.first[p], cells.blocks[p], [(cells.first[q], cells.blocks[q]) for q in cells.partners[p]])
+         for p in range(len(cells.blocks)) if cells.blocks[p]],
+        "pivot int, first int, n int, near array<struct<first: int, n: int>>")
+    spans = F.flatten(F.transform("near", lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1)))
+    own = (points.join(F.broadcast(table), "pivot")  # at most one row per pivot
+           .select("id", "weight", *carry, (F.col("first") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int").alias("_own"),
+                   spans.alias("_others")))
+    left = own.withColumn("_j", F.explode(F.filter("_others", lambda o: o >= F.col("_own")))).withColumn("_i", F.col("_own"))
+    right = own.withColumn("_i", F.explode(F.filter("_others", lambda o: o <= F.col("_own")))).withColumn("_j", F.col("_own"))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keep = ["id", "weight", *carry, "_i", "_j"]
+    return (left.select(*keep).repartition(tasks, "_i", "_j").groupBy("_i", "_j")
+            .cogroup(right.select(*[F.col(c).alias(c) for c in keep]).repartition(tasks, "_i", "_j").groupBy("_i", "_j")))
 
 
 def _squared_gaps(left: pa.Table, right: pa.Table) -> np.ndarray:
@@ -106,10 +172,10 @@ def _count_near(limit: float, schema: pa.Schema):
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
         near = _squared_gaps(left, right) <= limit
-        ids, counts = [left.column("id")], [near.sum(axis=1)]
+        ids, counts = [left.column("id")], [near @ right.column("copies").to_numpy()]
         if key[0].as_py() != key[1].as_py():
             ids.append(right.column("id"))
-            counts.append(near.sum(axis=0))
+            counts.append(left.column("copies").to_numpy() @ near)
         return pa.table({"id": pa.chunked_array([c for i in ids for c in i.chunks]),
                          "near": pa.array(np.concatenate(counts))}).cast(schema)
     return run
@@ -211,34 +277,35 @@ def density_clusters(vectors: DataFrame, id_col: str, vector_col: str, eps: floa
     Clusters under ``min_size`` (default: a fortieth of the rows, at least 5)
     become noise.  Ids are whole numbers.
     """
-    spark = vectors.sparkSession
-    ensure_checkpoint_dir(spark)
-    points = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("weight"))
-    size = vector_size(points, "weight")
-    blocks = max(1, -(-size.rows // _PAIR_ROWS))
-    if size.rows > 64 * blocks:
-        blocks = max(blocks, min(spark.sparkContext.defaultParallelism, 4))
-    min_size = max(5, size.rows // 40) if min_size is None else min_size
+    ensure_checkpoint_dir(vectors.sparkSession)
+    every = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("weight"))
+    rows = every.count()
+    min_size = max(5, rows // 40) if min_size is None else min_size
     limit = round(eps * eps, 9)
 
-    id_type = points.schema["id"].dataType
+    # exact copies stand as one point that counts as many times; combined before the shuffle
+    points = every.groupBy("weight").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    cells = _cells(points.select("id", "weight", "copies"), rows, eps)
+
+    id_type = every.schema["id"].dataType
     near = T.StructType([T.StructField("id", id_type), T.StructField("near", T.LongType())])
-    counted = _block_pairs(points, blocks, ()).applyInArrow(_count_near(limit, to_arrow_schema(near)), near)
-    flagged = (counted.groupBy("id").agg((F.sum("near") >= min_points).alias("core"))
-               .join(points, "id").checkpoint())
+    counted = _block_pairs(cells, cells.points, ("copies",)).applyInArrow(_count_near(limit, to_arrow_schema(near)), near)
+    core = counted.groupBy("id").agg((F.sum("near") >= min_points).alias("core"))
+    flagged = cells.points.join(core, "id").checkpoint()
 
     link = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type),
                          T.StructField("gap", T.DoubleType()), T.StructField("kind", T.IntegerType())])
-    links = _block_pairs(flagged, blocks, ("core",)).applyInArrow(_links(limit, to_arrow_schema(link)), link).checkpoint()
+    links = _block_pairs(cells, flagged, ("core",)).applyInArrow(_links(limit, to_arrow_schema(link)), link).checkpoint()
     cores = connected_components(flagged.where("core").select("id"), links.where("kind = 0"))
     nearest = links.where("kind = 1").groupBy("a").agg(F.min(F.struct("gap", "b")).alias("best"))
     border = _salted_lookup(nearest.select(F.col("a").alias("id"), F.col("best.b").alias("_core")), "_core",
                             cores.withColumnRenamed("id", "_cid"), "_cid", "id").select("id", "label")
-    member = cores.unionByName(border)
-    large = member.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select(
+    member = flagged.select("id", "weight", "copies").join(cores.unionByName(border), "id").checkpoint()
+    large = member.groupBy("label").agg(F.sum("copies").alias("n")).where(F.col("n") >= min_size).select(
         F.col("label").alias("_large"))
-    kept = _salted_lookup(member, "label", large, "_large", "id").select("id", "label")
-    return (points.select("id").join(kept, "id", "left")
+    kept = _salted_lookup(member, "label", large, "_large", "id").select(F.col("weight").alias("_vector"), "label")
+    placed = _salted_lookup(every, "weight", kept, "_vector", "id").select("id", "label")
+    return (every.select("id").join(placed, "id", "left")
             .select(F.col("id").alias(id_col), F.coalesce("label", F.lit(-1)).cast(id_type).alias("cluster")))
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from caselight import config
 from caselight.config import Grid, Policy
@@ -207,7 +208,7 @@ def spearman_by_axis(merged: DataFrame, axes: Sequence[str] = config.JUDGE_AXES,
             .select("axis", "spearman_rho", _two_sided_p("spearman_rho", "n").alias("p_value"), "n"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided_p(rho: pd.Series, n: pd.Series) -> pd.Series:
     """Student-t tail for a handful of axis rows; Spark has no such function."""
     return pd.Series([t_test_p(r, int(c)) for r, c in zip(rho, n)])

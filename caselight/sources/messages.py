@@ -43,8 +43,8 @@ def write_pairs(pairs: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Drafts, scores or messages; blank and null texts stay distinct."""
-    rows.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue='""').csv(path)
+    """Drafts, scores or messages.  An empty text comes back as null, as CSV readers commonly have it."""
+    rows.write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
 
 
 def write_metrics_json(document: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -165,7 +165,7 @@ def _(spark, sf):
     return C.cluster_report(clustered, "pair_id", "cust")
 
 
-EPS, MIN_POINTS = 1.14, 5
+EPS, MIN_POINTS = 1.16, 5
 
 
 @query("density_clusters", f"""WITH RECURSIVE {UNIT},
@@ -257,3 +257,16 @@ def _(spark, sf):
         "term", "label", ((F.pmod(F.length("term") * F.col("step") + F.col("df"), F.lit(7)) - 3) / 2.0).alias("coefficient"))
     scored = I.score_linear(every, "tweet_id", coefficients, {"alpha": 0.1, "beta": 0.0, "gamma": -0.1})
     return scored.withColumn("confidence", F.round("confidence", 6))
+
+
+# every vector three times over: copies must not change the clusters, only their sizes
+_COPIED = "copied AS (SELECT vec_id * 3 + c AS vec_id, label, embedding FROM embeddings CROSS JOIN (VALUES (0), (1), (2)) t(c)),"
+
+
+@query("density_clusters_copies", SQL["density_clusters"].replace("RECURSIVE ", f"RECURSIVE {_COPIED} ", 1)
+       .replace("v FROM embeddings", "v FROM copied", 1).replace(f">= {MIN_POINTS})", ">= 15)", 1))
+def _(spark, sf):
+    e = B.table(spark, sf, "embeddings", spread=True)
+    copies = e.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c")).withColumn(
+        "vec_id", F.col("vec_id") * 3 + F.col("c"))
+    return C.density_clusters(copies, "vec_id", "embedding", EPS, 15)
