@@ -140,19 +140,20 @@ def _best_k(k: int, scorer: str, query_id: str, doc_id: str, payload: Sequence[s
             return schema.empty_table()
         corpus = corpus.sort_by(doc_id)
         take = min(k, corpus.num_rows)
-        q_rows, d_rows, scores = [], [], []
+        q_rows, d_rows, scores, ranks = [], [], [], []
         for start, block in _SCORERS[scorer](queries, corpus):
             rows = np.arange(len(block))
             ranked = np.round(block, 9)
-            for _ in range(take):  # argmax takes the first of equals, i.e. the smaller id
+            for rank in range(take):  # argmax takes the first of equals, i.e. the smaller id
                 best = np.argmax(ranked, axis=1)
                 q_rows.append(start + rows)
                 d_rows.append(best)
                 scores.append(block[rows, best])
+                ranks.append(np.full(len(rows), rank + 1, np.int32))
                 ranked[rows, best] = -np.inf
         q_rows, d_rows = np.concatenate(q_rows), np.concatenate(d_rows)
-        out = {query_id: queries.column(query_id).take(q_rows), doc_id: corpus.column(doc_id).take(d_rows),
-               "score": pa.array(np.concatenate(scores))}
+        out = {query_id: queries.column(query_id).take(q_rows), "rank": pa.array(np.concatenate(ranks)),
+               doc_id: corpus.column(doc_id).take(d_rows), "score": pa.array(np.concatenate(scores))}
         out.update({c: corpus.column(c).take(d_rows) for c in payload})
         return pa.table(out).select(schema.names).cast(schema)
     return run
@@ -181,9 +182,11 @@ def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: str, quer
 
     left = dealt(queries, "_qb", query_id, query_blocks, "_db", corpus_blocks)
     right = dealt(corpus, "_db", doc_id, corpus_blocks, "_qb", query_blocks)
-    schema = T.StructType([queries.schema[query_id], corpus.schema[doc_id], T.StructField("score", T.DoubleType())]
-                          + [corpus.schema[c] for c in payload])
+    schema = T.StructType([queries.schema[query_id], T.StructField("rank", T.IntegerType()), corpus.schema[doc_id],
+                           T.StructField("score", T.DoubleType()), *[corpus.schema[c] for c in payload]])
     hits = left.groupBy("_qb", "_db").cogroup(right.groupBy("_qb", "_db")).applyInArrow(
         _best_k(k, scorer, query_id, doc_id, tuple(payload), to_arrow_schema(schema)), schema)
+    if corpus_blocks == 1:
+        return hits  # a query met the whole corpus in its one group
     order = [F.desc(F.round("score", 9)), F.asc(doc_id)]
-    return head_per_group(hits, [query_id], order, k, "rank").select(query_id, "rank", doc_id, "score", *payload)
+    return head_per_group(hits.drop("rank"), [query_id], order, k, "rank").select(query_id, "rank", doc_id, "score", *payload)

@@ -1,4 +1,4 @@
-"""Deterministic keep-first, top-n and sampling that stay distributed at any size."""
+"""Deterministic keep-first and sampling that stay distributed at any size."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SHARDS = 64
-
 
 def id_order(*ids: str) -> list[Column]:
     """Numeric order for ids that are digit strings, without parsing them."""
@@ -19,20 +17,15 @@ def head_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
                    rank_col: str | None = None) -> DataFrame:
     """The first ``n`` rows of every group.
 
-    Spark turns ``row_number() <= n`` into a group limit that runs before the
-    shuffle as well, so a hot group arrives as at most ``n`` rows per map task.
+    Spark turns ``row_number() <= n`` (n up to 1000, its default) into a group limit
+    that runs before the shuffle as well, so a hot group arrives as at most ``n``
+    rows per map task.
     """
     rank = rank_col or "_rank"
     out = df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
     return out if rank_col else out.drop(rank)
 
 
-def top_n(df: DataFrame, n: int, order: Sequence[Column], shard_on: Sequence[str]) -> DataFrame:
-    """Exact global top ``n``: first per hash shard, then over the at most 64 n survivors."""
-    sharded = df.withColumn("_shard", F.pmod(F.xxhash64(*shard_on), F.lit(_SHARDS)))
-    return head_per_group(sharded, ["_shard"], order, n).drop("_shard").orderBy(*order).limit(n)
-
-
 def sample_n(df: DataFrame, n: int | None, id_cols: Sequence[str], seed: int = 42) -> DataFrame:
     """A uniform sample of ``n`` rows that depends only on the seed and the ids.
 

@@ -42,11 +42,14 @@ def fit_index(corpus: DataFrame, doc_id: str, text_col: str, payload: Sequence[s
 
 
 def search(index: SparseIndex, queries: DataFrame, query_id: str, text_col: str, k: int = config.TOP_K,
-           pad: bool = True) -> DataFrame:
-    """``(query_id, rank, doc_id, score, *payload)``; without ``pad`` hits of score zero are left out."""
+           pad: bool = True, query_size: Size | None = None) -> DataFrame:
+    """``(query_id, rank, doc_id, score, *payload)``; without ``pad`` hits of score zero are left out.
+
+    ``query_size`` spares the pass that measures the queries.
+    """
     vectors = tfidf_vectors(queries, query_id, text_col, index.vocabulary, index.stages)
     hits = block_top_k(vectors, index.vectors, k, "sparse", query_id, index.doc_id,
-                       text_size(queries, text_col), index.size, index.payload)
+                       query_size or text_size(queries, text_col), index.size, index.payload)
     return hits if pad else hits.where(F.col("score") > 0)
 
 

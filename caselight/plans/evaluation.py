@@ -12,9 +12,10 @@ from caselight.config import Grid, Policy
 from caselight.functions import text as T
 from caselight.operators import intents, metrics
 from caselight.operators import retrieval as R
-from caselight.operators.requests import (attach_responses, classify_requests, judge_requests, labels_from_responses,
-                                          reply_requests, scores_from_responses)
+from caselight.operators.requests import (attach_responses, judge_requests, labels_from_responses, reply_requests,
+                                          scores_from_responses)
 from caselight.plans.handling import Classifier, escalation_eval, score_messages
+from caselight.sources.messages import write_metrics_json
 
 
 def weakly_labelled(pairs: DataFrame, text_col: str = "cust_text_clean",
@@ -55,24 +56,18 @@ def _many(frame: DataFrame, order: Sequence[str]):
 
 def metrics_document(scored: DataFrame, baselines: DataFrame, text_col: str, truth: str = "should_escalate",
                      source: str = "source", judge: DataFrame | None = None, agreement: DataFrame | None = None,
-                     grid: Grid = Grid(), policy: Policy = Policy(), max_examples: int = 100) -> DataFrame:
-    """All results in one nested row.
-
-    Missed escalations are listed up to ``max_examples`` with their full count
-    beside them, so that the one row stays small; ``escalation_eval`` returns all.
-    """
+                     grid: Grid = Grid(), policy: Policy = Policy()) -> DataFrame:
+    """All results in one nested row; of the missed escalations, which may be many, their number."""
     escalation, missed = escalation_eval(scored, text_col, truth, policy)
     sweep = metrics.threshold_sweep(scored, truth, text_col, "intent", "confidence", "top1_score", "negative", grid,
                                     policy)
     spark = scored.sparkSession
-    examples = missed.select(F.col(text_col).alias("text"), "reason").orderBy("text").limit(max_examples)
     columns = [
         scored.agg(F.count(F.lit(1)).alias("n")).scalar().alias("golden_set_size"),
         _many(metrics.source_counts(scored, source), [source]).alias("golden_set_sources"),
         _many(baselines, ["model"]).alias("intent_classification"),
         _one(escalation).alias("escalation"),
         missed.agg(F.count(F.lit(1)).alias("n")).scalar().alias("false_negatives"),
-        _many(examples, ["text"]).alias("false_negative_examples"),
         _many(sweep, ["confidence_threshold", "retrieval_threshold"]).alias("escalation_threshold_sweep"),
         F.struct(F.lit(policy.confidence_threshold).alias("confidence_threshold_used"),
                  F.lit(policy.retrieval_threshold).alias("retrieval_threshold_used")).alias("config"),
@@ -84,6 +79,14 @@ def metrics_document(scored: DataFrame, baselines: DataFrame, text_col: str, tru
     return spark.range(1).select(*columns)
 
 
+def write_evaluation(scored: DataFrame, baselines: DataFrame, text_col: str, path: str,
+                     truth: str = "should_escalate", policy: Policy = Policy(), **rest) -> None:
+    """The document under ``metrics`` and every missed escalation, with its reason, under ``false_negatives``."""
+    write_metrics_json(metrics_document(scored, baselines, text_col, truth, policy=policy, **rest), f"{path}/metrics")
+    missed = escalation_eval(scored, text_col, truth, policy)[1]
+    missed.select(F.col(text_col).alias("text"), "reason").write.mode("overwrite").json(f"{path}/false_negatives")
+
+
 # --- drafts and grades through request / response tables ----------------------------------------
 
 def draft_requests(golden: DataFrame, label_responses: DataFrame, index: R.SparseIndex, id_col: str,
@@ -106,6 +109,3 @@ def score_drafts(cases: DataFrame, reply_responses: DataFrame, id_col: str, text
         scores = scores_from_responses(drafts.select(id_col), judge_responses, id_col)
     return drafts, requests, scores
 
-
-__all__ = ["weakly_labelled", "train_eval_baselines", "scored_golden", "metrics_document", "draft_requests",
-           "score_drafts", "classify_requests"]

@@ -74,7 +74,7 @@ def _label_answers(spark, sf):
     conv = F.substring_index("tweet_id", ":", 1).cast("int")
     label = B.pick(config.LABELS, conv + turn)
     raw = (F.when(conv % 3 == 0, label).when(conv % 3 == 1, F.concat(F.lit("The label is "), F.upper(label), F.lit(".")))
-           .otherwise(F.substring("text", 1, 60)))
+           .otherwise(F.col("text")))
     return _asked(spark, sf).select("tweet_id", raw.alias("raw"))
 
 
@@ -82,7 +82,7 @@ _CONV, _TURN = "CAST(split_part(tweet_id, ':', 1) AS INTEGER)", "CAST(split_part
 _PICKED = B.sql_pick(config.LABELS, f"{_CONV} + {_TURN}")
 _KEPT = "regexp_replace(lower(raw), '[^a-z_]', '', 'g')"
 LABEL_ANSWERS = f"""label_answers AS (SELECT tweet_id, CASE {_CONV} % 3 WHEN 0 THEN {_PICKED}
-  WHEN 1 THEN 'The label is ' || upper({_PICKED}) || '.' ELSE substr(text, 1, 60) END AS raw FROM msgs WHERE inbound = 'True'),
+  WHEN 1 THEN 'The label is ' || upper({_PICKED}) || '.' ELSE text END AS raw FROM msgs WHERE inbound = 'True'),
 parsed AS (SELECT tweet_id, CASE WHEN list_contains([{', '.join(map(B.lit, config.LABELS))}], kept) THEN kept
   {' '.join(f"WHEN contains(kept, {B.lit(l)}) THEN {B.lit(l)}" for l in config.LABELS)} ELSE 'other_uncategorised' END AS label,
   (CASE WHEN list_contains([{', '.join(map(B.lit, config.LABELS))}], kept) THEN 1.0 WHEN {B.sql_any('kept', config.LABELS)} THEN 0.5
@@ -226,11 +226,10 @@ def _(spark, sf):
     scored = E.scored_golden(golden, index, H.model_classifier(model), "tweet_id", "text")
     answers = B.judge_answers(spark, sf)
     judged = Q.scores_from_responses(answers.select("tweet_id"), answers, "tweet_id")
-    document = E.metrics_document(scored, baselines, "text", judge=judged,
-                                  agreement=M.ratings_join(judged, B.human_ratings(spark, sf)))
     path = scratch_dir(spark, "metrics")
-    S.write_metrics_json(document, path)
-    return spark.read.text(path)
+    E.write_evaluation(scored, baselines, "text", path, judge=judged,
+                       agreement=M.ratings_join(judged, B.human_ratings(spark, sf)))
+    return spark.read.text(f"{path}/metrics")
 
 
 @query("score_drafts", f"""WITH {B.MESSAGES}, asked AS (SELECT tweet_id, text FROM msgs WHERE inbound = 'True'),
@@ -240,7 +239,7 @@ SELECT count(*) AS n_scored, round(avg(1 + l % 5), 6) AS groundedness, round(avg
 def _(spark, sf):
     asked = _asked(spark, sf)
     cases, requests = E.draft_requests(asked, _label_answers(spark, sf), _index(spark, sf), "tweet_id", "text")
-    drafts = requests.select("tweet_id", F.concat(F.lit("We read: "), F.substring("user", 1, 80)).alias("raw"))
+    drafts = requests.select("tweet_id", F.concat(F.lit("We read: "), "user").alias("raw"))
     n = F.length("text")
     grades = F.format_string('{"groundedness": %d, "correctness": %d, "brand_voice": %d, "actionability": %d, "safety": 5, '
                              '"rationale": "ok"}', 1 + n % 5, 1 + n % 4, 1 + n % 3, 1 + n % 2)

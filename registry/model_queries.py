@@ -186,10 +186,10 @@ def _(spark, sf):
 def _clustered(spark, sf):
     """Documents in the clusters of their source."""
     number = F.regexp_extract("source", "[0-9]+", 0).cast("int")
-    return _docs(spark, sf).select("doc_id", F.substring("text", 1, 40).alias("text"), number.alias("cluster"))
+    return _docs(spark, sf).select("doc_id", "text", number.alias("cluster"))
 
 
-CLUSTERED = "clustered AS (SELECT doc_id, substr(text, 1, 40) AS text, regexp_extract(source, '[0-9]+')::INTEGER AS cluster FROM documents)"
+CLUSTERED = "clustered AS (SELECT doc_id, text, regexp_extract(source, '[0-9]+')::INTEGER AS cluster FROM documents)"
 
 
 @query("cluster_report", f"""WITH {CLUSTERED}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY doc_id)::INTEGER AS rank,

@@ -148,3 +148,13 @@ def test_block_plan():
     assert B.plan_blocks(B.Size(10**9, 10**10), B.Size(20_000, 10**6), 16) == (50_000, 1)
     q, d = B.plan_blocks(B.Size(200, 10**4), B.Size(10_000, 10**7), 16)
     assert d > q and q * d >= 16
+
+
+@pytest.mark.parametrize("n", [1, 130, 800, 5000])
+def test_top_terms_exact_with_one_shuffle_of_terms(spark, plan, n):
+    counts = spark.range(3000).selectExpr("concat('t', id) AS term", "id % 50 + 1 AS tf").repartition(3)
+    frequencies = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    top = FE.top_terms(frequencies, n)
+    want = sorted(range(3000), key=lambda i: (-(i % 50 + 1), f"t{i}"))[:n]
+    assert [r["term"] for r in top.collect()] == [f"t{i}" for i in want]
+    assert "ReusedExchange" in plan(top, "simple")
