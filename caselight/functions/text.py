@@ -5,7 +5,7 @@ Java's ``\\w \\d \\s \\b`` are ASCII by default, so the classes are spelled out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,39 +25,60 @@ LONG_NUMBER = rf"(?<![{WORD}])\p{{Nd}}{{6,}}(?![{WORD}])"
 # Windows-1252 characters that stand for bytes 0x80-0x9F.
 _CP1252 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0)
            if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
-_MOJIBAKE = (r"[\x{c2}-\x{df}][\x{80}-\x{bf}]|[\x{e0}-\x{ef}][\x{80}-\x{bf}]{2}"
-             r"|[\x{f0}-\x{f4}][\x{80}-\x{bf}]{3}")
-_CONTROL = (r"[\x00-\x08\x0b\x0e-\x1f\x7f\x{206a}-\x{206f}\x{feff}\x{fff9}-\x{fffc}]")
+_EXTRA = "".join(_CP1252.values())
+_TAIL = rf"[\x{{80}}-\x{{bf}}{_EXTRA}]"
+# only characters that stand for one byte, and among them a lead byte with its followers
+_MOJIBAKE = (rf"(?s)^(?=[\x00-\x{{ff}}{_EXTRA}]*+$).*?"
+             rf"(?:[\x{{c2}}-\x{{df}}]{_TAIL}|[\x{{e0}}-\x{{ef}}]{_TAIL}{{2}}|[\x{{f0}}-\x{{f4}}]{_TAIL}{{3}})")
+_CONTROL = r"\x00-\x08\x0b\x0e-\x1f\x7f\x{206a}-\x{206f}\x{feff}\x{fff9}-\x{fffc}"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_ODD = "ʼ‘’‚‛“”„‟　" + _WIDE
+_PLAIN = "'" * 5 + '"' * 4 + " " + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
+_CROOKED = (rf"[ʼ\x{{2018}}-\x{{201f}}\x{{3000}}\x{{ff01}}-\x{{ff5e}}\x{{fb00}}-\x{{fb06}}\r\x{{85}}\x{{2028}}\x{{2029}}"
+            rf"{_CONTROL}]")
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st"}
 # "&amp;" last: what it uncovers is not decoded again.
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
              ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def decode_entities(text: Column) -> Column:
     """Common HTML entities; text that holds a literal ``<`` is left alone (it is markup)."""
-    decoded = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ENTITIES, text)
-    return F.when(F.contains(text, F.lit("<")), text).otherwise(decoded)
+    def decoded(t: Column) -> Column:
+        out = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ENTITIES, t)
+        return F.when(F.contains(t, F.lit("&")) & ~F.contains(t, F.lit("<")), out).otherwise(t)
+
+    return bind(text, decoded)
 
 
 def repair_mojibake(text: Column) -> Column:
     """UTF-8 that was read as Windows-1252 or Latin-1, when the whole text allows it."""
-    as_bytes = F.translate(text, "".join(_CP1252.values()), "".join(map(chr, _CP1252)))
-    eligible = as_bytes.rlike(_MOJIBAKE) & ~as_bytes.rlike(r"[^\x00-\x{ff}]")
-    # ineligible rows are blanked inside the branch: encode() raises on what it cannot map
-    safe = F.when(eligible, as_bytes).otherwise(F.lit(""))
-    repaired = F.try_validate_utf8(F.encode(safe, "ISO-8859-1").cast("string"))
-    return F.when(eligible, F.coalesce(repaired, text)).otherwise(text)
+    def repaired(t: Column) -> Column:
+        eligible = t.rlike(_MOJIBAKE)
+        as_bytes = F.translate(t, _EXTRA, "".join(map(chr, _CP1252)))
+        # blanked inside the branch as well: encode() raises on what it cannot map
+        safe = F.when(eligible, as_bytes).otherwise(F.lit(""))
+        fixed = F.try_validate_utf8(F.encode(safe, "ISO-8859-1").cast("string"))
+        return F.when(eligible, F.coalesce(fixed, t)).otherwise(t)
+
+    return bind(text, repaired)
 
 
 def straighten(text: Column) -> Column:
     """Curly quotes, ligatures, full-width ASCII, line ends and control characters."""
-    text = F.translate(text, "ʼ‘’‚‛“”„‟", "'''''\"\"\"\"")
-    wide = [chr(c) for c in range(0xFF01, 0xFF5F)]
-    text = F.translate(text, "".join(wide) + "　", "".join(chr(ord(c) - 0xFEE0) for c in wide) + " ")
-    text = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _LIGATURES.items(), text)
-    text = F.regexp_replace(text, r"\r\n|[\r\x{85}\x{2028}\x{2029}]", "\n")
-    return F.regexp_replace(text, _CONTROL, "")
+    def straight(t: Column) -> Column:
+        out = F.translate(t, _ODD, _PLAIN)
+        out = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _LIGATURES.items(), out)
+        out = F.regexp_replace(out, r"\r\n|[\r\x{85}\x{2028}\x{2029}]", "\n")
+        out = F.regexp_replace(out, f"[{_CONTROL}]", "")
+        return F.when(t.rlike(_CROOKED), out).otherwise(t)  # most texts have nothing to straighten
+
+    return bind(text, straight)
 
 
 def fix_encoding(text: Column) -> Column:
@@ -82,7 +103,8 @@ def redact_pii(text: Column) -> Column:
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, rf"[{SPACE}]+", " "))
+    # a lone blank is already right, so most gaps need no replacement
+    return F.trim(F.regexp_replace(text, rf"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " "))
 
 
 def clean_text(text: Column, scrub_pii: bool = True, brands: Sequence[str] = config.BRAND_HANDLES,

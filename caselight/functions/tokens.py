@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from caselight.functions.text import WORD
+from caselight.functions.text import WORD, bind
 
 TOKEN = rf"[{WORD}]{{2,}}"
 
@@ -23,11 +23,6 @@ def drop_stop_words(tokens: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*stop_words))
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with ``value`` evaluated once; a plain column inside a lambda is evaluated per element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def bigrams(tokens: Column) -> Column:
     """Neighbouring tokens joined by one blank."""
     rest = F.greatest(F.size(tokens) - 1, F.lit(0))

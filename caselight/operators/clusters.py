@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -36,14 +38,21 @@ def cluster_count(rows: int, k: int) -> int:
     return min(k, max(2, rows // 3)) if rows < 3 * k else k
 
 
-def fit_kmeans(features: DataFrame, features_col: str, k: int = 8, seed: int = 42, starts: int = 10) -> KMeansModel:
-    """The best of several seeded starts by training cost."""
-    rows = features.count()
+def fit_kmeans(features: DataFrame, features_col: str, k: int = 8, seed: int = 42, starts: int = 10,
+               parallelism: int = 4) -> KMeansModel:
+    """The best of several seeded starts by training cost; a few starts run side by side."""
+    spark, rows = features.sparkSession, features.count()
     k = cluster_count(rows, k)
     features = full_partitions(features.select(features_col), rows).persist()
     try:
-        models = [KMeans(k=k, seed=seed + s, featuresCol=features_col, predictionCol="cluster", maxIter=300)
-                  .fit(features) for s in range(starts)]
+        features.count()
+
+        def fit(start: int) -> KMeansModel:
+            return KMeans(k=k, seed=seed + start, featuresCol=features_col, predictionCol="cluster", maxIter=300).fit(
+                features)
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            models = list(pool.map(inheritable_thread_target(spark)(fit), range(starts)))
         return min(models, key=lambda m: m.summary.trainingCost)
     finally:
         features.unpersist()

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,10 +42,10 @@ def document_terms(docs: DataFrame, id_col: str, text_col: str, stop_words: Sequ
 
 def term_frequencies(docs: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] = (),
                      ngrams: int = 2) -> DataFrame:
-    """``(term, total, df)`` over the corpus; frequent terms collapse before the shuffle."""
+    """``(term, df, total)`` over the corpus; frequent terms collapse before the shuffle."""
     return (document_terms(docs, id_col, text_col, stop_words, ngrams)
             .where(F.col("term").isNotNull())
-            .groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")))
+            .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")))
 
 
 def top_terms(frequencies: DataFrame, n: int) -> DataFrame:
@@ -56,7 +56,7 @@ def top_terms(frequencies: DataFrame, n: int) -> DataFrame:
     The drop is exact: terms go only when ``n`` others lie in higher buckets.
     """
     sized = frequencies.withColumn("_magnitude", F.floor(F.log2("total")))
-    # df is read along so that histogram and filter share one shuffle of the term counts
+    # df is read along, and comes first in the counts, so that histogram and filter share their shuffle
     histogram = sized.groupBy("_magnitude").agg(F.count(F.lit(1)).alias("_n"), F.sum("df").alias("_df"))
     above = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_magnitude")).rowsBetween(Window.unboundedPreceding, -1)),
                        F.lit(0))
@@ -100,11 +100,13 @@ def tfidf_stages(vocabulary: Vocabulary, input_col: str = "terms", output_col: s
     Spark's own IDF lacks the +1, so counts are scaled by the fitted idf.  At most
     ``max_features`` terms are read to the driver, which is what the stage holds.
     """
-    rows = vocabulary.frame.orderBy("idx").select("term", "idf").collect()
-    if not rows:
+    idf = {r["term"]: r["idf"] for r in vocabulary.frame.select("term", "idf").collect()}
+    if not idf:
         raise ValueError("the corpus has no terms")
-    counts = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], input_col, "_counts")
-    scale = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="_counts",
+    # fitting on one row that holds every term once keeps the list inside the JVM; the stage picks its own order
+    every = vocabulary.frame.agg(F.collect_list("term").alias(input_col))
+    counts = CountVectorizer(inputCol=input_col, outputCol="_counts", vocabSize=len(idf)).fit(every)
+    scale = ElementwiseProduct(scalingVec=Vectors.dense([idf[t] for t in counts.vocabulary]), inputCol="_counts",
                                outputCol="_scaled")
     return PipelineModel([counts, scale, Normalizer(p=2.0, inputCol="_scaled", outputCol=output_col)])
 
