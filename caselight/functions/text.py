@@ -27,10 +27,13 @@ _CP1252 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0)
            if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 _EXTRA = "".join(_CP1252.values())
 _TAIL = rf"[\x{{80}}-\x{{bf}}{_EXTRA}]"
+_SUSPECT = rf"[\x{{c2}}-\x{{f4}}]{_TAIL}"  # a cheap look that settles most texts
 # only characters that stand for one byte, and among them a lead byte with its followers
 _MOJIBAKE = (rf"(?s)^(?=[\x00-\x{{ff}}{_EXTRA}]*+$).*?"
              rf"(?:[\x{{c2}}-\x{{df}}]{_TAIL}|[\x{{e0}}-\x{{ef}}]{_TAIL}{{2}}|[\x{{f0}}-\x{{f4}}]{_TAIL}{{3}})")
 _CONTROL = r"\x00-\x08\x0b\x0e-\x1f\x7f\x{206a}-\x{206f}\x{feff}\x{fff9}-\x{fffc}"
+# plain ranges that hold all that is straightened; cheap looks that settle most texts
+_HIGH, _LOW = r"[\x{2bc}-\x{ffff}]", r"[\x00-\x08\x0b-\x1f\x7f-\x{85}]"
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _ODD = "ʼ‘’‚‛“”„‟　" + _WIDE
 _PLAIN = "'" * 5 + '"' * 4 + " " + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
@@ -59,7 +62,7 @@ def decode_entities(text: Column) -> Column:
 def repair_mojibake(text: Column) -> Column:
     """UTF-8 that was read as Windows-1252 or Latin-1, when the whole text allows it."""
     def repaired(t: Column) -> Column:
-        eligible = t.rlike(_MOJIBAKE)
+        eligible = t.rlike(_SUSPECT) & t.rlike(_MOJIBAKE)
         as_bytes = F.translate(t, _EXTRA, "".join(map(chr, _CP1252)))
         # blanked inside the branch as well: encode() raises on what it cannot map
         safe = F.when(eligible, as_bytes).otherwise(F.lit(""))
@@ -76,7 +79,7 @@ def straighten(text: Column) -> Column:
         out = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _LIGATURES.items(), out)
         out = F.regexp_replace(out, r"\r\n|[\r\x{85}\x{2028}\x{2029}]", "\n")
         out = F.regexp_replace(out, f"[{_CONTROL}]", "")
-        return F.when(t.rlike(_CROOKED), out).otherwise(t)  # most texts have nothing to straighten
+        return F.when((t.rlike(_HIGH) | t.rlike(_LOW)) & t.rlike(_CROOKED), out).otherwise(t)
 
     return bind(text, straight)
 
@@ -103,8 +106,7 @@ def redact_pii(text: Column) -> Column:
 
 
 def collapse_whitespace(text: Column) -> Column:
-    # a lone blank is already right, so most gaps need no replacement
-    return F.trim(F.regexp_replace(text, rf"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " "))
+    return F.trim(F.regexp_replace(text, rf"[{SPACE}]+", " "))
 
 
 def clean_text(text: Column, scrub_pii: bool = True, brands: Sequence[str] = config.BRAND_HANDLES,
