@@ -108,8 +108,10 @@ class _Cells:
     blocks: tuple[int, ...]
     partners: tuple[tuple[int, ...], ...]
 
-    def total(self) -> int:
-        return sum(self.blocks)
+    def pairs(self) -> int:
+        """Unordered block pairs to be compared."""
+        ordered = sum(n * sum(self.blocks[q] for q in near) for n, near in zip(self.blocks, self.partners))
+        return max(1, (ordered + sum(self.blocks)) // 2)
 
 
 def _nearest_pivot(pivots: np.ndarray):
@@ -165,7 +167,8 @@ def _block_pairs(cells: _Cells, points: DataFrame, carry: Sequence[str]):
                    spans.alias("_others")))
     left = own.withColumn("_j", F.explode(F.filter("_others", lambda o: o >= F.col("_own")))).withColumn("_i", F.col("_own"))
     right = own.withColumn("_i", F.explode(F.filter("_others", lambda o: o <= F.col("_own")))).withColumn("_j", F.col("_own"))
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(cells.pairs(), max(2 * spark.sparkContext.defaultParallelism,
+                                   int(spark.conf.get("spark.sql.shuffle.partitions"))))
     keep = ["id", "weight", *carry, "_i", "_j"]
     return (left.select(*keep).repartition(tasks, "_i", "_j").groupBy("_i", "_j")
             .cogroup(right.select(*[F.col(c).alias(c) for c in keep]).repartition(tasks, "_i", "_j").groupBy("_i", "_j")))
