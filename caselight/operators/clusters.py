@@ -259,16 +259,21 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
     """``(id, label)`` with the smallest id of each component.
 
     Each round takes the smallest label around a node (combined before the
-    shuffle), then jumps to that label's own label, so long chains close in a
-    logarithmic number of rounds.  Rounds are cut by ``checkpoint``.
+    shuffle), passes it on to the node's old root, then jumps to the label's own
+    label, so long chains close in a few rounds.  Rounds are cut by ``checkpoint``.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     edges = edges.select(F.col("a").alias("a"), F.col("b").alias("b"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("label")).checkpoint()
     for _ in range(max_rounds):
-        around = _salted_lookup(both, "a", labels, "id", "b").select(F.col("b").alias("id"), "label")
-        lowest = labels.unionByName(around).groupBy("id").agg(F.min("label").alias("label")).checkpoint()
+        around = (_salted_lookup(both, "a", labels, "id", "b").groupBy(F.col("b").alias("id"))
+                  .agg(F.min("label").alias("low")))
+        seen = labels.join(around, "id")
+        # a node takes the smallest label around it, and hands it to the node its old label names
+        lowest = (labels.unionByName(seen.select("id", F.col("low").alias("label")))
+                  .unionByName(seen.select(F.col("label").alias("id"), F.col("low").alias("label")))
+                  .groupBy("id").agg(F.min("label").alias("label")).checkpoint())
         jumped = _salted_lookup(lowest, "label", lowest.select(F.col("id").alias("_of"), F.col("label").alias("_up")),
                                 "_of", "id").select("id", F.col("_up").alias("label")).checkpoint()
         changed = labels.withColumnRenamed("label", "_old").join(jumped, "id").where(F.col("_old") != F.col("label"))
