@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselight.llm.bits import bit_field, holds
 from caselight.llm.links import settled
 from caselight.llm.words import as_long, mix, shingles, word_hashes
 from caselight.shipping import ship_by_value
@@ -24,7 +25,6 @@ from caselight.shipping import ship_by_value
 ship_by_value(__name__)
 
 HASHES = 64  # a window of similarity 0.2 misses all minima with probability 6e-7
-FILTER_BITS = 27  # the filters of minima and of shingles take at most 16 MB each, however many items there are
 _U = np.uint64
 
 
@@ -71,22 +71,6 @@ def window_keys(shingle: np.ndarray, offsets: np.ndarray, sizes: list[int], n: i
             least = joined[even]
 
 
-def _filter(keys: DataFrame) -> tuple[int, np.ndarray]:
-    """A bit field holding the leading bits of every key: gathered as words of 64 bits, so never more than it holds."""
-    width = int(min(FILTER_BITS, max(13, np.ceil(np.log2(32 * max(keys.count(), 1))))))
-    words = (keys.select(F.shiftrightunsigned("key", 64 - width).alias("p"))
-             .groupBy(F.shiftright("p", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("word")).toArrow())
-    field = np.zeros(1 << (width - 6), _U)
-    field[words.column("at").to_numpy()] = words.column("word").to_numpy().view(_U)
-    return 64 - width, field
-
-
-def _holds(bits: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    shift, field = bits
-    at = keys >> _U(shift)
-    return (field[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
-
-
 def _items(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,12 +99,12 @@ def _scan(partitions: dict[int, list[int]], minimum_bits, shingle_bits):
                 for n, sizes in partitions.items():
                     shingle, at = shingles(hashes, offsets, n)
                     for text, key in window_keys(shingle, at, sizes, n):
-                        hit = np.flatnonzero(_holds(minimum_bits, key))
+                        hit = np.flatnonzero(holds(minimum_bits, key))
                         for t, k in zip(text[hit].tolist(), key[hit].view(np.int64).tolist()):
                             keys.setdefault(t, set()).add(k)
                     for t in keys:
                         own = np.unique(shingle[at[t]:at[t + 1]])
-                        held.setdefault(t, []).append(own[_holds(shingle_bits, mix(own))])
+                        held.setdefault(t, []).append(own[holds(shingle_bits, mix(own))])
                 found = [t for t in sorted(keys) if any(len(x) for x in held.get(t, []))]
                 if found:
                     yield pa.RecordBatch.from_arrays(
@@ -160,7 +144,7 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     else:
         # the filter of shingles looks at mixed values: as bits of a hash they must be spread
         mixed = item_shingles.select("shingle").distinct().mapInArrow(_mixed, "key long")
-        found = settled(base.mapInArrow(_scan(partitions, _filter(item_keys.select("key").distinct()), _filter(mixed)),
+        found = settled(base.mapInArrow(_scan(partitions, bit_field(item_keys.select("key").distinct()), bit_field(mixed)),
                                         f"id {id_type}, keys array<long>, shingles array<long>"))
     candidates = found.select("id", F.explode("keys").alias("key")).join(item_keys, "key").select("id", "copy").distinct()
     shared = (found.select("id", F.explode("shingles").alias("shingle")).distinct().join(item_shingles, "shingle")

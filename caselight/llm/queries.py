@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.llm import decontaminate, language, neardup, pieces, tokens, toxicity
+from caselight.llm import decontaminate, language, neardup, pieces, privacy, tokens, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select(
         "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.find_private(table(spark, sf_dir, "documents"))
