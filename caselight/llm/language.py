@@ -191,3 +191,24 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, id_col: str
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), letter.alias("letter")).mapInArrow(
         run, f"`{id_col}` {id_type}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is given a language; those predicted ``und`` go.  Map-only."""
+    from pyspark.sql.types import StructField, StructType
+
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            for rows in trigram_features(batch.column(1)):
+                known = batch.column(2).slice(start, len(rows)).to_pylist()
+                langs = model.predict(rows)[0] if model else [UNKNOWN] * len(rows)
+                part = batch.slice(start, len(rows)).filter(pa.array([k and x != UNKNOWN for x, k in zip(langs, known)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(0)], ["row"])
+                start += len(rows)
+
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).cast("string").alias("text"),
+                       letter.alias("letter")).mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
