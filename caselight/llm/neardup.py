@@ -23,6 +23,9 @@ from caselight.shipping import ship_by_value
 ship_by_value(__name__)
 
 BANDS, ROWS = 25, 5  # a pair of similarity 0.8 shares a band with probability 0.99995
+BLOCK = 256  # texts on either side of a block
+PAIRS_PER_BUCKET = 2_000  # a bucket with more pairs across classes is compared in blocks
+ROUNDS = 2  # comparisons of every bucket with one of its texts
 _U = np.uint64
 
 
@@ -107,14 +110,8 @@ def _signed(n: int, bands: int, rows: int):
 
 def _similar(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def elements(texts: pa.Array) -> Iterator[np.ndarray]:
-            for _, _, hashes, offsets in word_hashes(texts):
-                e, t = weighted_elements(*shingles(hashes, offsets, n))
-                at = np.searchsorted(t, np.arange(len(offsets)))
-                for i in range(len(offsets) - 1):
-                    yield np.sort(e[at[i]:at[i + 1]])
         for batch in batches:
-            ok = [weighted_jaccard(x, y) >= threshold for x, y in zip(elements(batch.column(2)), elements(batch.column(3)))]
+            ok = [weighted_jaccard(x, y) >= threshold for x, y in zip(_elements(batch.column(2), n), _elements(batch.column(3), n))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
@@ -124,10 +121,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(id, class_id)`` per row: the smallest id among documents linked by weighted shingle similarity of at least ``threshold``.
 
     Exact copies meet by a digest of the text and only the smallest id goes on.
-    In each band bucket every text is compared with the bucket's smallest id;
-    texts that this leaves outside the class of that id are then compared with
-    the members of other classes, so no link found by a shared band is lost and
-    no bucket is paired with itself.  Links are confirmed on the whole texts.
+    In each band bucket all texts are compared with one of them, in ROUNDS rounds
+    with another one each time, leaving out those already in its class.  Texts
+    still outside the largest class of a bucket are then compared with all members of
+    other classes, in bounded blocks where that is many, so no link between texts
+    that share a band is lost.  Links are confirmed on the whole texts.
 
     Null and empty texts: equal ones are one class (a null counts as empty).  A
     text of fewer than ``n`` words is one shingle; one without words is linked to
@@ -143,23 +141,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = signed.select("id", "copy").join(kept.select("copy", F.col("id").alias("first")), "copy").where("id <> first")
 
     dealt = kept.select("id", F.explode("keys").alias("key"))
-    buckets = dealt.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("_last")).where("head < _last").drop("_last")
+    buckets = dealt.groupBy("key").agg(F.min("id").alias("_first"), F.max("id").alias("_last")).where("_first < _last").select("key")
     members = settled(dealt.join(buckets, "key"))  # only buckets in which at least two texts meet
-    first = settled(members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
-    links = settled(_confirmed(first, base, n, threshold, id_type))
-    label = components(links)
-
-    named = (members.join(label.select("id", "label"), "id", "left")
-             .select("key", "id", "head", F.coalesce("label", "id").alias("label")))
-    heads = label.select(F.col("id").alias("head"), F.col("label").alias("head_label"))
-    named = settled(named.join(heads, "head", "left").withColumn("head_label", F.coalesce("head_label", "head")))
-    outside = named.where("label <> head_label").select("key", F.col("id").alias("a"), F.col("label").alias("a_label"))
-    second = (outside.join(named.where("id <> head").select("key", F.col("id").alias("b"), F.col("label").alias("b_label")), "key")
-              .where("a_label <> b_label").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-              .distinct().join(first, ["a", "b"], "left_anti"))
-    more = _confirmed(settled(second), base, n, threshold, id_type)
+    texts = settled(base.join(members.select("id").distinct(), "id", "left_semi"))
+    edges = settled(copies.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct().limit(0))
+    tested = edges
+    label = edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    for turn in range(ROUNDS + 1):
+        named = settled(members.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")))
+        if turn < ROUNDS:  # one text of each bucket stands against those outside its class: another one each time
+            pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), "id", "label")).alias("pick")
+            heads = (named.groupBy("key").agg(pick, F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
+                     .select("key", F.col("pick.id").alias("b"), F.col("pick.label").alias("b_label")))
+            met = named.withColumnRenamed("id", "a").join(heads, "key").where("label <> b_label")
+        else:  # what is left: texts outside their bucket's largest class stand against all of other classes
+            sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+            main = (sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes"), F.sum("n").alias("all"))
+                    .where("classes > 1").select("key", F.col("top.label").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("out")))
+            mixed = settled(named.join(main, "key"))
+            small = mixed.where(F.col("all") * F.col("out") <= PAIRS_PER_BUCKET)
+            met = (small.where("label <> main").select("key", F.col("id").alias("a"), "label")
+                   .join(small.select("key", F.col("id").alias("b"), F.col("label").alias("b_label")), "key").where("label <> b_label"))
+            large = mixed.where(F.col("all") * F.col("out") > PAIRS_PER_BUCKET)
+            edges = settled(edges.unionByName(_in_blocks(large, texts, n, threshold, id_type)))
+            label = components(edges)
+        pairs = settled(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+                        .join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionByName(pairs)
+        edges = settled(edges.unionByName(_confirmed(pairs, texts, n, threshold, id_type)))
+        label = components(edges)
     # an id with several texts is linked to each of their groups
-    every = label.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more).unionByName(
+    every = label.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(
         copies.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
     classes = components(every)
     ids = base.select("id")
@@ -167,10 +181,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.col("id").alias(id_col), F.coalesce("label", "id").alias("class_id")))
 
 
-def _confirmed(pairs: DataFrame, base: DataFrame, n: int, threshold: float, id_type: str) -> DataFrame:
-    """The pairs ``(a, b)`` whose texts reach the threshold; only texts of pairs are moved."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = settled(base.join(wanted, "id", "left_semi").select("id", "text"))
+def _elements(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The sorted weighted elements of each text."""
+    for _, _, hashes, offsets in word_hashes(texts):
+        e, t = weighted_elements(*shingles(hashes, offsets, n))
+        at = np.searchsorted(t, np.arange(len(offsets)))
+        for i in range(len(offsets) - 1):
+            yield np.sort(e[at[i]:at[i + 1]])
+
+
+def _block(n: int, threshold: float, id_type: pa.DataType):
+    def shares(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(columns)), np.float32)
+        for row, own in enumerate(sets):
+            at = np.searchsorted(columns, own)
+            at = np.minimum(at, len(columns) - 1)
+            out[row, at[columns[at] == own]] = 1
+        return out
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"a": pa.array([], id_type), "b": pa.array([], id_type)})
+        if not len(left) or not len(right):
+            return empty
+        mine, theirs = (list(_elements(t.column("text").combine_chunks(), n)) for t in (left, right))
+        columns = np.intersect1d(np.concatenate(mine), np.concatenate(theirs))
+        both = np.zeros((len(mine), len(theirs)), np.float32)
+        for start in range(0, len(columns), 8192):
+            part = columns[start:start + 8192]
+            both += shares(mine, part) @ shares(theirs, part).T
+        size = np.add.outer([len(x) for x in mine], [len(x) for x in theirs]) - both
+        la, lb = left.column("label").to_numpy(), right.column("label").to_numpy()
+        i, j = np.nonzero((both >= threshold * size - 1e-9) & (size > 0) & (la[:, None] != lb[None, :]))
+        # one link to each class is enough: the first
+        _, first = np.unique(np.stack([i, np.unique(lb, return_inverse=True)[1][j]], 1), axis=0, return_index=True) if len(i) else (None, [])
+        i, j = i[first], j[first]
+        return pa.table({"a": left.column("id").take(pa.array(i)), "b": right.column("id").take(pa.array(j))}) if len(i) else empty
+    return run
+
+
+def _in_blocks(mixed: DataFrame, texts: DataFrame, n: int, threshold: float, id_type: str) -> DataFrame:
+    """Links found in buckets with many texts outside the main class, BLOCK texts against BLOCK texts at a time; no pair is written."""
+    side = lambda who: F.greatest(F.ceil(F.col(who) / BLOCK).cast("int"), F.lit(1))
+    deal = lambda salt, who: F.pmod(F.xxhash64("id", F.lit(salt)), side(who)).cast("int")
+    every = lambda who: F.explode(F.sequence(F.lit(0), side(who) - 1))
+    mixed = mixed.join(texts, "id")
+    left = mixed.where("label <> main").select("id", "label", "text", "key", deal(1, "out").alias("l"), every("all").alias("r")).toDF("id", "label", "text", "key", "l", "r")
+    right = mixed.select("id", "label", "text", "key", deal(2, "all").alias("r"), every("out").alias("l")).toDF(
+        "id", "label", "text", "key", "r", "l")
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[id_type]
+    return (left.groupBy("key", "l", "r").cogroup(right.groupBy("key", "l", "r"))
+            .applyInArrow(_block(n, threshold, arrow), f"a {id_type}, b {id_type}").distinct())
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, id_type: str) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts reach the threshold."""
     return (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b").mapInArrow(_similar(n, threshold), f"a {id_type}, b {id_type}"))
