@@ -26,13 +26,14 @@ def parse_label(raw: Column, labels: Sequence[str] = config.LABELS,
 
 
 def parse_judge(raw: Column, axes: Sequence[str] = config.JUDGE_AXES) -> Column:
-    """``struct<axes…, rationale>``: unreadable answers give null axes and the answer's first 200 characters."""
+    """``struct<axes…, rationale>``: each grade is read by itself, quoted or not, and is null if it is no
+    number; an answer that is no JSON object gives null axes and its first 200 characters."""
     body = F.trim(F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"(?m)^```(?:json)?|```$", ""), F.lit(" \n\r\t"))
-    schema = ", ".join(f"`{a}` DOUBLE" for a in axes) + ", rationale STRING, _corrupt_record STRING"
+    schema = ", ".join(f"`{a}` STRING" for a in axes) + ", rationale STRING, _corrupt_record STRING"
     # permissive mode turns broken JSON into a struct of nulls, so the corrupt field tells the two apart
     doc = F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     broken = ~body.rlike(r"(?s)^\{.*\}$") | doc["_corrupt_record"].isNotNull()
     return F.struct(
-        *[F.when(~broken, doc[a]).alias(a) for a in axes],
+        *[F.when(~broken, doc[a].try_cast("double")).alias(a) for a in axes],
         F.when(broken, F.concat(F.lit("JUDGE_PARSE_ERROR: "), F.substring(body, 1, 200)))
         .otherwise(doc["rationale"]).alias("rationale"))

@@ -255,7 +255,7 @@ def _salted_lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, sa
         "_salt", "_salt2", "_key")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, label)`` with the smallest id of each component.
 
     Each round takes the smallest label around a node (combined before the
@@ -266,7 +266,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
     edges = edges.select(F.col("a").alias("a"), F.col("b").alias("b"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("label")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         around = (_salted_lookup(both, "a", labels, "id", "b").groupBy(F.col("b").alias("id"))
                   .agg(F.min("label").alias("low")))
         seen = labels.join(around, "id")
@@ -281,7 +281,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
         labels = jumped
         if done:
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def density_clusters(vectors: DataFrame, id_col: str, vector_col: str, eps: float, min_points: int = 5,

@@ -107,15 +107,15 @@ def fit_intent_model(train: DataFrame, id_col: str, text_col: str, label: str,
 # --- fixed coefficients ------------------------------------------------------------
 
 def score_linear(features: DataFrame, id_col: str, coefficients: DataFrame, intercepts: dict[str, float],
-                 value_col: str = "weight", max_rows: int = config.MAX_FEATURES) -> DataFrame:
+                 value_col: str = "weight") -> DataFrame:
     """``(id, intent, confidence)`` from long features ``(id, term, value)`` and ``(term, label, coefficient)``.
 
-    The coefficient table is one row per vocabulary term and label; it is sent to
-    every task only up to ``max_rows`` terms, by the caller's word.
+    The coefficient table is one row per vocabulary term and label; Spark broadcasts
+    it or not by its measured size.
     """
     labels = sorted(intercepts)
     wide = coefficients.groupBy("term").pivot("label", labels).agg(F.first("coefficient"))
-    joined = features.join(F.broadcast(wide) if max_rows <= 200_000 else wide, "term", "left")
+    joined = features.join(wide, "term", "left")
     logits = joined.groupBy(id_col).agg(*[
         (F.lit(float(intercepts[l])) + F.coalesce(F.sum(F.col(value_col) * F.col(f"`{l}`")), F.lit(0.0)))
         .alias(f"_z{i}") for i, l in enumerate(labels)])

@@ -75,8 +75,8 @@ def drop_report(pairs: DataFrame) -> DataFrame:
             .withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after")))
 
 
-def build_pairs(messages: DataFrame, brand: str, limit: int | None = config.SAMPLE_LIMIT, seed: int = 42,
+def build_pairs(messages: DataFrame, brand: str, limit: int | None = None, seed: int = 42,
                 first_only: bool = False, brands: Sequence[str] = config.BRAND_HANDLES) -> DataFrame:
-    """Join, sample, enrich, filter, dedupe.  The filter reads a dedupe key, so it may run first."""
+    """Join, sample only if a ``limit`` is given, enrich, filter, dedupe.  The filter reads a dedupe key, so it may run first."""
     pairs = sample_n(reply_pairs(messages, brand, first_only), limit, ["cust_tweet_id", "brand_tweet_id"], seed)
     return dedupe_pairs(drop_boilerplate(enrich(pairs, brands)))

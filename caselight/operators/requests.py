@@ -19,13 +19,11 @@ from caselight.operators.clusters import cluster_examples
 NO_REFERENCES = "(nothing similar on record)"
 FALLBACK_REPLY = "Thank you for writing to us. Please send us a direct message and we will look into it."
 
-CLASSIFY_SYSTEM = ("Sort each message sent to a support desk under one of these labels:\n%s\n\n"
-                   "Answer with the label and nothing else. When torn, answer other_uncategorised.")
-REPLY_SYSTEM = ("Write the support desk's answer in at most three kind, practical sentences. Ask for a direct message "
-                "when account, order or device details are needed. Promise no refund, price, date or policy. "
-                "Past replies only show the tone and the facts to lean on. Return the answer alone.")
-JUDGE_SYSTEM = ("Rate a support reply from 1 to 5 on groundedness, correctness, brand_voice, actionability and safety. "
-                "Return one JSON object with these five keys and a one-sentence rationale.")
+# Defaults; every request function takes another text.  They ask for what the parsers in functions/responses.py can read.
+CLASSIFY_SYSTEM = "Labels:\n%s\n\nGive the one label that describes the message, spelled as above. Unsure: other_uncategorised."
+REPLY_SYSTEM = "You answer for a support desk. Output: the text to be sent, and nothing around it. Earlier cases follow as background."
+JUDGE_SYSTEM = ("Grade the answer below. Output: a JSON object with the number keys groundedness, correctness, brand_voice, "
+                "actionability, safety (1 worst, 5 best) and a text key rationale.")
 
 
 def taxonomy_table(spark, taxonomy: Sequence[Intent] = config.TAXONOMY) -> DataFrame:
@@ -62,9 +60,10 @@ def fewshot_block(taxonomy: DataFrame, order: str = "ord") -> Column:
 
 
 def classify_requests(messages: DataFrame, id_col: str, text_col: str, taxonomy: DataFrame,
-                      order: str = "ord") -> DataFrame:
+                      order: str = "ord",
+                      system: str = CLASSIFY_SYSTEM) -> DataFrame:
     """``(id, system, user)``; the two blocks are computed once and reused as scalars on every row."""
-    before, after = CLASSIFY_SYSTEM.split("%s")
+    before, after = system.split("%s")
     return messages.select(
         id_col,
         F.concat(F.lit(before), definitions_block(taxonomy, order), F.lit(after)).alias("system"),
@@ -84,17 +83,19 @@ def reference_lines(hits: Column, with_scores: bool = True) -> Column:
     return F.when(hits.isNull() | (F.size(hits) == 0), F.lit(NO_REFERENCES)).otherwise(lines)
 
 
-def reply_requests(cases: DataFrame, id_col: str, text_col: str, intent: str, hits: str) -> DataFrame:
+def reply_requests(cases: DataFrame, id_col: str, text_col: str, intent: str, hits: str,
+                   system: str = REPLY_SYSTEM) -> DataFrame:
     """``(id, system, user)`` for drafting a reply; hits carry cust, reply and score."""
     return cases.select(
-        id_col, F.lit(REPLY_SYSTEM).alias("system"),
+        id_col, F.lit(system).alias("system"),
         F.concat(F.lit("Intent: "), intent, F.lit('\nMessage: "'), text_col, F.lit('"\nPast cases:\n'),
                  reference_lines(F.col(hits)), F.lit("\n\nWrite the answer.")).alias("user"))
 
 
-def judge_requests(cases: DataFrame, id_col: str, text_col: str, draft: str, hits: str) -> DataFrame:
+def judge_requests(cases: DataFrame, id_col: str, text_col: str, draft: str, hits: str,
+                   system: str = JUDGE_SYSTEM) -> DataFrame:
     return cases.select(
-        id_col, F.lit(JUDGE_SYSTEM).alias("system"),
+        id_col, F.lit(system).alias("system"),
         F.concat(F.lit('Message: "'), text_col, F.lit('"\nPast replies:\n'), reference_lines(F.col(hits), False),
                  F.lit('\nReply: "'), draft, F.lit('"\nReturn the JSON.')).alias("user"))
 

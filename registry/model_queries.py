@@ -161,7 +161,7 @@ def _(spark, sf):
 
 @query("kmeans_text")
 def _(spark, sf):
-    clustered = C.kmeans_text_clusters(_pairs(spark, sf), "pair_id", "cust", k=8, starts=3)
+    clustered = C.kmeans_text_clusters(_pairs(spark, sf), "pair_id", "cust", k=8)
     return C.cluster_report(clustered, "pair_id", "cust")
 
 

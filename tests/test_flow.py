@@ -77,6 +77,11 @@ def test_parse_label(spark):
                                        ("other_uncategorised", 0.3), ("other_uncategorised", 0.3), ("battery_power", 0.5)]
 
 
+def test_judge_grades_are_read_one_by_one(spark):
+    got = parsed(spark, parse_judge, ['{"groundedness": "4", "correctness": "n/a", "safety": 5, "rationale": "r"}'])[0]
+    assert (got["groundedness"], got["correctness"], got["brand_voice"], got["safety"], got["rationale"]) == (4.0, None, None, 5.0, "r")
+
+
 def test_parse_judge(spark):
     good = {a: i + 1 for i, a in enumerate(config.JUDGE_AXES)} | {"rationale": "fine"}
     part = {k: v for k, v in good.items() if k != "safety"}
@@ -92,7 +97,7 @@ def test_parse_judge(spark):
 def test_prompts(spark):
     row = Q.classify_requests(asked(spark), "id", "text", Q.taxonomy_table(spark)).where("id = '6'").first()
     assert row["system"].index("- battery_power:") < row["system"].index("- other_uncategorised:")
-    assert row["user"].count("Label: ") == 24 and row["user"].endswith('Message: "qqq"\nLabel:')
+    assert row["user"].count("Label: ") == sum(len(t.examples) for t in config.TAXONOMY) and row["user"].endswith('Message: "qqq"\nLabel:')
 
 
 def test_references(spark):
