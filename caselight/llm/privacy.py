@@ -153,14 +153,21 @@ def _detect(id_col: str):
 
 
 def _documents_with(field):
+    """Documents per preselected term, added up within the task; it is written out each time a million terms have gathered."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, _, hashes, offsets in word_hashes(batch.column(0)):
                 hit = np.flatnonzero(holds(field, mix(hashes)))
                 text = np.searchsorted(offsets, hit, "right") - 1
                 pairs = np.unique(np.stack([hashes[hit].view(np.int64), text], 1), axis=0)
                 term, n = np.unique(pairs[:, 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n, pa.int64())], ["term", "n"])
+                terms, place = np.unique(np.concatenate([terms, term]), return_inverse=True)
+                counts = np.bincount(place, np.concatenate([counts, n]), len(terms)).astype(np.int64)
+            if len(terms) > 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], ["term", "n"])
+                terms, counts = terms[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], ["term", "n"])
     return run
 
 
