@@ -70,6 +70,19 @@ def vector_size(vectors: DataFrame, vector_col: str) -> Size:
     return Size(row[0], row[1])
 
 
+def usual_width(vectors: DataFrame, vector_col: str) -> int:
+    """The most frequent length of the vectors, the smaller one of a tie; 0 without any."""
+    return vectors.where(F.col(vector_col).isNotNull()).agg(F.mode(F.size(vector_col), True)).first()[0] or 0
+
+
+def usable(vectors: DataFrame, vector_col: str, width: int) -> DataFrame:
+    """Rows with ``width`` numbers; a vector that is null, of another length or holds null, NaN or infinity takes no part."""
+    def fails(x):
+        return x.isNull() | F.isnan(x) | F.abs(x).eqNullSafe(float("inf"))
+    v = F.col(vector_col)
+    return vectors.where(v.isNotNull() & (F.size(v) == width) & ~F.exists(v, fails))
+
+
 def _lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and concatenated values of a list column."""
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -84,11 +97,14 @@ def dense_rows(table: pa.Table, vector_col: str) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _sparse_parts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries per row, term numbers and weights of a column of sparse vectors."""
-    vectors = pc.struct_field(table.column("features"), "indices").combine_chunks()
-    lengths, indices = _lists(vectors)
-    return lengths, indices, _lists(pc.struct_field(table.column("features"), "values").combine_chunks())[1]
+def sparse_parts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries per row, term numbers and weights, of a column of sparse vectors or of two list columns."""
+    if "features" in table.schema.names:
+        indices, values = (pc.struct_field(table.column("features"), part) for part in ("indices", "values"))
+    else:
+        indices, values = table.column("indices"), table.column("values")
+    lengths, numbers = _lists(indices.combine_chunks())
+    return lengths, numbers, _lists(values.combine_chunks())[1]
 
 
 def _dense_scores(queries: pa.Table, corpus: pa.Table):
@@ -101,13 +117,13 @@ def _dense_scores(queries: pa.Table, corpus: pa.Table):
 def _sparse_scores(queries: pa.Table, corpus: pa.Table):
     """Score rows from an inverted list over the corpus block."""
     n_docs = corpus.num_rows
-    d_len, d_idx, d_weight = _sparse_parts(corpus)
+    d_len, d_idx, d_weight = sparse_parts(corpus)
     by_term = np.argsort(d_idx, kind="stable")
     doc_of, w_of = np.repeat(np.arange(n_docs), d_len)[by_term], d_weight[by_term]
     known, first = np.unique(d_idx[by_term], return_index=True)
     last = np.append(first[1:], len(by_term))
 
-    q_len, q_idx, q_weight = _sparse_parts(queries)
+    q_len, q_idx, q_weight = sparse_parts(queries)
     slot = np.searchsorted(known, q_idx)
     hit = (slot < len(known)) & (known[np.minimum(slot, max(len(known) - 1, 0))] == q_idx) if len(known) else \
         np.zeros(len(q_idx), bool)
@@ -134,8 +150,19 @@ def _sparse_scores(queries: pa.Table, corpus: pa.Table):
 _SCORERS: dict[str, Callable] = {"dense": _dense_scores, "sparse": _sparse_scores}
 
 
-def _best_k(k: int, scorer: str, query_id: str, doc_id: str, payload: Sequence[str], schema: pa.Schema):
+REPEATED = "values of %s repeat: every row of a search needs its own id"
+
+
+def _check_unique(table: pa.Table, id_col: str) -> None:
+    """Equal ids share a block, so a repeat is seen here whatever the number of blocks."""
+    if pc.count_distinct(table.column(id_col), mode="all").as_py() < table.num_rows:
+        raise ValueError(REPEATED % id_col)
+
+
+def best_k(k: int, scorer: str, query_id: str, doc_id: str, schema: pa.Schema):
     def run(key, queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        _check_unique(queries, query_id)
+        _check_unique(corpus, doc_id)
         if queries.num_rows == 0 or corpus.num_rows == 0:
             return schema.empty_table()
         corpus = corpus.sort_by(doc_id)
@@ -154,21 +181,29 @@ def _best_k(k: int, scorer: str, query_id: str, doc_id: str, payload: Sequence[s
         q_rows, d_rows = np.concatenate(q_rows), np.concatenate(d_rows)
         out = {query_id: queries.column(query_id).take(q_rows), "rank": pa.array(np.concatenate(ranks)),
                doc_id: corpus.column(doc_id).take(d_rows), "score": pa.array(np.concatenate(scores))}
-        out.update({c: corpus.column(c).take(d_rows) for c in payload})
         return pa.table(out).select(schema.names).cast(schema)
     return run
 
 
 def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: str, query_id: str, doc_id: str,
-                query_size: Size, corpus_size: Size, payload: Sequence[str] = ()) -> DataFrame:
+                query_size: Size, corpus_size: Size, payload: Sequence[str] = (), width: int = 0) -> DataFrame:
     """``(query_id, rank, doc_id, score, *payload)``: the exact k best corpus rows of every query.
 
     Ties (scores equal to nine digits) go to the smaller corpus id; rows with score
-    zero fill up to k.  Payload columns of the corpus travel with the hits, so no
-    join on a popular corpus row follows.
+    zero fill up to k.  Ids must not repeat on either side; a repeat raises an error.
+    Only ids and vectors enter the blocks, whose size is bounded by them; the hits
+    fetch their payload afterwards, where adaptive splitting cuts a popular corpus row.
+    A corpus that needs more than one block is searched cell by cell (``cells``), with
+    the same result; ``width`` is the length of the vectors.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    if corpus_size.blocks() > 1:
+        from caselight.operators.cells import pruned_top_k
+
+        hits = pruned_top_k(queries, corpus, k, scorer, query_id, doc_id, corpus_size.blocks(), width)
+        return _with_payload(hits, corpus, query_id, doc_id, payload)
+
     parallelism = queries.sparkSession.sparkContext.defaultParallelism
     query_blocks, corpus_blocks = plan_blocks(query_size, corpus_size, 2 * parallelism)
     groups = query_blocks * corpus_blocks
@@ -180,13 +215,19 @@ def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: str, quer
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
                 .repartition(tasks, "_qb", "_db"))
 
-    left = dealt(queries, "_qb", query_id, query_blocks, "_db", corpus_blocks)
-    right = dealt(corpus, "_db", doc_id, corpus_blocks, "_qb", query_blocks)
+    left = dealt(queries.select(query_id, "features"), "_qb", query_id, query_blocks, "_db", corpus_blocks)
+    right = dealt(corpus.select(doc_id, "features"), "_db", doc_id, corpus_blocks, "_qb", query_blocks)
     schema = T.StructType([queries.schema[query_id], T.StructField("rank", T.IntegerType()), corpus.schema[doc_id],
-                           T.StructField("score", T.DoubleType()), *[corpus.schema[c] for c in payload]])
+                           T.StructField("score", T.DoubleType())])
     hits = left.groupBy("_qb", "_db").cogroup(right.groupBy("_qb", "_db")).applyInArrow(
-        _best_k(k, scorer, query_id, doc_id, tuple(payload), to_arrow_schema(schema)), schema)
-    if corpus_blocks == 1:
-        return hits  # a query met the whole corpus in its one group
-    order = [F.desc(F.round("score", 9)), F.asc(doc_id)]
-    return head_per_group(hits.drop("rank"), [query_id], order, k, "rank").select(query_id, "rank", doc_id, "score", *payload)
+        best_k(k, scorer, query_id, doc_id, to_arrow_schema(schema)), schema)
+    if corpus_blocks > 1:  # with one block a query met the whole corpus in its one group
+        order = [F.desc(F.round("score", 9)), F.asc(doc_id)]
+        hits = head_per_group(hits.drop("rank"), [query_id], order, k, "rank").select(query_id, "rank", doc_id, "score")
+    return _with_payload(hits, corpus, query_id, doc_id, payload)
+
+
+def _with_payload(hits: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, payload: Sequence[str]) -> DataFrame:
+    if not payload:
+        return hits
+    return hits.join(corpus.select(doc_id, *payload), doc_id).select(query_id, "rank", doc_id, "score", *payload)

@@ -1,0 +1,246 @@
+"""Exact top-k search that leaves out the parts of a corpus which cannot hold a hit.
+
+The corpus is dealt by content: each row goes to the cell of its most similar
+pivot.  A cell has a bound on the score that any of its rows can reach: for term
+vectors the query weights times the cell's largest weight per term, for dense
+vectors the angle to the pivot less the cell's radius.  A query first searches
+its most promising cell, which gives it a k-th best score, and then only those
+cells whose bound reaches that score.  Cells are cut into blocks of bounded size by
+a hash of the id, so a popular content cannot make a task hot.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from caselight.operators import blocks as B
+from caselight.operators.ordering import head_per_group, sample_n
+from caselight.session import ensure_checkpoint_dir
+from caselight.shipping import ship_by_value
+
+ship_by_value(__name__)
+
+MOST_CELLS = 128
+MATRIX_VALUES = 4_000_000  # numbers in a pivot or bound matrix: 32 MB, however large the vocabulary
+_STEP = 4_000_000          # products held at once inside a task
+_SLACK = 1e-8              # scores are compared by nine digits
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Pivots, one per row, and per cell what bounds the scores of its rows."""
+
+    scorer: str
+    pivots: np.ndarray
+    reach: np.ndarray  # sparse: largest weight per term; dense: largest angle to the pivot
+    rows: np.ndarray
+
+    def similar(self, vectors) -> np.ndarray:
+        return _products(vectors, self.pivots) if self.scorer == "sparse" else vectors @ self.pivots.T
+
+    def bounds(self, vectors) -> np.ndarray:
+        """``rows x cells``: no row of the cell scores higher; minus infinity for an empty cell."""
+        if self.scorer == "sparse":
+            best = _products(vectors, self.reach)
+        else:
+            angle = np.arccos(np.clip(self.similar(vectors), -1.0, 1.0))
+            best = np.cos(np.maximum(angle - self.reach, 0.0))
+            best[~vectors.any(axis=1)] = 0.0  # a zero vector scores zero everywhere
+        return np.where(self.rows > 0, best, -np.inf)
+
+
+def _products(vectors: tuple[np.ndarray, np.ndarray, np.ndarray], matrix: np.ndarray) -> np.ndarray:
+    """Sparse rows ``(lengths, indices, weights)`` times a dense matrix, a bounded number of entries at a time."""
+    lengths, index, weight = vectors
+    out, ends = np.zeros((len(lengths), len(matrix))), np.cumsum(lengths)
+    starts, columns = ends - lengths, np.ascontiguousarray(matrix.T)
+    step, a = max(1, _STEP // max(1, len(matrix))), 0
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + step, side="right")))
+        some = np.flatnonzero(lengths[a:b])
+        if len(some):
+            part = columns[index[starts[a]:ends[b - 1]]] * weight[starts[a]:ends[b - 1], None]
+            out[a + some] = np.add.reduceat(part, starts[a:b][some] - starts[a], axis=0)
+        a = b
+    return out
+
+
+def _vectors(scorer: str, table: pa.Table):
+    return B.sparse_parts(table) if scorer == "sparse" else B.dense_rows(table, "features")
+
+
+def _plain(scorer: str, batch: pa.RecordBatch) -> list[pa.Array]:
+    """The vector as list columns, which unlike the vector type may leave a Python task."""
+    at = batch.column(batch.schema.get_field_index("features"))
+    if scorer == "dense":
+        return [at.cast(pa.list_(pa.float64()))]
+    return [at.field("indices").cast(pa.list_(pa.int32())), at.field("values").cast(pa.list_(pa.float64()))]
+
+
+def _fields(scorer: str) -> list[T.StructField]:
+    numbers = T.ArrayType(T.DoubleType())
+    if scorer == "dense":
+        return [T.StructField("features", numbers)]
+    return [T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", numbers)]
+
+
+def _to_cell(cells: Cells):
+    """Rows with the cell of their most similar pivot and the angle to it; without any similar one, by the heaviest term."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _vectors(cells.scorer, pa.Table.from_batches([batch]))
+            near = cells.similar(vectors)
+            cell = near.argmax(axis=1)
+            best = near[np.arange(len(cell)), cell]
+            if cells.scorer == "sparse":
+                lengths, index, weight = vectors
+                at = np.cumsum(lengths) - lengths
+                for row in np.flatnonzero((best <= 0) & (lengths > 0)):
+                    own = slice(at[row], at[row] + lengths[row])
+                    cell[row] = index[own][weight[own].argmax()] % len(near[0])
+            angle = np.arccos(np.clip(best, -1.0, 1.0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_plain(cells.scorer, batch), pa.array(cell.astype(np.int32)), pa.array(angle)],
+                                             [batch.schema.names[0], *[f.name for f in _fields(cells.scorer)], "cell", "angle"])
+    return run
+
+
+def _largest(cells: int, width: int):
+    """Per task the largest weight of every term in every cell, as far as there is one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.zeros((cells, width))
+        for batch in batches:
+            lengths, index, weight = B.sparse_parts(pa.Table.from_batches([batch]))
+            np.maximum.at(most, (np.repeat(batch.column("cell").to_numpy(), lengths), index), weight)
+        cell, term = np.nonzero(most)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(term.astype(np.int32)), pa.array(most[cell, term])],
+                                         ["cell", "term", "weight"])
+    return run
+
+
+def fit_cells(corpus: DataFrame, doc_id: str, scorer: str, blocks: int, width: int) -> tuple[Cells, DataFrame]:
+    """The cells of a corpus ``(doc_id, features)`` and its rows with their cell, written to the shared checkpoint.
+
+    Pivots are drawn by a digest of the id; the driver reads them, one row per
+    cell, and for term vectors the bound matrix, never more than ``MATRIX_VALUES`` numbers.
+    """
+    ensure_checkpoint_dir(corpus.sparkSession)
+    wanted = max(1, min(MOST_CELLS, 4 * blocks, MATRIX_VALUES // max(1, width)))
+    chosen = sample_n(corpus, wanted, [doc_id]).orderBy(doc_id).toArrow()
+    vectors = _vectors(scorer, chosen)
+    if scorer == "sparse":
+        pivots = np.zeros((chosen.num_rows, width))
+        pivots[np.repeat(np.arange(chosen.num_rows), vectors[0]), vectors[1]] = vectors[2]
+    else:
+        pivots = vectors
+    draft = Cells(scorer, pivots, np.zeros(0), np.zeros(0))
+    schema = T.StructType([corpus.schema[doc_id], *_fields(scorer), T.StructField("cell", T.IntegerType()),
+                           T.StructField("angle", T.DoubleType())])
+    placed = corpus.select(doc_id, "features").mapInArrow(_to_cell(draft), schema).checkpoint()
+    rows, angle = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle")).collect():  # one row per cell
+        rows[r["cell"]], angle[r["cell"]] = r["n"], r["angle"] + 1e-7
+    if scorer == "dense":
+        return Cells(scorer, pivots, angle, rows), placed
+    most = (placed.select("cell", "indices", "values").mapInArrow(_largest(len(pivots), width), "cell int, term int, weight double")
+            .groupBy("cell", "term").agg(F.max("weight").alias("weight")).toArrow())
+    reach = np.zeros((len(pivots), width))
+    reach[most.column("cell").to_numpy(), most.column("term").to_numpy()] = most.column("weight").to_numpy()
+    return Cells(scorer, pivots, reach, rows), placed
+
+
+def _first_cell(cells: Cells):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _vectors(cells.scorer, pa.Table.from_batches([batch]))
+            bound = cells.bounds(vectors)
+            home = np.where(np.isfinite(bound), cells.similar(vectors) + 1e-6 * np.where(np.isfinite(bound), bound, 0.0), -np.inf).argmax(axis=1)
+            hopeless = (bound[np.arange(len(home)), home] <= 0) & (cells.scorer == "sparse")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *_plain(cells.scorer, batch),
+                 pa.array([[] if no else [h] for h, no in zip(home.tolist(), hopeless.tolist())], pa.list_(pa.int32()))],
+                [batch.schema.names[0], *[f.name for f in _fields(cells.scorer)], "cells"])
+    return run
+
+
+def _further_cells(cells: Cells):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            bound = cells.bounds(_vectors(cells.scorer, table))
+            seen, least = table.column("cells").to_pylist(), table.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+            least = np.where(np.isnan(least), -np.inf, least)
+            can = bound >= least[:, None] - _SLACK
+            can &= bound > (0 if cells.scorer == "sparse" else -np.inf)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], pa.array([[c for c in np.flatnonzero(row).tolist() if c not in own] for row, own in zip(can, seen)],
+                                               pa.list_(pa.int32()))], [*batch.schema.names[:-2], "cells"])
+    return run
+
+
+def compare(asked: DataFrame, placed: DataFrame, k: int, scorer: str, query_id: str, doc_id: str, cells: Cells) -> DataFrame:
+    """The k best of every query within the cells it names, per block; a cell meets its own queries only."""
+    spark, vectors = asked.sparkSession, [f.name for f in _fields(scorer)]
+    sent = asked.select(query_id, *vectors, F.explode("cells").alias("cell"))
+    sizes = {r["cell"]: r for r in sent.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size(vectors[-1])).alias("entries")).collect()}  # one row per cell
+    entries = {r["cell"]: r["entries"] for r in placed.groupBy("cell").agg(F.sum(F.size(vectors[-1])).alias("entries")).collect()}
+    plan = [(c, B.Size(r["n"], r["entries"]).blocks(), B.Size(int(cells.rows[c]), entries[c]).blocks()) for c, r in sizes.items()]
+    schema = T.StructType([asked.schema[query_id], T.StructField("rank", T.IntegerType()), placed.schema[doc_id],
+                           T.StructField("score", T.DoubleType())])
+    if not plan:
+        return spark.createDataFrame([], schema)
+    table = F.broadcast(spark.createDataFrame(plan, "cell int, _nq int, _nd int"))  # at most MOST_CELLS rows
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda who, n: F.pmod(F.xxhash64(who), F.col(n)).cast("int")
+    tasks = min(sum(q * d for _, q, d in plan), max(2 * spark.sparkContext.defaultParallelism,
+                                                    int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    keys = ("cell", "_qb", "_db")
+    left = (sent.join(table, "cell").withColumn("_qb", deal(query_id, "_nq")).withColumn("_db", every("_nd"))
+            .select(query_id, *vectors, *keys).repartition(tasks, *keys))
+    right = (placed.join(table, "cell").withColumn("_db", deal(doc_id, "_nd")).withColumn("_qb", every("_nq"))
+             .select(doc_id, *vectors, *keys).repartition(tasks, *keys))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        B.best_k(k, scorer, query_id, doc_id, to_arrow_schema(schema)), schema)
+
+
+def _raise_on_repeats(rows: DataFrame, id_col: str) -> None:
+    if not rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError(B.REPEATED % id_col)
+
+
+def pruned_top_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: str, query_id: str, doc_id: str, blocks: int,
+                 width: int) -> DataFrame:
+    """``(query_id, rank, doc_id, score)`` as ``blocks.block_top_k`` gives them, for a corpus of many blocks."""
+    cells, placed = fit_cells(corpus, doc_id, scorer, blocks, width)
+    schema = T.StructType([queries.schema[query_id], *_fields(scorer), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    asked = queries.select(query_id, "features").mapInArrow(_first_cell(cells), schema).checkpoint()
+    _raise_on_repeats(asked, query_id)
+    _raise_on_repeats(placed, doc_id)
+    order = [F.desc(F.round("score", 9)), F.asc(doc_id)]
+
+    def best(hits: DataFrame) -> DataFrame:
+        return head_per_group(hits.select(query_id, doc_id, "score"), [query_id], order, k, "rank").select(query_id, "rank", doc_id, "score")
+
+    first = best(compare(asked, placed, k, scorer, query_id, doc_id, cells)).checkpoint()
+    least = first.where(F.col("rank") == k).select(F.col(query_id).alias("_of"), F.col("score").alias("least"))
+    further = (asked.join(least, F.col(query_id) == F.col("_of"), "left").drop("_of")
+               .mapInArrow(_further_cells(cells), schema).checkpoint())
+    hits = first.drop("rank").unionByName(compare(further, placed, k, scorer, query_id, doc_id, cells).drop("rank"))
+    if scorer == "sparse":  # rows without a common term score zero: the smallest ids fill up to k
+        hits = hits.unionByName(_filling(asked.select(query_id), placed.select(doc_id), query_id, doc_id, k))
+        hits = hits.groupBy(query_id, doc_id).agg(F.max("score").alias("score"))
+    return best(hits)
+
+
+def _filling(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, k: int) -> DataFrame:
+    """Every query with the k smallest ids of the corpus at score zero; their true scores, if any, are among the hits."""
+    smallest: Column = docs.orderBy(doc_id).limit(k).agg(F.collect_list(doc_id).alias("ids")).scalar()
+    return queries.select(query_id, F.explode(smallest).alias(doc_id), F.lit(0.0).alias("score"))

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from caselight import config
-from caselight.operators.blocks import dense_rows
-from caselight.operators.features import fit_vocabulary, full_partitions, tfidf_stages, with_terms
+from caselight.operators.blocks import dense_rows, usable, usual_width
+from caselight.operators.features import fit_vocabulary, merged_partitions, tfidf_stages, with_terms
 from caselight.operators.ordering import head_per_group, sample_n
 from caselight.session import ensure_checkpoint_dir
 from caselight.shipping import ship_by_value
@@ -43,7 +43,7 @@ def fit_kmeans(features: DataFrame, features_col: str, k: int = 8, seed: int = 4
     """The best of several seeded starts by training cost; a few starts run side by side."""
     spark, rows = features.sparkSession, features.count()
     k = cluster_count(rows, k)
-    features = full_partitions(features.select(features_col), rows).persist()
+    features = merged_partitions(features.select(features_col), rows).persist()
     try:
         features.count()
 
@@ -100,18 +100,12 @@ def assign_to_centres(vectors: DataFrame, vector_col: str, centres: DataFrame, c
 class _Cells:
     """Points dealt to blocks of bounded size: by nearest pivot, then by a hash of the id within the pivot.
 
-    ``partners`` lists, per pivot, the pivots whose points can lie within the limit.
+    Every point lists in ``cells`` the pivots whose points can lie within the limit of it.
     """
 
     points: DataFrame
     first: tuple[int, ...]
     blocks: tuple[int, ...]
-    partners: tuple[tuple[int, ...], ...]
-
-    def pairs(self) -> int:
-        """Unordered block pairs to be compared."""
-        ordered = sum(n * sum(self.blocks[q] for q in near) for n, near in zip(self.blocks, self.partners))
-        return max(1, (ordered + sum(self.blocks)) // 2)
 
 
 def _nearest_pivot(pivots: np.ndarray):
@@ -126,12 +120,21 @@ def _nearest_pivot(pivots: np.ndarray):
     return run
 
 
-def _cells(points: DataFrame, rows: int, eps: float) -> _Cells:
-    """Choose pivots by id digest (at most ``_MAX_PIVOTS``), and drop pivot pairs too far apart to matter.
+def _within_reach(pivots: np.ndarray, radius: np.ndarray, eps: float):
+    """A neighbour y of x with pivot q has |x - q| <= r_q + eps, and, as q is nearest to y, |x - q| <= |x - p| + 2 eps."""
+    def run(batches):
+        for batch in batches:
+            gaps = np.sqrt(np.maximum(2.0 - 2.0 * (dense_rows(pa.Table.from_batches([batch]), "weight") @ pivots.T), 0.0))
+            own = batch.column("away").to_numpy()
+            can = (gaps <= radius[None, :] + eps + 1e-6) & (gaps <= own[:, None] + 2 * eps + 1e-6)
+            at = np.concatenate([[0], np.cumsum(can.sum(axis=1))]).astype(np.int32)
+            cells = pa.ListArray.from_arrays(pa.array(at), pa.array(np.nonzero(can)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "cells"])
+    return run
 
-    For x near pivot p and y near pivot q, |x - y| >= |p - q| - |x - p| - |y - q|,
-    so pairs with |p - q| > r_p + r_q + eps hold no neighbours.  The drop is exact.
-    """
+
+def _cells(points: DataFrame, rows: int, eps: float) -> _Cells:
+    """Choose pivots by id digest (at most ``_MAX_PIVOTS``), and per point the pivots near enough to matter; exact."""
     spark = points.sparkSession
     wanted = int(min(_MAX_PIVOTS, max(1, rows // _PAIR_ROWS), max(1, rows // 8)))
     if rows > 256:
@@ -143,32 +146,29 @@ def _cells(points: DataFrame, rows: int, eps: float) -> _Cells:
     near = points.mapInArrow(_nearest_pivot(pivots), schema).checkpoint()
     stats = {r["pivot"]: r for r in near.groupBy("pivot").agg(
         F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}  # one row per pivot
-    count = len(pivots)
-    size = np.array([stats[p]["n"] if p in stats else 0 for p in range(count)])
-    radius = np.array([stats[p]["radius"] if p in stats else 0.0 for p in range(count)])
+    size = np.array([stats[p]["n"] if p in stats else 0 for p in range(len(pivots))])
+    # a pivot without points is out of everyone's reach
+    radius = np.array([stats[p]["radius"] if p in stats else -np.inf for p in range(len(pivots))])
     blocks = -(-size // _PAIR_ROWS)
     first = np.cumsum(blocks) - blocks
-    apart = np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0))
-    reach = apart <= radius[:, None] + radius[None, :] + eps + 1e-6
-    partners = tuple(tuple(int(q) for q in np.flatnonzero(reach[p] & (blocks > 0))) for p in range(count))
-    return _Cells(near.drop("away"), tuple(map(int, first)), tuple(map(int, blocks)), partners)
+    schema = T.StructType([*schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    near = near.mapInArrow(_within_reach(pivots, radius, eps), schema).drop("away").checkpoint()
+    return _Cells(near, tuple(map(int, first)), tuple(map(int, blocks)))
 
 
 def _block_pairs(cells: _Cells, points: DataFrame, carry: Sequence[str]):
-    """Cogroups of every unordered pair of blocks that can hold neighbours."""
+    """Cogroups of unordered pairs of blocks, each holding only the points that can have a neighbour in the other."""
     spark = points.sparkSession
-    table = spark.createDataFrame(
-        [(p, cells.first[p], cells.blocks[p], [(cells.first[q], cells.blocks[q]) for q in cells.partners[p]])
-         for p in range(len(cells.blocks)) if cells.blocks[p]],
-        "pivot int, first int, n int, near array<struct<first: int, n: int>>")
-    spans = F.flatten(F.transform("near", lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1)))
-    own = (points.join(F.broadcast(table), "pivot")  # at most one row per pivot
-           .select("id", "weight", *carry, (F.col("first") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int").alias("_own"),
-                   spans.alias("_others")))
+    first, n = (F.array(*[F.lit(x) for x in numbers]) for numbers in (cells.first, cells.blocks))  # one number per pivot
+    spans = F.flatten(F.transform("cells", lambda c: F.sequence(F.get(first, c), F.get(first, c) + F.get(n, c) - 1)))
+    own = points.select("id", "weight", *carry,
+                        (F.get(first, F.col("pivot")) + F.pmod(F.xxhash64("id"), F.get(n, F.col("pivot")))).cast("int").alias("_own"),
+                        spans.alias("_others"))
     left = own.withColumn("_j", F.explode(F.filter("_others", lambda o: o >= F.col("_own")))).withColumn("_i", F.col("_own"))
     right = own.withColumn("_i", F.explode(F.filter("_others", lambda o: o <= F.col("_own")))).withColumn("_j", F.col("_own"))
-    tasks = min(cells.pairs(), max(2 * spark.sparkContext.defaultParallelism,
-                                   int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    every = sum(cells.blocks)
+    tasks = min(max(1, every * (every + 1) // 2), max(2 * spark.sparkContext.defaultParallelism,
+                                                      int(spark.conf.get("spark.sql.shuffle.partitions"))))
     keep = ["id", "weight", *carry, "_i", "_j"]
     return (left.select(*keep).repartition(tasks, "_i", "_j").groupBy("_i", "_j")
             .cogroup(right.select(*[F.col(c).alias(c) for c in keep]).repartition(tasks, "_i", "_j").groupBy("_i", "_j")))
@@ -291,11 +291,13 @@ def density_clusters(vectors: DataFrame, id_col: str, vector_col: str, eps: floa
     ``eps`` of it on the unit sphere; core points within ``eps`` share a cluster;
     any other point joins its nearest core point if that is within ``eps``.
     Clusters under ``min_size`` (default: a fortieth of the rows, at least 5)
-    become noise.  Ids are whole numbers.
+    become noise.  Ids are whole numbers.  The usual length of the vectors is the
+    width; a vector that is null, of another length or holds null, NaN or infinity is noise.
     """
     ensure_checkpoint_dir(vectors.sparkSession)
-    every = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("weight"))
-    rows = every.count()
+    given = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("weight"))
+    every = usable(given, "weight", usual_width(given, "weight"))
+    rows = given.count()
     min_size = max(5, rows // 40) if min_size is None else min_size
     limit = round(eps * eps, 9)
 
@@ -321,7 +323,7 @@ def density_clusters(vectors: DataFrame, id_col: str, vector_col: str, eps: floa
         F.col("label").alias("_large"))
     kept = _salted_lookup(member, "label", large, "_large", "id").select(F.col("weight").alias("_vector"), "label")
     placed = _salted_lookup(every, "weight", kept, "_vector", "id").select("id", "label")
-    return (every.select("id").join(placed, "id", "left")
+    return (given.select("id").join(placed, "id", "left")
             .select(F.col("id").alias(id_col), F.coalesce("label", F.lit(-1)).cast(id_type).alias("cluster")))
 
 

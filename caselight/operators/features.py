@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caselight import config
 from caselight.functions import tokens as K
 from caselight.session import ensure_checkpoint_dir
+from caselight.shipping import ship_by_value
 
-# A vocabulary up to this many terms is sent to every task; a larger one is joined by shuffle.
-_BROADCAST_TERMS = 200_000
+ship_by_value(__name__)
 
 
 @dataclass(frozen=True)
@@ -28,10 +32,6 @@ class Vocabulary:
     stop_words: tuple[str, ...] = ()
     ngrams: int = 2
 
-    def join_side(self) -> DataFrame:
-        narrow = self.frame.select("term", "idx", "idf")
-        return F.broadcast(narrow) if self.max_features <= _BROADCAST_TERMS else narrow
-
 
 def document_terms(docs: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] = (),
                    ngrams: int = 2) -> DataFrame:
@@ -83,15 +83,29 @@ def fit_vocabulary(docs: DataFrame, id_col: str, text_col: str, max_features: in
 
 
 def tfidf_weights(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary) -> DataFrame:
-    """Long form ``(id, term, tf, weight)``; unknown terms are dropped.
-
-    A window partition is one document's known terms, at most the vocabulary.
-    """
-    counted = document_terms(docs, id_col, text_col, vocabulary.stop_words, vocabulary.ngrams)
-    known = counted.join(vocabulary.join_side(), "term").select(
-        id_col, "term", "tf", (F.col("tf") * F.col("idf")).alias("_raw"))
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(id_col)))
-    return known.select(id_col, "term", "tf", (F.col("_raw") / norm).alias("weight"))
+    """Long form ``(id, term, tf, weight)``; unknown terms are dropped.  Map-only: the vectors' entries, named."""
+    kept = [docs.schema[id_col], *T.StructType.fromDDL("term string, tf int, weight double").fields]
+    if vocabulary.frame.isEmpty():
+        return docs.sparkSession.createDataFrame([], T.StructType(kept))
+    stages = tfidf_stages(vocabulary)
+    counted = stages.transform(with_terms(docs, text_col, vocabulary)).select(id_col, "_counts", "features")
+    return counted.mapInArrow(_named(id_col, stages.stages[0].vocabulary), T.StructType(kept))
+
+
+def _named(id_col: str, terms: Sequence[str], rows: int = 256):
+    """Entries of sparse vectors as rows, for a few vectors at a time; the terms are the bounded vocabulary."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(terms, pa.string())
+        for batch in batches:
+            for start in range(0, len(batch), rows):
+                part = batch.slice(start, rows)
+                index, weight = (part.column(2).field(x) for x in ("indices", "values"))
+                counts = part.column(1).field("values")
+                owner = pa.array(np.repeat(np.arange(len(part)), pc.list_value_length(index).fill_null(0).to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(owner), names.take(index.flatten()), counts.flatten().cast(pa.int32()), weight.flatten()],
+                    [id_col, "term", "tf", "weight"])
+    return run
 
 
 def tfidf_stages(vocabulary: Vocabulary, input_col: str = "terms", output_col: str = "features") -> PipelineModel:
@@ -122,6 +136,6 @@ def with_terms(docs: DataFrame, text_col: str, vocabulary: Vocabulary, output_co
     return docs.withColumn(output_col, terms)
 
 
-def full_partitions(features: DataFrame, rows: int, at_least: int = 10_000) -> DataFrame:
-    """Merge near-empty partitions before an iterative fit, which runs one job over all of them per step."""
-    return features.coalesce(max(1, rows // at_least))
+def merged_partitions(features: DataFrame, rows: int, at_least: int = 10_000) -> DataFrame:
+    """Merge near-empty partitions before an iterative fit, which runs one job over all of them per step; never below the cores."""
+    return features.coalesce(max(features.sparkSession.sparkContext.defaultParallelism, rows // at_least))

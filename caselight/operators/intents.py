@@ -7,13 +7,13 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IndexToString, StringIndexer, StopWordsRemover
+from pyspark.ml.feature import IndexToString, StopWordsRemover, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselight import config
-from caselight.operators.features import Vocabulary, fit_vocabulary, full_partitions, tfidf_stages, with_terms
+from caselight.operators.features import Vocabulary, fit_vocabulary, merged_partitions, tfidf_stages, with_terms
 
 
 # --- floor ----------------------------------------------------------------------
@@ -88,10 +88,11 @@ def fit_intent_model(train: DataFrame, id_col: str, text_col: str, label: str,
         weight = F.when(F.col(label) == row[label], F.lit(row["weight"])).otherwise(weight)
     vocabulary = fit_vocabulary(train, id_col, text_col, max_features, stop_words, ngrams)
     features = tfidf_stages(vocabulary, "_terms", "_features")
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(train)
+    # the labels are known from the weights; Spark orders them by code point, as Python does
+    indexer = StringIndexerModel.from_labels(sorted(str(row[label]) for row in weights), label, "_label")
     ready = features.transform(with_terms(train, text_col, vocabulary, "_terms"))
     rows = sum(row["n"] for row in weights)
-    ready = full_partitions(indexer.transform(ready).select("_features", "_label", weight.alias("_weight")),
+    ready = merged_partitions(indexer.transform(ready).select("_features", "_label", weight.alias("_weight")),
                             rows).persist()
     try:
         regression = LogisticRegression(

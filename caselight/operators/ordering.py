@@ -29,9 +29,11 @@ def head_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 def sample_n(df: DataFrame, n: int | None, id_cols: Sequence[str], seed: int = 42) -> DataFrame:
     """A uniform sample of ``n`` rows that depends only on the seed and the ids.
 
-    Rows are ordered by a digest of (seed, ids).  A 65,536-bucket histogram of the
-    digest finds the bucket in which row ``n`` lies, so the final sort sees about
-    ``n`` rows instead of ``n`` per input partition.  ``None`` or 0 keeps all rows.
+    Rows are ordered by a digest of (seed, ids).  A 65,536-bucket histogram finds the
+    bucket in which row ``n`` lies; the rows of that one bucket, about a 65,536th of
+    the input, are ranked to find the last row that stays.  The sample itself is a
+    filter: nothing is sorted and it stays as spread as the input.  Rows that repeat
+    all ids stay or go together.  ``None`` or 0 keeps all rows.
     """
     if not n:
         return df
@@ -40,6 +42,11 @@ def sample_n(df: DataFrame, n: int | None, id_cols: Sequence[str], seed: int = 4
     histogram = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(
         F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = histogram.withColumn("_before", before).where(F.col("_before") < n).agg(F.max("_bucket").alias("cut"))
-    return (keyed.where(F.col("_bucket") <= cut.scalar())
-            .orderBy("_digest", *id_cols).limit(n).drop("_digest", "_bucket"))
+    cut = (histogram.withColumn("_before", before).where(F.col("_before") < n)
+           .agg(F.max_by(F.struct("_bucket", "_before"), "_bucket").alias("cut")))
+    key = F.struct("_digest", *id_cols)
+    edge = (keyed.where(F.col("_bucket") == cut.select("cut._bucket").scalar())
+            .select(key.alias("_key"), F.row_number().over(Window.orderBy("_digest", *id_cols)).alias("_rank"))
+            .where(F.col("_rank") <= n - cut.select("cut._before").scalar())
+            .agg(F.max("_key").alias("last")))
+    return keyed.where(key <= edge.scalar()).drop("_digest", "_bucket")

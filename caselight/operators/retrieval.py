@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselight import config
-from caselight.operators.blocks import Size, block_top_k, text_size, vector_size
+from caselight.operators.blocks import Size, block_top_k, text_size, usable, usual_width, vector_size
 from caselight.operators.features import Vocabulary, fit_vocabulary, tfidf_stages, tfidf_vectors
 from caselight.session import ensure_checkpoint_dir
 
@@ -26,6 +26,11 @@ class SparseIndex:
     doc_id: str
     payload: tuple[str, ...]
 
+    @property
+    def width(self) -> int:
+        """Length of the vectors: the terms of the fitted stage."""
+        return len(self.stages.stages[0].vocabulary)
+
     def written(self) -> "SparseIndex":
         """The same index read back from the shared checkpoint; for use over many batches."""
         ensure_checkpoint_dir(self.vectors.sparkSession)
@@ -49,7 +54,7 @@ def search(index: SparseIndex, queries: DataFrame, query_id: str, text_col: str,
     """
     vectors = tfidf_vectors(queries, query_id, text_col, index.vocabulary, index.stages)
     hits = block_top_k(vectors, index.vectors, k, "sparse", query_id, index.doc_id,
-                       query_size or text_size(queries, text_col), index.size, index.payload)
+                       query_size or text_size(queries, text_col), index.size, index.payload, index.width)
     return hits if pad else hits.where(F.col("score") > 0)
 
 
@@ -62,11 +67,17 @@ def retrieve_sparse(queries: DataFrame, corpus: DataFrame, query_id: str, query_
 
 def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: str, doc_id: str,
                    doc_vector: str, k: int = config.TOP_K, payload: Sequence[str] = ()) -> DataFrame:
-    """Inner product of L2-normalised vectors, exact flat search."""
-    left = queries.select(query_id, F.col(query_vector).alias("features"))
+    """Inner product of L2-normalised vectors, exact flat search.
+
+    The usual length of the corpus vectors is the width; a row of either side whose vector is
+    null, of another length or holds null, NaN or infinity takes no part and has no hits.
+    """
     right = corpus.select(doc_id, F.col(doc_vector).alias("features"), *payload)
+    width = usual_width(right, "features")
+    left = usable(queries.select(query_id, F.col(query_vector).alias("features")), "features", width)
+    right = usable(right, "features", width)
     return block_top_k(left, right, k, "dense", query_id, doc_id, vector_size(left, "features"),
-                       vector_size(right, "features"), payload)
+                       vector_size(right, "features"), payload, width)
 
 
 def top1_scores(queries: DataFrame, hits: DataFrame, query_id: str) -> DataFrame:

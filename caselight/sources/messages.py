@@ -13,25 +13,26 @@ TUNING = "tuning_id string, cust_text string, true_intent string, should_escalat
 HUMAN_RATINGS = ("tweet_id string, cust_text string, human_groundedness int, human_correctness int, "
                  "human_brand_voice int, human_actionability int, human_safety int")
 
-_CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+_CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
-def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """Header row, quoted line breaks, doubled quotes.
 
     A file with quoted line breaks cannot be split, so one file is one task: bring
-    a large table as many files, or convert it once with ``write_pairs``.
+    a large table as many files, or, if no text holds a line break, read it with
+    ``multi_line=False``, which splits large files.
     """
-    return spark.read.schema(schema).options(**_CSV).csv(path)
+    return spark.read.schema(schema).options(multiLine=multi_line, **_CSV).csv(path)
 
 
-def scan_messages(spark: SparkSession, path: str) -> DataFrame:
+def scan_messages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """The thread table, every column a nullable string."""
-    return scan_csv(spark, path, RAW_MESSAGES)
+    return scan_csv(spark, path, RAW_MESSAGES, multi_line)
 
 
-def scan_labelled(spark: SparkSession, path: str, schema: str = GOLDEN) -> DataFrame:
-    return scan_csv(spark, path, schema)
+def scan_labelled(spark: SparkSession, path: str, schema: str = GOLDEN, multi_line: bool = True) -> DataFrame:
+    return scan_csv(spark, path, schema, multi_line)
 
 
 def scan_pairs(spark: SparkSession, path: str) -> DataFrame:

@@ -145,3 +145,18 @@ def test_report_and_names(spark):
     assert rows == [(0, 1, 0, 5), (0, 2, 2, 5), (1, 1, 1, 4), (1, 2, 3, 4)]
     named = C.cluster_label_map(df, {0: "zero"}).collect()
     assert {(r["cluster"], r["label"]) for r in named} == {(0, "zero"), (1, "other_uncategorised")}
+
+
+def test_density_skips_points_out_of_reach(spark, monkeypatch):
+    monkeypatch.setattr(C, "_PAIR_ROWS", 11)
+    points = blobs(per=60)
+    cells = C._cells(vectors(spark, points).select("id", F.col("v").alias("weight"), F.lit(1).alias("copies")), len(points), 0.15)
+    visited = cells.points.agg(F.sum(F.size("cells"))).first()[0]
+    assert visited < len(points) * len(cells.blocks) / 2
+
+
+def test_density_of_odd_vectors(spark):
+    points = [[1.0, 0.0]] * 6 + [None, [1.0], [None, 1.0], [float("nan"), 1.0]]
+    df = spark.createDataFrame(list(enumerate(points)), "id long, v array<double>")
+    got = [r["cluster"] for r in C.density_clusters(df, "id", "v", 0.3, 5, 5).orderBy("id").collect()]
+    assert got == [0] * 6 + [-1] * 4

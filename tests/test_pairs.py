@@ -92,3 +92,8 @@ def test_pairs_parquet(spark, tmp_path):
     built = O.build_pairs(messages(spark), "Desk", None)
     S.write_pairs(built, str(tmp_path / "p"))
     assert ids(S.scan_pairs(spark, str(tmp_path / "p"))) == ids(built)
+
+
+def test_sample_stays_spread(spark, plan):
+    sample = sample_n(spark.range(5000).select(F.col("id").cast("string").alias("a")), 4000, ["a"])
+    assert sample.rdd.getNumPartitions() > 1 and sample.count() == 4000

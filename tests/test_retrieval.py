@@ -161,3 +161,60 @@ def test_top_terms_exact_with_one_shuffle_of_terms(spark, plan, n):
     top.collect()
     final = plan(top, "simple").split("Initial Plan")[0]
     assert "ReusedExchange [term" in final
+
+
+def clustered(spark, groups=12, per=15):
+    """Texts of groups that share no word, and vectors about as many axes."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"g{g}w{rng.integers(6)}" for _ in range(8)) for g in range(groups) for _ in range(per)]
+    points = np.repeat(np.eye(groups), per, axis=0) + rng.normal(scale=0.03, size=(groups * per, groups))
+    return spark.createDataFrame([(i, t, [float(x) for x in p]) for i, (t, p) in enumerate(zip(texts, points))], "doc_id long, text string, v array<double>"), texts, points
+
+
+@pytest.mark.parametrize("scorer", ["sparse", "dense"])
+def test_pruning_skips_cells_and_loses_nothing(spark, monkeypatch, scorer):
+    from caselight.operators import cells as X
+    docs, texts, points = clustered(spark)
+    asked = docs.withColumnRenamed("doc_id", "query_id")
+    visits, compare = [], X.compare
+
+    def watched(sent, placed, k, *rest):
+        visits.append(sent.agg(F.sum(F.size("cells"))).first()[0])
+        return compare(sent, placed, k, *rest)
+
+    monkeypatch.setattr(X, "compare", watched)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 20)
+    if scorer == "sparse":
+        got = rows(R.retrieve_sparse(asked, docs, "query_id", "text", "doc_id", "text", 3))
+        want = brute(texts, texts, 3)
+    else:
+        got = rows(R.retrieve_dense(asked, docs, "query_id", "v", "doc_id", "v", 3))
+        unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+        scores = np.round(unit @ unit.T, 9)
+        want = [(i, r + 1, int(j), round(float(scores[i, j]), 6) + 0.0) for i in range(len(unit))
+                for r, j in enumerate(np.lexsort((np.arange(len(unit)), -scores[i]))[:3])]
+    assert got == want
+    cells = 4 * math.ceil(len(texts) / 20)
+    assert sum(visits) < len(texts) * cells / 3
+
+
+@pytest.mark.parametrize("block", [20_000, 4])
+def test_repeated_ids_raise_whatever_the_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(B, "BLOCK_ROWS", block)
+    docs, queries = frames(spark)
+    for q, d in ((queries.unionByName(queries.limit(1)), docs), (queries, docs.unionByName(docs.limit(1)))):
+        with pytest.raises(Exception, match="needs its own id"):
+            R.retrieve_sparse(q, d, "query_id", "text", "doc_id", "text", 3).collect()
+
+
+def test_odd_vectors_take_no_part(spark):
+    vectors = [[1.0, 0.0], None, [1.0], [1.0, 2.0, 3.0], [0.0, 1.0], [None, 1.0], [float("nan"), 0.0], [float("inf"), 0.0], []]
+    df = spark.createDataFrame(list(enumerate(vectors)), "doc_id long, v array<double>")
+    got = rows(R.retrieve_dense(df.withColumnRenamed("doc_id", "query_id"), df, "query_id", "v", "doc_id", "v", 3))
+    assert got == [(0, 1, 0, 1.0), (0, 2, 4, 0.0), (4, 1, 4, 1.0), (4, 2, 0, 0.0)]
+
+
+def test_weights_are_map_only(spark, plan):
+    docs, _ = frames(spark)
+    text = plan(FE.tfidf_weights(docs, "doc_id", "text", FE.fit_vocabulary(docs, "doc_id", "text")), "simple")
+    assert "Exchange" not in text and "Window" not in text
