@@ -5,8 +5,10 @@ Java's ``\\w \\d \\s \\b`` are ASCII by default, so the classes are spelled out.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,9 +42,10 @@ _PLAIN = "'" * 5 + '"' * 4 + " " + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
 _CROOKED = (rf"[ʼ\x{{2018}}-\x{{201f}}\x{{3000}}\x{{ff01}}-\x{{ff5e}}\x{{fb00}}-\x{{fb06}}\r\x{{85}}\x{{2028}}\x{{2029}}"
             rf"{_CONTROL}]")
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st"}
-# "&amp;" last: what it uncovers is not decoded again.
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-             ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# The public HTML standard's names, as Python's library lists them; the usual ones are tried first.
+_NAMED = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")}, ensure_ascii=False)
+_USUAL = ("amp", "lt", "gt", "quot", "apos", "nbsp")
+_REFERENCE = r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,10 +53,36 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _numbered(n: Column) -> Column:
+    """The character of a numeric reference, by the HTML standard's rules for numbers that name none."""
+    def between(*ends: tuple[int, int]) -> Column:
+        return reduce(lambda a, b: a | b, [n.between(*e) for e in ends])
+
+    windows = F.array(*[F.lit(_CP1252.get(b, chr(b))) for b in range(0x80, 0xA0)])
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return (F.when((n == 0) | (n > 0x10FFFF) | between((0xD800, 0xDFFF)), F.lit("\ufffd"))
+            .when(between((0x80, 0x9F)), F.get(windows, (n - 0x80).cast("int")))
+            .when(between((1, 8), (0xB, 0xB), (0xE, 0x1F), (0x7F, 0x7F), (0xFDD0, 0xFDEF)) | (n.bitwiseAND(0xFFFE) == 0xFFFE), F.lit(""))
+            .otherwise(plain))
+
+
 def decode_entities(text: Column) -> Column:
-    """Common HTML entities; text that holds a literal ``<`` is left alone (it is markup)."""
+    """Named and numeric HTML references that end in a semicolon, each decoded once.
+
+    What is no reference stays; text that holds a literal ``<`` is left alone (it is markup).
+    """
+    def after_sign(part: Column) -> Column:
+        def named(name: Column) -> Column:
+            known = reduce(lambda c, u: c.when(name == u, F.lit(html5[u + ";"])), _USUAL[1:], F.when(name == _USUAL[0], F.lit("&")))
+            number = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
+            known = known.when(name.startswith("#"), bind(number.try_cast("bigint"), _numbered))
+            found = known.otherwise(F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), name))
+            return F.coalesce(F.concat(found, F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part))
+        return F.when(part.rlike(_REFERENCE), bind(F.regexp_extract(part, _REFERENCE, 1), named)).otherwise(F.concat(F.lit("&"), part))
+
     def decoded(t: Column) -> Column:
-        out = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ENTITIES, t)
+        parts = F.split(t, "&")
+        out = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), after_sign), ""))
         return F.when(F.contains(t, F.lit("&")) & ~F.contains(t, F.lit("<")), out).otherwise(t)
 
     return bind(text, decoded)

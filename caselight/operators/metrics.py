@@ -6,7 +6,6 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -215,23 +214,29 @@ def _two_sided_p(rho: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def t_test_p(rho: float, n: int) -> float:
-    """Two-sided p of a rank correlation over n pairs (Abramowitz & Stegun 26.7.3-4, 26.7.8 for large n)."""
+    """Two-sided p of a rank correlation over n pairs: I_x((n - 2) / 2, 1 / 2) at x = 1 - rho^2."""
     if math.isnan(rho):
         return math.nan
-    freedom = n - 2
     if abs(rho) >= 1.0 - 1e-15:
         return 0.0
-    t = abs(rho) * math.sqrt(freedom / (1.0 - rho * rho))
-    if freedom > 100_000:
-        z = t * (1 - 1 / (4 * freedom)) / math.sqrt(1 + t * t / (2 * freedom))
-        return math.erfc(z / math.sqrt(2))
-    theta = math.atan(t / math.sqrt(freedom))
-    sin, cos = math.sin(theta), math.cos(theta)
-    if freedom % 2 == 0:
-        steps = np.arange(1, freedom // 2)
-        inside = sin * (1 + np.cumprod((2 * steps - 1) / (2 * steps) * cos * cos).sum())
-    else:
-        steps = np.arange(1, (freedom - 1) // 2)
-        series = cos * (1 + np.cumprod(2 * steps / (2 * steps + 1) * cos * cos).sum()) if freedom > 1 else 0.0
-        inside = 2 / math.pi * (theta + sin * series)
-    return max(0.0, 1.0 - inside)
+    return min(1.0, _regularised_beta(1.0 - rho * rho, rho * rho, (n - 2) / 2, 0.5))
+
+
+def _regularised_beta(x: float, y: float, a: float, b: float) -> float:
+    """I_x(a, b) with y = 1 - x, by its continued fraction (DLMF 8.17.22); as many terms as it needs."""
+    if x <= 0.0 or y <= 0.0:
+        return 0.0 if x <= 0.0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _regularised_beta(y, x, b, a)
+    scale = math.exp(a * math.log(x) + b * math.log(y) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    top, bottom = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1))
+    value, m = bottom, 0
+    while True:
+        m += 1
+        before = value
+        for d in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                  -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            top, bottom = 1.0 + d / top, 1.0 / (1.0 + d * bottom)
+            value *= top * bottom
+        if abs(value - before) <= 1e-14 * abs(value):
+            return scale * value

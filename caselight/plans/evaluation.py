@@ -24,13 +24,26 @@ def weakly_labelled(pairs: DataFrame, text_col: str = "cust_text_clean",
 
 
 def train_eval_baselines(train: DataFrame, id_col: str, text_col: str, label: str, golden: DataFrame,
-                         golden_text: str, truth: str, **fit) -> tuple[intents.IntentModel, DataFrame]:
-    """The fitted model, and ``(model, accuracy, macro_f1)`` for the majority floor and for it."""
+                         golden_text: str, truth: str, answers: DataFrame | None = None, golden_id: str | None = None,
+                         labels: Sequence[str] = config.LABELS, **fit) -> tuple[intents.IntentModel, DataFrame]:
+    """The fitted model, and ``(model, accuracy, macro_f1, report)`` for the majority floor and for it.
+
+    ``report`` holds the rows of the classification report over ``labels``.  With ``answers``
+    ``(golden_id, raw)`` of a language model a third row, ``llm``, follows; the same
+    answers serve the policy through ``handling.answers_classifier``.
+    """
     model = intents.fit_intent_model(train, id_col, text_col, label, **fit)
-    floor = metrics.accuracy_macro_f1(intents.predict_majority(train, label, golden), truth, "predicted")
-    fitted = metrics.accuracy_macro_f1(model.predict(golden, golden_text), truth, "intent")
-    return model, (floor.select(F.lit("trivial").alias("model"), "*")
-                   .unionByName(fitted.select(F.lit("tfidf").alias("model"), "*")))
+    out = (_evaluated("trivial", intents.predict_majority(train, label, golden), truth, "predicted", labels)
+           .unionByName(_evaluated("tfidf", model.predict(golden, golden_text), truth, "intent", labels)))
+    if answers is not None:
+        answered = labels_from_responses(golden, answers, golden_id, labels=labels)
+        out = out.unionByName(_evaluated("llm", answered, truth, "intent", labels))
+    return model, out
+
+
+def _evaluated(name: str, rows: DataFrame, truth: str, predicted: str, labels: Sequence[str]) -> DataFrame:
+    report = _many(metrics.classification_report(rows, truth, predicted, labels), ["label"])
+    return metrics.accuracy_macro_f1(rows, truth, predicted).select(F.lit(name).alias("model"), "*", report.alias("report"))
 
 
 def scored_golden(golden: DataFrame, index: R.SparseIndex, classify: Classifier, id_col: str, text_col: str,
@@ -75,7 +88,9 @@ def metrics_document(scored: DataFrame, baselines: DataFrame, text_col: str, tru
     if judge is not None:
         columns.append(_one(metrics.judge_means(judge)).alias("reply_quality_judge"))
     if agreement is not None:
-        columns.append(_many(metrics.spearman_by_axis(agreement), ["axis"]).alias("judge_human_agreement"))
+        columns.append(F.struct(
+            agreement.agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_examples_rated"),
+            _many(metrics.spearman_by_axis(agreement), ["axis"]).alias("spearman_by_axis")).alias("judge_human_agreement"))
     return spark.range(1).select(*columns)
 
 

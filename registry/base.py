@@ -46,12 +46,10 @@ REPLIES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A given table.  With ``spread``, a scan too small to fill the cores is dealt out to them first."""
+    """A given table.  With ``spread``, a scan with fewer tasks than cores is dealt out to them first; a large one never is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def pick(options: tuple[str, ...], number: Column) -> Column:
@@ -100,7 +98,7 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A language-model judge's raw answer per document: fenced, bare, broken, partial or prose."""
+    """A language-model judge's raw answer per document: fenced, bare, badly typed, broken, partial or prose."""
     d = table(spark, sf_dir, "documents")
     n, i = F.col("n_chars"), F.col("doc_id")
     grades = {"groundedness": 1 + n % 5, "correctness": 1 + F.floor(n / 5) % 5, "brand_voice": 1 + i % 5,
@@ -111,7 +109,9 @@ def judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit("{"), *parts, F.lit('"rationale": "read '), n.cast("string"), F.lit('"}'))
 
     full = body(config.JUDGE_AXES)
+    odd = F.regexp_replace(F.regexp_replace(full, r'"groundedness": (\d)', r'"groundedness": "$1"'), r'"correctness": \d', '"correctness": "n/a"')
     raw = (F.when(i % 5 == 0, F.concat(F.lit("```json\n"), full, F.lit("\n```")))
+           .when(i % 10 == 1, odd)
            .when(i % 5 == 1, full)
            .when(i % 5 == 2, F.concat(F.lit("{"), full))
            .when(i % 5 == 3, body(config.JUDGE_AXES[:4]))

@@ -138,7 +138,9 @@ def _body(axes) -> str:
 
 
 ANSWERS = f"""answers AS (SELECT doc_id::VARCHAR AS tweet_id, CASE doc_id % 5
-  WHEN 0 THEN '```json' || chr(10) || {_body(config.JUDGE_AXES)} || chr(10) || '```' WHEN 1 THEN {_body(config.JUDGE_AXES)}
+  WHEN 0 THEN '```json' || chr(10) || {_body(config.JUDGE_AXES)} || chr(10) || '```' WHEN 1 THEN
+    CASE WHEN doc_id % 10 = 1 THEN regexp_replace(regexp_replace({_body(config.JUDGE_AXES)}, '"groundedness": ([0-9])', '"groundedness": "\\1"'),
+      '"correctness": [0-9]', '"correctness": "n/a"') ELSE {_body(config.JUDGE_AXES)} END
   WHEN 2 THEN '{{' || {_body(config.JUDGE_AXES)} WHEN 3 THEN {_body(config.JUDGE_AXES[:4])}
   ELSE 'I would say ' || (n_chars % 5) END AS raw FROM documents)"""
 _AXES = ", ".join(f"CASE WHEN ok THEN TRY_CAST(json_extract_string(body, '$.{a}') AS DOUBLE) END AS {a}" for a in config.JUDGE_AXES)
@@ -180,7 +182,11 @@ _LONG = " UNION ALL ".join(f"SELECT {B.lit(a)} AS axis, {a} AS j, human_{a}::DOU
 @query("spearman", f"""WITH {JUDGED}, {HUMAN}, merged AS (SELECT * FROM judged JOIN human USING (tweet_id)), long AS ({_LONG}),
 ranked AS (SELECT axis, rank() OVER (PARTITION BY axis ORDER BY j) + (count(*) OVER (PARTITION BY axis, j) - 1) / 2 AS rj,
   rank() OVER (PARTITION BY axis ORDER BY h) + (count(*) OVER (PARTITION BY axis, h) - 1) / 2 AS rh FROM long)
-SELECT axis, round(corr(rj, rh), 6) AS spearman_rho, count(*) AS n FROM ranked GROUP BY axis HAVING count(*) > 2""")
+, rho AS (SELECT axis, corr(rj, rh) AS r, count(*) AS n, count(*) - 2 AS f FROM ranked GROUP BY axis HAVING count(*) > 2),
+series AS (SELECT *, 1 + coalesce(list_sum(list_transform(range(1, f // 2), lambda j: exp(j * ln(1 - r * r) + CASE WHEN f % 2 = 0
+    THEN lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1) ELSE lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5) END))), 0) AS s FROM rho)
+SELECT axis, round(r, 6) AS spearman_rho, round(greatest(0, 1 - CASE WHEN f % 2 = 0 THEN abs(r) * s
+    ELSE 2 / pi() * (asin(abs(r)) + CASE WHEN f > 1 THEN abs(r) * sqrt(1 - r * r) * s ELSE 0 END) END), 6) AS p_value, n FROM series""")
 def _(spark, sf):
     merged = M.ratings_join(_judged(spark, sf), B.human_ratings(spark, sf))
-    return M.spearman_by_axis(merged).select("axis", F.round("spearman_rho", 6).alias("spearman_rho"), "n")
+    return rounded(M.spearman_by_axis(merged), "spearman_rho", "p_value").select("axis", "spearman_rho", "p_value", "n")

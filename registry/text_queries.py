@@ -64,12 +64,34 @@ def _docs(spark, sf):
     return B.documents(spark, sf)
 
 
-@query("fix_encoding", rf"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages),
-a AS (SELECT page_id, {B.sql_entities('title')} AS title FROM t)
-SELECT page_id, {B.sql_straight('title')} AS title FROM a""")
+REFERENCES = (("caf&eacute; &#8217;s", "café 's"), ("&copy; &#233; &#x1F600;", "© é 😀"), ("a &amp;lt; b &hellip;", "a &lt; b …"),
+              ("&noname; &#x; & &#55555555555;", "&noname; &#x; & &#55555555555;"), ("&AMP;&nbsp;x &frac12;", "&\u00a0x ½"),
+              ("5 &#128; &#0; &Sigma;&sigma;", "5 € \ufffd Σσ"))
+MOJIBAKE = (("cafÃ© nÂº", "café nº"), ("itâ€™s", "it's"), ("naÃ¯ve â€œquoteâ€\x9d", 'naïve "quote"'), ("plain", "plain"),
+            ("schon gut: é", "schon gut: é"), ("StraÃŸe", "Straße"))
+
+
+def _side(phrases, at: int, number: str) -> str:
+    return B.sql_pick(tuple(p[at] for p in phrases), number)
+
+
+@query("fix_encoding", rf"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, html FROM pages),
+a AS (SELECT page_id, {B.sql_entities('title')} AS title, html FROM t)
+SELECT 'title' AS kind, page_id AS id, {B.sql_straight('title')} AS text FROM a
+UNION ALL SELECT 'page', page_id, {B.sql_straight('html')} FROM a
+UNION ALL SELECT 'document', doc_id, CASE WHEN contains(text, '<') THEN {B.sql_straight(f"text || ' ' || {_side(REFERENCES, 0, 'doc_id')}")}
+  ELSE {B.sql_straight(B.sql_entities('text'))} || ' ' || {_side(REFERENCES, 1, 'doc_id')} END FROM documents
+UNION ALL SELECT 'phrase', doc_id, {_side(MOJIBAKE, 1, 'doc_id')} || ' ' || doc_id FROM documents""")
 def _(spark, sf):
-    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    return B.table(spark, sf, "pages", spread=True).select("page_id", T.fix_encoding(title).alias("title"))
+    """Page titles, whole pages, whole documents with references behind them, and phrases that were read in the wrong encoding."""
+    pages, docs = B.table(spark, sf, "pages", spread=True), B.table(spark, sf, "documents", spread=True)
+    part = lambda df, kind, key, text: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), text.alias("text"))
+    phrase = lambda phrases: B.pick(tuple(p[0] for p in phrases), F.col("doc_id"))
+    given = (part(pages, "title", "page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1))
+             .unionByName(part(pages, "page", "page_id", F.col("html")))
+             .unionByName(part(docs, "document", "doc_id", F.concat_ws(" ", "text", phrase(REFERENCES))))
+             .unionByName(part(docs, "phrase", "doc_id", F.concat_ws(" ", phrase(MOJIBAKE), F.col("doc_id").cast("string")))))
+    return given.select("kind", "id", T.fix_encoding(F.col("text")).alias("text"))
 
 
 @query("normalise_mentions", f"WITH {B.DOCUMENTS} SELECT doc_id, {B.sql_mentions('text')} AS text FROM docs")

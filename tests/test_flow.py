@@ -122,7 +122,9 @@ def test_document(spark, tmp_path):
     golden = asked(spark).where("id < '7'").withColumns({"true_intent": F.lit("battery_power"), "should_escalate": F.col("id") > "2",
                                                          "source": F.lit("own")})
     train = E.weakly_labelled(spark.createDataFrame(PAIRS, "pair_id string, cust string, reply string"), "cust")
-    model, baselines = E.train_eval_baselines(train, "pair_id", "cust", "weak_label", golden, "text", "true_intent")
+    answers = golden.select("id", F.when(F.col("id") != "1", F.lit("battery_power")).otherwise(F.lit("no idea")).alias("raw"))
+    model, baselines = E.train_eval_baselines(train, "pair_id", "cust", "weak_label", golden, "text", "true_intent", answers, "id")
+    assert {r["intent"] for r in H.answers_classifier(answers, "id")(golden).collect()} == {"battery_power", "other_uncategorised"}
     scored = E.scored_golden(golden, index(spark), H.rule_classifier(), "id", "text")
     grades = spark.createDataFrame([(str(i), *[float(1 + (i + j) % 5) for j in range(5)]) for i in range(6)],
                                    "tweet_id string, " + ", ".join(f"{a} double" for a in config.JUDGE_AXES))
@@ -130,8 +132,11 @@ def test_document(spark, tmp_path):
                                   "tweet_id string, " + ", ".join(f"human_{a} int" for a in config.JUDGE_AXES))
     E.write_evaluation(scored, baselines, "text", str(tmp_path), judge=grades, agreement=M.ratings_join(grades, human))
     out = json.loads(spark.read.text(str(tmp_path / "metrics")).first()[0])
-    assert out["golden_set_size"] == 6 and len(out["escalation_threshold_sweep"]) == 25 and len(out["judge_human_agreement"]) == 5
-    assert {b["model"] for b in out["intent_classification"]} == {"tfidf", "trivial"}
+    assert out["golden_set_size"] == 6 and len(out["escalation_threshold_sweep"]) == 25 and len(out["judge_human_agreement"]["spearman_by_axis"]) == 5
+    assert out["judge_human_agreement"]["n_examples_rated"] == 6
+    told = {b["model"]: b for b in out["intent_classification"]}
+    assert set(told) == {"tfidf", "trivial", "llm"} and told["llm"]["accuracy"] == pytest.approx(5 / 6)
+    assert {r["label"] for r in told["llm"]["report"]} >= {*config.LABELS, "macro avg", "weighted avg"}
     assert out["escalation"]["n_true"] == 4 and out["false_negatives"] == 1
     assert spark.read.json(str(tmp_path / "false_negatives")).first()["text"] == "charged twice please refund"
     assert out["reply_quality_judge"]["n_scored"] == 6

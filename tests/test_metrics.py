@@ -127,8 +127,16 @@ def test_p_values():
     assert M.t_test_p(1.7 / math.sqrt(1.7**2 + 8), 10) == pytest.approx(0.12755, abs=1e-5)
     assert M.t_test_p(1.0 / math.sqrt(2), 3) == pytest.approx(0.5)  # one degree of freedom, t = 1
     assert M.t_test_p(0.0, 17) == pytest.approx(1.0)
-    rho, n = 0.004, 100_002  # either side of the switch to the normal tail
+    rho, n = 0.004, 100_002
     assert M.t_test_p(rho, n) == pytest.approx(M.t_test_p(rho, n + 1), abs=1e-4)
+    assert M.t_test_p(2.0 / math.sqrt(4.0 + 10**9), 10**9 + 2) == pytest.approx(math.erfc(2 / math.sqrt(2)), rel=1e-5)
+    for rho, n in ((0.3, 4), (0.3, 12), (-0.05, 40)):  # even degrees of freedom have a finite sum
+        f, c2 = n - 2, 1 - rho * rho
+        term, total = 1.0, 1.0
+        for j in range(1, f // 2):
+            term *= (2 * j - 1) / (2 * j) * c2
+            total += term
+        assert M.t_test_p(rho, n) == pytest.approx(1 - abs(rho) * total, abs=1e-12)
 
 
 def test_majority_and_sources(spark):

@@ -49,6 +49,13 @@ def test_fix_encoding(spark):
     assert got == ["don't", "café", "café", "Ã", "&lt; <b>", "<b>&amp;</b>", "\"a\" 'b'", "a\nb", "fine AB", "snow ☃ Ã©", None]
 
 
+def test_references_equal_the_standard(spark):
+    import html
+    texts = ["caf&eacute; &#8217;s &copy; &#233;", "&#x1F600;&#128;&#0;&#xD800;&#x110000;&#1;x", "&AMP; &notin; &NotEqualTilde;", "a & b &; &&amp;", "&#x41;&#65;"]
+    assert apply(spark, T.decode_entities, texts) == [html.unescape(t) for t in texts]
+    assert apply(spark, T.decode_entities, ["&noname;", "&#x;", "&amp;lt;", "x < &amp;"]) == ["&noname;", "&#x;", "&lt;", "x < &amp;"]
+
+
 def test_emoji(spark):
     assert apply(spark, T.has_positive_emoji, ["❤️", "❤", "👍!", None, ""]) == [True, False, True, False, False]
     assert apply(spark, T.has_negative_emoji, ["😡😡", "ok", None]) == [True, False, False]
