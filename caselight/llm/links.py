@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from caselight.session import ensure_checkpoint_dir
 
+ROWS_PER_TASK = 5_000  # narrow rows that one task of a round takes on at least
+
 
 def settled(df: DataFrame) -> DataFrame:
     """The frame written to the folder in ``spark.checkpoint.dir``, its lineage cut."""
@@ -14,6 +16,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """The frame in no more partitions than its counted rows need: rounds over a small table must not start a task for every empty one."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(id, label)`` for every end of an edge ``(a, b)``: the smallest id of its component.
 
@@ -21,22 +28,31 @@ def components(edges: DataFrame) -> DataFrame:
     its neighbours to the smallest one near it.  Only a minimum per node is
     gathered, so a popular node makes no large group; it ends when nothing changes.
     """
-    edges = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
+    def tidy(df: DataFrame, rows: int | None = None) -> DataFrame:
+        df = df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return df if rows is None else packed(df, rows)
+
+    def measured(df: DataFrame) -> tuple[int, object]:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    edges = settled(tidy(edges))
+    last = measured(edges)
     while True:
+        rows = last[0]
+        edges = packed(edges, rows)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        low = packed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), rows)
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.unionByName(low.where("low < a").select("a", F.col("low").alias("b")))
-        large = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
+        large = tidy(packed(large, rows).unionByName(low.where("low < a").select("a", F.col("low").alias("b"))), rows)
+        low = packed(large.groupBy("a").agg(F.min("b").alias("low")), rows)
+        small = packed(large.join(low, "a"), rows).select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
             low.select("a", F.col("low").alias("b")))
-        edges = settled(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        edges = settled(tidy(small, rows))
+        state = measured(edges)
         if state == last:
             break
         last = state
     # settled edges form stars: each node names the smallest id of its component
-    return (edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label"))
-            .unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()))
+    edges = packed(edges, last[0])
+    return packed(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label"))
+                  .unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()), last[0])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.links import components, settled
+from caselight.llm.links import components, packed, settled
 from caselight.llm.words import as_long, mix, shingles, word_hashes
 from caselight.shipping import ship_by_value
 
@@ -167,8 +167,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             label = components(edges)
         pairs = settled(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
                         .join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
+        new = pairs.count()
+        if not new:
             continue
+        pairs = packed(pairs, new)
         tested = tested.unionByName(pairs)
         edges = settled(edges.unionByName(_confirmed(pairs, texts, n, threshold, id_type)))
         label = components(edges)
