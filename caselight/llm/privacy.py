@@ -223,16 +223,25 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, strength: float = 0.75,
             .groupBy("copy").agg(F.collect_list(F.struct("start", F.lit(4).alias("place"), "end", "number", "remove")).alias("extra")))
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 0.75, support: int = 3) -> DataFrame:
+def _extra(found: DataFrame, docs: DataFrame, text_col: str, strength: float, support: int, broadcast_rows: int) -> DataFrame:
+    """The disclosing terms by text, written out and counted: broadcast only up to ``broadcast_rows`` texts, so that a text with many copies isn't dealt by its digest."""
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    extra = settled(disclosing_terms(found, texts, strength, support))
+    return F.broadcast(extra) if extra.count() <= broadcast_rows else extra
+
+
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 0.75, support: int = 3,
+                 broadcast_rows: int = 100_000) -> DataFrame:
     """``(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms)`` per row.
 
     ``spans`` lists ``kind:start:end`` of base matches and of disclosing terms
     (kind ``term``) by start, then kind; places are code points, the end is not
     included.  A null or empty text has no spans; repeated rows give one row each, a null id
-    stays null, other columns are not read, and an empty table gives no rows.
+    stays null, other columns are not read, and an empty table gives no rows.  Beyond
+    ``broadcast_rows`` texts with terms these are joined by a shuffle.
     """
     found = detect(docs, id_col, text_col)
-    extra = disclosing_terms(found, docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), strength, support)
+    extra = _extra(found, docs, text_col, strength, support, broadcast_rows)
     names = F.create_map(*[F.lit(x) for at, kind in enumerate((*KINDS, "term")) for x in (at, kind)])
     plain = F.transform("extra", lambda x: F.struct(x["start"].alias("start"), x["place"].alias("place"), x["end"].alias("end")))
     joined = F.array_sort(F.concat("base", F.coalesce(plain, F.expr("array()").cast("array<struct<start:int,place:int,end:int>>"))))
@@ -253,10 +262,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     ``broadcast_rows`` texts; beyond that it is joined by a shuffle.
     """
     found = detect(docs, id_col, text_col)
-    extra = settled(disclosing_terms(found, docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")),
-                                     strength, support))
-    if extra.count() <= broadcast_rows:
-        extra = F.broadcast(extra)
+    extra = _extra(found, docs, text_col, strength, support, broadcast_rows)
     names = docs.columns
     at = names.index(text_col)
     key = F.md5(F.col(text_col).cast("binary"))

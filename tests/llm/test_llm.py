@@ -94,6 +94,7 @@ def test_a_term_that_names_an_entity_is_found(spark, odd, empty):
     text = texts[60]
     assert f"term:{text.index('Zebulon')}:{text.index('Zebulon') + 7}" in rows[60].spans
     assert all(r.spans == "" for i, r in rows.items() if i < 60)
+    assert {r.doc_id: r for r in privacy.find_private(docs, broadcast_rows=0).collect()} == rows
     clean = {r.doc_id: r.text for r in privacy.sanitise(docs).collect()}
     assert "Zebulon" not in clean[60] and "<EMAIL>" in clean[60] and clean[3] == texts[3]
     assert privacy.find_private(odd).count() == odd.count() and privacy.find_private(empty).count() == 0
