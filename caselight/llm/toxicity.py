@@ -27,7 +27,7 @@ from caselight.shipping import ship_by_value
 ship_by_value(__name__)
 
 ROWS_PER_CLASS = 4_000
-CHARS_PER_CLASS = 6_000_000
+ORDINARY = 0.95  # share of a class's texts that count by their full length
 DISCOUNTS = (0.75, 1.5, 3.0, 6.0, 12.0)  # above 1, rare sequences count through the shared backoff alone
 ORDER = 6
 SLICE = 1 << 19  # bytes of text looked at together
@@ -128,20 +128,34 @@ def _distinct_five(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels = batch.column(1).to_numpy()
+        labels, weights = batch.column(1).to_numpy(), batch.column(2).to_numpy()
         for start, stop, keys, offsets in sequences(batch.column(0)):
-            label = np.repeat(labels[start:stop], np.diff(offsets))
+            label, weight = (np.repeat(x[start:stop], np.diff(offsets)) for x in (labels, weights))
             for c in (0, 1):
-                unique, n = np.unique(keys[label == c], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), c, np.int32)), pa.array(unique), pa.array(n, pa.int64())],
+                unique, place = np.unique(keys[label == c], return_inverse=True)
+                n = np.bincount(place, weight[label == c], len(unique))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), c, np.int32)), pa.array(unique), pa.array(n, pa.float64())],
                                                  ["label", "key", "n"])
 
 
-def bounded_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
-                   rows: int, chars: int) -> DataFrame:
-    """``(id, label, fold)`` of at most ``rows`` labelled documents and ``chars`` characters of each class, by a digest of the id.
+def _counted_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sequences counted per text, with its size in bytes; a text without any has one row that counts nothing."""
+    for batch in batches:
+        ids, labels = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        for start, stop, keys, offsets in sequences(batch.column(1)):
+            for row in range(start, stop):
+                low, high = offsets[row - start], offsets[row - start + 1]
+                unique, n = np.unique(keys[low:high], return_counts=True) if high > low else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(unique), ids[row])), pa.array(np.full(len(unique), labels[row], np.int32)), pa.array(unique), pa.array(n, pa.int32())],
+                    ["row", "label", "key", "n"])
+
+
+def bounded_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
+    """``(id, label, fold, weight)`` of at most ``rows`` labelled documents of each class, by a digest of the id, however long they are.
 
     A document marked both ways counts as toxic, a label other than 0 and 1 is left out, and of exact copies one is taken.
+    A text longer than ORDINARY of its class weighs as much as one of that length, so that no single text outweighs the rest.
     """
     marked = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
               .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -154,42 +168,49 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     order = Window.partitionBy("label").orderBy("digest", "id")
     some = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).drop("_n")
     # at most 2 x rows ids: small by construction
-    sized = (docs.select(F.col(id_col).alias("id"), F.length(text_col).alias("size"), F.md5(F.col(text_col).cast("binary")).alias("copy"))
-             .join(F.broadcast(some), "id").groupBy("label", "copy").agg(F.min(F.struct("digest", "id", "size")).alias("one"))
-             .select("label", "one.*"))
-    sums = F.sum(F.coalesce("size", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return settled(sized.withColumn("_s", sums).where(F.col("_s") <= chars)
-                   .select("id", "label", F.pmod(F.shiftright("digest", 20), F.lit(4)).cast("int").alias("fold")))
+    one = settled(docs.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("size"),
+                              F.md5(F.col(text_col).cast("binary")).alias("copy"))
+                  .join(F.broadcast(some), "id").groupBy("label", "copy").agg(F.min(F.struct("digest", "id", "size")).alias("one"))
+                  .select("label", "one.*"))
+    usual = one.groupBy("label").agg(F.expr(f"percentile_disc({ORDINARY}) WITHIN GROUP (ORDER BY size)").alias("usual"))  # two rows
+    return settled(one.join(F.broadcast(usual), "label")
+                   .select("id", "label", F.pmod(F.shiftright("digest", 20), F.lit(4)).cast("int").alias("fold"),
+                           F.least(F.lit(1.0), F.greatest("usual", F.lit(1)) / F.greatest("size", F.lit(1))).alias("weight")))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                 rows: int = ROWS_PER_CLASS, chars: int = CHARS_PER_CLASS) -> ToxicityModel | None:
-    """Learn from labelled rows (a sample bounded by ``rows`` and ``chars`` per class) and from the texts of all documents.
+                 rows: int = ROWS_PER_CLASS) -> ToxicityModel | None:
+    """Learn from labelled rows (a sample of ``rows`` per class, each with its whole text) and from the texts of all documents.
 
-    A quarter of the sample is kept for the discount and the logistic curve.
+    A quarter of the sample is kept for the discount and the logistic curve.  Texts stay in
+    the tasks: the driver gets counted sequences, so a long text costs it only its distinct ones.
     Returns None when a class has no text.  Rows with a null id are not labelled;
     null and empty texts add nothing.
     """
-    sample = bounded_sample(docs, labels, id_col, text_col, label_col, rows, chars)
+    sample = bounded_sample(docs, labels, id_col, text_col, label_col, rows)
     texts = settled(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-                    .join(F.broadcast(sample), "id").select("text", "label", "fold"))
-    grams = (texts.where("fold > 0").select("text", "label").mapInArrow(_counted, "label int, key long, n long")
-             .groupBy("label", "key").agg(F.sum("n").alias("n"))).toArrow()  # bounded by the sample
+                    .join(F.broadcast(sample), "id").select("text", "label", "fold", "weight"))
+    grams = (texts.where("fold > 0").select("text", "label", "weight").mapInArrow(_counted, "label int, key long, n double")
+             .groupBy("label", "key").agg(F.sum("n").alias("n"))).toArrow()  # distinct sequences of the sample
     label, key, n = (grams.column(c).to_numpy() for c in ("label", "key", "n"))
+    del grams
     if len(np.unique(label)) < 2:
         return None
-    kept = texts.where("fold = 0").select("text", F.col("label").cast("double").alias("label")).toArrow().combine_chunks()
+    kept = (texts.where("fold = 0").select(F.monotonically_increasing_id().alias("row"), "text", "label")
+            .mapInArrow(_counted_each, "row long, label int, key long, n int")).toArrow()
+    held_row, held_key, held_n = (kept.column(c).to_numpy() for c in ("row", "key", "n"))
+    _, first, held_row = np.unique(held_row, return_index=True, return_inverse=True)
+    truth = kept.column("label").to_numpy()[first].astype(float)
+    held_row = held_row.astype(np.int32)
+    size = np.bincount(held_row, held_n, len(truth))
+    del kept
     five = np.unique(key & _FIVE)
     shared = _shared(docs.select(F.col(text_col).cast("string")), five)
-    best = None
-    truth = kept.column("label").to_numpy()
+    best, counted = None, _arranged(label, key, n, five, shared)
+    del label, key, n
     for discount in DISCOUNTS:
-        model = _model(label, key, n.astype(float), five, shared, discount)
-        x = np.zeros(len(truth))
-        if len(truth):
-            for start, stop, keys, offsets in sequences(kept.column("text").combine_chunks()):
-                x[start:stop] += np.add.reduceat(np.append(model.differences(keys), 0.0), offsets[:-1]) * (np.diff(offsets) > 0)
-            x /= np.maximum(pc.binary_length(kept.column("text")).to_numpy(), 1)
+        model = _model(*counted, discount)
+        x = np.bincount(held_row, held_n * model.differences(held_key), len(truth)) / np.maximum(size, 1)
         model.slope, model.offset = _curve(x, truth)
         p = np.clip(model.score(x), 1e-9, 1 - 1e-9)
         loss = -np.log(p[truth == 1]).mean() - np.log(1 - p[truth == 0]).mean() if 0 < truth.sum() < len(truth) else 0.0
@@ -222,24 +243,32 @@ def _shared(texts: DataFrame, five: np.ndarray) -> np.ndarray:
     return chance[np.searchsorted(four, five & _FOUR)]
 
 
-def _model(label, key, n, five, shared, discount: float) -> ToxicityModel:
+def _arranged(label, key, n, five, shared) -> tuple:
+    """The sorted sequences with their contexts, and each class's counts: the same for every discount."""
     six, six_at = np.unique(key, return_inverse=True)
     from_five, five_context = np.unique(six >> 8, return_inverse=True)
     from_four, four_context = np.unique(five >> 8, return_inverse=True)
-    lower = np.searchsorted(five, six & _FIVE)
-    of_six, of_five, of_from_five, of_from_four = [], [], [], []
+    lower = np.searchsorted(five, six & _FIVE).astype(np.int32)
+    classes = []
     for c in (1, 0):
-        mine = six_at[label == c]
-        count = np.bincount(mine, n[label == c], len(six))
-        follows = np.bincount(lower[mine], minlength=len(five)).astype(float)
+        mine = six_at[label == c].astype(np.int32)
+        classes.append((mine, n[label == c], np.bincount(lower[mine], minlength=len(five)).astype(np.int32)))
+    return six, from_five, five_context.astype(np.int32), five, from_four, four_context.astype(np.int32), lower, classes, shared
+
+
+def _model(six, from_five, five_context, five, from_four, four_context, lower, classes, shared, discount: float) -> ToxicityModel:
+    of_six, of_five, of_from_five, of_from_four = [], [], [], []
+    for mine, n, follows in classes:
+        count = np.bincount(mine, n, len(six))
         total = np.bincount(four_context, follows, len(from_four))
         held = np.where(total > 0, np.bincount(four_context, np.minimum(follows, discount), len(from_four)) / np.maximum(total, 1), 1.0)
         low = np.maximum(follows - discount, 0) / np.maximum(total, 1)[four_context] + held[four_context] * shared
         of_five.append(np.log(low))
         of_from_four.append(np.log(held))
         total = np.bincount(five_context, count, len(from_five))
-        held = np.where(total > 0, np.bincount(five_context, np.minimum(count, discount), len(from_five)) / np.maximum(total, 1), 1.0)
-        of_six.append(np.log(np.maximum(count - discount, 0) / np.maximum(total, 1)[five_context] + held[five_context] * low[lower]))
+        # counts of long texts are fractions: a context seen less than once keeps what it has
+        held = np.where(total > 0, np.bincount(five_context, np.minimum(count, discount), len(from_five)) / np.where(total > 0, total, 1), 1.0)
+        of_six.append(np.log(np.maximum(count - discount, 0) / np.where(total > 0, total, 1)[five_context] + held[five_context] * low[lower]))
         of_from_five.append(np.log(held))
     return ToxicityModel(six, of_six[0] - of_six[1], from_five, of_from_five[0] - of_from_five[1],
                          five, of_five[0] - of_five[1], from_four, of_from_four[0] - of_from_four[1])

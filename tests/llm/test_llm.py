@@ -226,6 +226,21 @@ def test_toxicity_held_out(spark, odd, empty):
     assert toxicity.fit_toxicity(docs.drop("toxic"), labels.limit(0)) is None and toxicity.score_toxicity(empty, None).count() == 0
 
 
+def test_a_long_labelled_text_ends_no_class(spark):
+    random = np.random.default_rng(9)
+    plain = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "su") for b in ("ra", "to", "vi", "we")]
+    rows = [(i, " ".join(random.choice(plain + ["gragh"] * 3 * (i % 4 == 0), 60)), int(i % 4 == 0)) for i in range(240)]
+    ids = spark.createDataFrame([(i,) for i, _, t in rows if i < 180 and t], "doc_id long")
+    first = ids.orderBy(F.xxhash64("doc_id", F.lit(10))).first().doc_id  # the first of its class in the order of the sample
+    rows = [(i, (t + " ") * (7_000_000 // len(t)) if i == first else t, label) for i, t, label in rows]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows if i < 180], "doc_id long, toxic int")
+    sample = {r.id for r in toxicity.bounded_sample(docs, labels, "doc_id", "text", "toxic", rows=4_000).collect()}
+    assert sample == set(range(180))
+    out = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()}
+    toxic, ordinary = ([out[i] for i, _, t in rows if i >= 180 and t == c] for c in (1, 0))
+    assert min(toxic) > max(ordinary) and sum(s >= 0.7 for s in toxic) >= 0.8 * len(toxic)
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
 
