@@ -1,15 +1,18 @@
 """Personal data: base patterns, and terms that give a protected entity away.
 
 Every e-mail address, network address, card and phone number found is a
-protected entity.  The words around it in all documents show how strongly a
+protected entity.  The words of all documents that name it show how strongly a
 term reveals it: a term discloses an entity when their pointwise mutual
 information comes near the information content of the entity itself.  Such
-terms are replaced by their kind, or removed where even the kind tells too much.
+terms are replaced wherever they stand, in any document, by their kind, or
+removed where even the kind tells too much.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from caselight.llm.bits import bit_field, holds
 from caselight.llm.links import settled
-from caselight.llm.words import as_long, mix, word_hashes
+from caselight.llm.words import SLICE, as_long, mix, word_hashes
 from caselight.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -37,7 +40,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Whatever holds an ip, card or phone match lies within one such run: shorter ones are too short for any of them.
 NUMBERS = re.compile(r"[+0-9][0-9 ().\-]{6,}")
 TERM = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
-WINDOW = 6  # words on each side of an entity
+WINDOW = 6  # words on each side of an entity that are its surroundings
 REACH = 400  # characters on each side in which they are looked for
 
 
@@ -113,6 +116,9 @@ _FOUND = ("copy string, n_email long, n_ip long, n_card long, n_phone long, base
           "marks array<struct<entity:long,context:long,terms:array<struct<term:long,start:int,end:int,number:boolean>>>>")
 
 
+_EXTRA = "array<struct<start:int,place:int,end:int,number:boolean,remove:boolean>>"
+
+
 def _detect(id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,8 +131,7 @@ def _detect(id_col: str):
                     counts.append([sum(k == kind for _, k, _ in spans) for kind in range(4)])
                     digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest())
                     base.append([{"start": s, "place": k, "end": e} for s, k, e in spans])
-                    # copies are told apart only where there is something to protect
-                    copies.append(hashlib.md5(text.encode()).hexdigest() if spans else None)
+                    copies.append(hashlib.md5(text.encode()).hexdigest() if text else None)
                     held.append(marks(text, spans) if spans else [])
                     words += [w for m in held[-1] for w in m["words"]]
                 hashes = np.concatenate([h for _, _, h, _ in word_hashes(pa.array(words, pa.string()))]) if words else np.zeros(0, np.uint64)
@@ -171,6 +176,74 @@ def _documents_with(field):
     return run
 
 
+def _free_words(text: str, hashes: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``(start, end, hash)`` of the chosen ones of a text's words, without those that a base span touches."""
+    spans = base_spans(text)
+    places = [(m.start(), m.end()) for m in TERM.finditer(text)]
+    if len(places) != len(hashes):  # a run without any divider was hashed in pieces
+        wanted = hashes[chosen]
+        places = [(s, e) for s, e in places if e - s < SLICE // 16]
+        hashes = np.concatenate([h for _, _, h, _ in word_hashes(pa.array([text[s:e] for s, e in places], pa.string()))] or [hashes[:0]])
+        chosen = np.isin(hashes, wanted)
+    ends, high = [s for s, _, _ in spans], []
+    for _, _, e in spans:
+        high.append(max(e, high[-1]) if high else e)
+    for i in np.flatnonzero(chosen).tolist():
+        start, end = places[i]
+        at = bisect.bisect_left(ends, end)  # spans that begin before the word's end
+        if not at or high[at - 1] <= start:
+            yield start, end, _signed(int(hashes[i]))
+
+
+def _chosen_words(column: pa.Array, field) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """Per text with words in the bit field (all words without one): its row and those words."""
+    for start, stop, hashes, offsets in word_hashes(column):
+        chosen = np.ones(len(hashes), bool) if field is None else holds(field, mix(hashes))
+        for row in np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(chosen)])[offsets])).tolist():
+            part = slice(offsets[row], offsets[row + 1])
+            yield start + row, list(_free_words(column[start + row].as_py(), hashes[part], chosen[part]))
+
+
+def _free_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, words in _chosen_words(batch.column(0), None):
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({t for _, _, t in words}), pa.int64())], ["term"])
+
+
+def _named_with(field):
+    """Each entity of a text beside each preselected word of the text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, words in _chosen_words(batch.column(0), field):
+                terms = np.array(sorted({t for _, _, t in words}), np.int64)
+                n = batch.column(1)[row]
+                for m in batch.column(2)[row].as_py() if len(terms) else ():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(terms), m["entity"])), pa.array(terms), pa.array(np.full(len(terms), m["context"])),
+                         pa.array(np.full(len(terms), n.as_py()))], ["entity", "term", "context", "n"])
+    return run
+
+
+def _standing(field):
+    """Every place of a preselected word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, words in _chosen_words(batch.column(1), field):
+                text = batch.column(1)[row].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[row].as_py()] * len(words), pa.string()), pa.array([t for _, _, t in words], pa.int64()),
+                     pa.array([s for s, _, _ in words], pa.int32()), pa.array([e for _, e, _ in words], pa.int32()),
+                     pa.array([text[s].isdigit() for s, _, _ in words], pa.bool_())], ["copy", "term", "start", "end", "number"])
+    return run
+
+
+def _of_copies(field):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(holds(field, batch.column(2).to_numpy().view(np.uint64))))
+    return run
+
+
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([as_long(mix(batch.column(0).to_numpy().view(np.uint64)))], ["key"])
@@ -182,32 +255,49 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return settled(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_detect(id_col), f"`{id_col}` {id_type}, {_FOUND}"))
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, strength: float = 0.75, support: int = 3) -> DataFrame:
-    """``(copy, extra)``: per text the spans of terms that disclose an entity named in it.
+def disclosing_terms(found: DataFrame, texts: DataFrame, strength: float = 0.75, support: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
+    """``(copy, extra)``: per text the places of all terms that disclose some entity, whether the text names that entity or not.
 
-    ``log2 p(e,t) / (p(e) p(t)) >= strength * -log2 p(e)`` over documents, for terms
-    that stand near the entity in at least ``support`` different surroundings, so that
-    copies of one text prove nothing.  Exact over the whole corpus; only the field of
-    bits that preselects terms is bounded.
+    ``log2 p(e,t) / (p(e) p(t)) >= strength * -log2 p(e)`` over whole documents, for terms
+    that stand in texts with at least ``support`` different surroundings of the entity, or in that many surroundings
+    themselves, so that copies of one text prove nothing.  Exact over the whole corpus; only the fields of
+    bits that preselect terms and texts are bounded.
     """
-    rows = texts.count()
+    rows = max(texts.count(), 1)
     named = found.where(F.size("marks") > 0).groupBy("copy").agg(F.count("*").alias("n"), F.min("marks").alias("marks"))
     near = settled(named.select("copy", "n", F.explode("marks").alias("m")).select("copy", "n", "m.*"))
     often = (near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("surroundings"))
              .where(F.col("surroundings") >= support))
-    entity = (near.join(often, "entity", "left_semi").select("entity", "copy", "n").distinct()
-              .groupBy("entity").agg(F.sum("n").alias("n_entity")))
-    terms = settled(near.join(entity, "entity").select("copy", "n", "entity", "n_entity", "context", F.explode("terms").alias("t"))
-                    .select("copy", "n", "entity", "n_entity", "context", "t.*"))
-    backed = (terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("s"))
-              .where(F.col("s") >= support).drop("s"))
-    pairs = settled(terms.join(backed, ["entity", "term"], "left_semi").select("entity", "n_entity", "term", "copy", "n").distinct()
-                    .groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both")))
-    keys = pairs.select("term").distinct().mapInArrow(_mixed, "key long")
-    counts = (texts.mapInArrow(_documents_with(bit_field(keys)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term")))
-    information = F.log2(F.lit(float(max(rows, 1))) / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * float(max(rows, 1)) / (F.col("n_entity") * F.col("n_term")))
-    strong = pairs.join(counts, "term").where((information > 0) & (mutual >= strength * information - 1e-9))
+    entity = settled(near.join(often, "entity", "left_semi").select("entity", "copy", "n").distinct()
+                     .groupBy("entity").agg(F.sum("n").alias("n_entity")))
+    most = entity.agg(F.max("n_entity")).first()[0]
+    if most is None:
+        return entity.select(F.lit("").alias("copy"), F.expr(f"cast(null AS {_EXTRA})").alias("extra")).limit(0)
+    terms = settled(near.join(entity, "entity").select("entity", "context", F.explode("terms").alias("t")).select("entity", "context", "t.*"))
+    backed = settled(terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("s"))
+                     .where(F.col("s") >= support).select("entity", "term", F.lit(True).alias("near")))
+    wanted = settled(near.join(entity, "entity", "left_semi").groupBy("copy", "n", "entity").agg(F.min("context").alias("context"))
+                     .groupBy("copy", "n").agg(F.collect_list(F.struct("entity", "context")).alias("named")))
+    copies = bit_field(wanted.select(F.xxhash64("copy").alias("key")))
+    copy = F.md5(F.col("text").cast("binary"))
+    naming = settled(texts.select(copy.alias("copy"), "text").select("copy", "text", F.xxhash64("copy").alias("key"))
+                     .mapInArrow(_of_copies(copies), "copy string, text string, key long").dropDuplicates(["copy"])
+                     .join(wanted, "copy").select("text", "n", "named"))
+    several = naming.select("text").mapInArrow(_free_terms, "term long").groupBy("term").agg(F.count("*").alias("s")).where(F.col("s") >= support)
+    candidates = settled(several.select("term").unionByName(backed.select("term")).distinct())
+    counted = (texts.mapInArrow(_documents_with(bit_field(candidates.mapInArrow(_mixed, "key long"))), "term long, n long")
+               .groupBy("term").agg(F.sum("n").alias("n_term")))
+    # a term of more documents than this cannot be strong, since no more hold both than name the entity
+    counts = settled(counted.join(candidates, "term", "left_semi")
+                     .where(F.log2("n_term") <= strength * math.log2(most) + (1 - strength) * math.log2(rows) + 1e-6))
+    pairs = (naming.mapInArrow(_named_with(bit_field(counts.select("term").mapInArrow(_mixed, "key long"))),
+                               "entity long, term long, context long, n long")
+             .groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
+             .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("s")))
+    information = F.log2(F.lit(float(rows)) / F.col("n_entity"))
+    mutual = F.log2(F.col("n_both") * float(rows) / (F.col("n_entity") * F.col("n_term")))
+    strong = (pairs.join(backed, ["entity", "term"], "left").where((F.col("s") >= support) | F.col("near"))
+              .join(counts, "term").join(entity, "entity").where((information > 0) & (mutual >= strength * information - 1e-9)))
     # the more general term is the kind of word: it is judged by the same measure among all surroundings
     kinds = terms.groupBy("entity", "number").agg(F.countDistinct("context").alias("c"))
     per_entity = terms.groupBy("entity").agg(F.countDistinct("context").alias("c_entity"))
@@ -218,15 +308,21 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, strength: float = 0.75,
             .withColumn("remove", F.log2(F.col("c") * c_all / (F.col("c_entity") * c_kind))
                         > strength * F.greatest(F.log2(c_all / F.col("c_entity")), F.lit(1.0)))
             .select("entity", "number", "remove"))
-    return (terms.join(strong.select("entity", "term"), ["entity", "term"]).join(told, ["entity", "number"])
-            .groupBy("copy", "start", "end", "number").agg(F.max("remove").alias("remove"))
+    disclosing = settled(strong.select("entity", "term").join(told, "entity", "left").groupBy("term")
+                         .agg(F.coalesce(F.bool_or(F.col("remove") & F.col("number")), F.lit(False)).alias("remove_number"),
+                              F.coalesce(F.bool_or(F.col("remove") & ~F.col("number")), F.lit(False)).alias("remove_word")))
+    field = bit_field(disclosing.select("term").mapInArrow(_mixed, "key long"))
+    places = texts.select(copy.alias("copy"), "text").mapInArrow(_standing(field), "copy string, term long, start int, end int, number boolean")
+    return (places.join(F.broadcast(disclosing) if disclosing.count() <= broadcast_rows else disclosing, "term")
+            .groupBy("copy", "start", "end", "number")
+            .agg(F.bool_or(F.when(F.col("number"), F.col("remove_number")).otherwise(F.col("remove_word"))).alias("remove"))
             .groupBy("copy").agg(F.collect_list(F.struct("start", F.lit(4).alias("place"), "end", "number", "remove")).alias("extra")))
 
 
 def _extra(found: DataFrame, docs: DataFrame, text_col: str, strength: float, support: int, broadcast_rows: int) -> DataFrame:
     """The disclosing terms by text, written out and counted: broadcast only up to ``broadcast_rows`` texts, so that a text with many copies isn't dealt by its digest."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    extra = settled(disclosing_terms(found, texts, strength, support))
+    extra = settled(disclosing_terms(found, texts, strength, support, broadcast_rows))
     return F.broadcast(extra) if extra.count() <= broadcast_rows else extra
 
 
@@ -235,7 +331,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms)`` per row.
 
     ``spans`` lists ``kind:start:end`` of base matches and of disclosing terms
-    (kind ``term``) by start, then kind; places are code points, the end is not
+    (kind ``term``, wherever they stand) by start, then kind; places are code points, the end is not
     included.  A null or empty text has no spans; repeated rows give one row each, a null id
     stays null, other columns are not read, and an empty table gives no rows.  Beyond
     ``broadcast_rows`` texts with terms these are joined by a shuffle.

@@ -101,6 +101,19 @@ def test_a_term_that_names_an_entity_is_found(spark, odd, empty):
     assert privacy.sanitise(odd).columns == odd.columns
 
 
+def test_a_far_name_is_found_and_marked_everywhere(spark):
+    fill = [f"common words number{i} stand here and there" for i in range(60)]
+    gap = " ".join(["common words stand here and there"] * 9)  # 54 words
+    texts = fill + [f"Zebulon {gap} {a} a@b.org {b} {gap} zebulon" for a, b in (("here", "words"), ("there", "stand"), ("and", "common"), ("words", "here"))]
+    texts += ["here and there Zebulon"]
+    rows = {r.doc_id: r for r in privacy.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        places = [f"term:{m.start()}:{m.end()}" for m in re.finditer("(?i)zebulon", text)]
+        assert [x for x in rows[i].spans.split(",") if x.startswith("term")] == places and rows[i].n_terms == len(places)
+    clean = [r.text for r in privacy.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert not any("zebulon" in t.lower() for t in clean)
+
+
 def test_chats_read_back(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo </s>"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo </s>"), (2, 2, "user", "a\\[INST]<|x|>"),
             (3, 0, None, None), (None, 0, "user", "hi"), (4, 0, "user", "z"), (4, 0, "user", "z"), (-7, None, "assistant", "\\</s>[INST] ok [/INST]")]
