@@ -1,12 +1,14 @@
 """License notices by conditional compression.
 
-Blocks of text with a word of licensing are compressed twice, plainly and with each
-template as a raw zstandard dictionary.  The template that saves the largest share
-is the winner, and a word-by-word comparison settles whether its wording is there.
+Around every word of licensing each template's wording is compared word by word, so that
+notices side by side are all found.  Blocks without such a notice are compressed
+plainly and with each template as a raw zstandard dictionary; the templates that save
+bytes are compared in that order, and the best one is told.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -65,6 +67,9 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
+    "All-Rights-Reserved": (
+        "All rights reserved.",
+    ),
 }
 CUES = r"(?i)licen[sc]e|permission is hereby granted|redistribution and use|creative commons|all rights reserved"
 
@@ -81,7 +86,7 @@ def words_of(text: str) -> list[str]:
 def blocks(text: str) -> Iterator[tuple[int, int]]:
     """Stretches of the text to look at: each line with a cue and what follows up to an empty line; no two overlap.
 
-    A text of any length is covered: what a block cannot take in is looked at by the next cue's block.
+    A notice that goes on behind a block is seen whole in its cue's window.
     """
     last = 0
     for cue in _CUE.finditer(text):
@@ -98,12 +103,25 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         yield start, last
 
 
+def windows(text: str, reach: int) -> Iterator[tuple[int, int]]:
+    """``reach`` characters on both sides of every cue; they overlap."""
+    for cue in _CUE.finditer(text):
+        start = max(cue.start() - reach, 0)
+        end = min(cue.end() + reach, len(text))
+        if start:  # not within a word
+            start = text.find(" ", start, cue.start()) + 1 or start
+        if end < len(text):
+            end = text.rfind(" ", cue.end(), end) + 1 or end
+        yield start, end
+
+
 class Matcher:
     def __init__(self, templates: dict[str, tuple[str, ...]]):
         import zstandard
 
         self.plain = zstandard.ZstdCompressor(level=6, write_content_size=False, write_checksum=False)
         self.known = []
+        self.reach = max(LEAD_CHARS, 2 * max((len(w) for wordings in templates.values() for w in wordings), default=0))
         for name, wordings in templates.items():
             for wording in wordings:
                 raw = zstandard.ZstdCompressionDict(wording.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -117,32 +135,79 @@ class Matcher:
         saved = [(alone - len(c.compress(data)), at) for at, (_, _, c) in enumerate(self.known)]
         return sorted(saved, key=lambda x: (-x[0], -len(self.known[x[1]][1]), x[1]))
 
-    def confirm(self, block: str, tolerance: float, tries: int) -> dict:
+    def confirm(self, block: str, tolerance: float) -> dict:
         """The first of the ranked templates whose wording is there, with the words that differ."""
         text = words_of(block)
         best = None
-        for saved, at in self.rank(block)[:tries]:
+        for saved, at in self.rank(block):
             name, wanted, _ = self.known[at]
             if saved <= 0:
                 break
-            match = difflib.SequenceMatcher(None, wanted, text, autojunk=False)
-            steps = [s for s in match.get_opcodes() if s[0] != "equal"]
-            missing = [w for tag, a, b, _, _ in steps for w in wanted[a:b] if tag != "insert"]
-            found = {"license": name, "saved": saved, "missing": missing, "n_words": len(wanted),
-                     # a number or a clause code that differs makes it another license
-                     "confirmed": len(missing) <= tolerance * len(wanted) and not any(c.isdigit() or "-" in w for w in missing for c in w)}
+            match = difflib.SequenceMatcher(None, wanted, text, autojunk=False).get_matching_blocks()
+            found = {"license": name, "saved": saved, **compared(wanted, match, tolerance)}
             if best is None or found["confirmed"]:
                 best = found
             if found["confirmed"]:
                 break
         return best or {"license": None, "saved": 0, "missing": [], "n_words": 0, "confirmed": False}
 
+    def notices(self, text: str, tolerance: float) -> list[tuple[int, int, dict]]:
+        """``(start, end, found)`` of every template whose wording stands in one place near a cue; of overlapping ones that with the most words.
+
+        Each cue has a window of its own, longer than the longest wording, and every
+        template is compared in it; what stands behind a found notice is compared again.
+        """
+        out = {}
+        for low, high in windows(text, self.reach):
+            words = [(m.group(), low + m.start(), low + m.end()) for m in _WORD.finditer(text[low:high].lower())]
+            if len(text[low:high].lower()) != high - low:  # lower case that changes the length
+                words = [(m.group().lower(), low + m.start(), low + m.end()) for m in _WORD.finditer(text[low:high])]
+            plain = [w for w, _, _ in words]
+            held = set(plain)
+            for at, (name, wanted, _) in enumerate(self.known):
+                if not agrees([w for w in wanted if w not in held], wanted, tolerance):
+                    continue
+                start = 0
+                while start < len(plain):
+                    steps = [m for m in difflib.SequenceMatcher(None, wanted, plain[start:], autojunk=False).get_matching_blocks() if m.size]
+                    found = compared(wanted, steps, tolerance)
+                    if not found["confirmed"] or not steps:
+                        break
+                    first, last = start + steps[0].b, start + steps[-1].b + steps[-1].size
+                    if last - first <= len(wanted) + len(wanted) // 2:
+                        place = words[first][1], words[last - 1][2]
+                        out.setdefault((*place, at), {"license": name, **found})
+                    start += max(steps, key=lambda m: m.size).b + 1
+        kept: list[tuple[int, int, dict]] = []
+        for (start, end, at), found in sorted(out.items(), key=lambda x: (len(x[1]["missing"]) - x[1]["n_words"], len(x[1]["missing"]), x[0])):
+            near = bisect.bisect_left(kept, start, key=lambda k: k[1] - 1)  # the first kept one that ends behind the start
+            if near == len(kept) or kept[near][0] >= end:
+                data = text[max(start - LEAD_CHARS, 0):end + LEAD_CHARS].lower().encode()
+                found["saved"] = len(self.plain.compress(data)) - len(self.known[at][2].compress(data))
+                kept.insert(near, (start, end, found))
+        return kept
+
+
+def agrees(missing: list[str], wanted: list[str], tolerance: float) -> bool:
+    # a number or a clause code that differs makes it another license
+    return len(missing) <= tolerance * len(wanted) and not any(c.isdigit() or "-" in w for w in missing for c in w)
+
+
+def compared(wanted: list[str], match: list, tolerance: float) -> dict:
+    there = {i for m in match for i in range(m.a, m.a + m.size)}
+    missing = [w for i, w in enumerate(wanted) if i not in there]
+    confirmed = agrees(missing, wanted, tolerance)
+    if confirmed and len(wanted) < 4:  # so few words must stand together
+        confirmed = any(m.size == len(wanted) for m in match)
+    return {"missing": missing, "n_words": len(wanted), "confirmed": confirmed}
+
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES,
-                  tolerance: float = 0.15, tries: int = 3) -> DataFrame:
-    """``(id, start, end, license, confirmed, saved, n_words, n_missing, missing)``: one row per candidate block of each text.
+                  tolerance: float = 0.15) -> DataFrame:
+    """``(id, start, end, license, confirmed, saved, n_words, n_missing, missing)``: one row per notice found in each text,
+    with its place, and one per candidate block in which none begins or ends.
 
-    ``saved`` is the number of bytes that the winner's dictionary takes off the compressed block;
+    ``saved`` is the number of bytes that the template's dictionary takes off the compressed block, or notice with what is around it;
     ``confirmed`` says that at most ``tolerance`` of its words, and no number or code, are
     missing from the block (``missing``, in order).  Blocks that no dictionary helps have a null license.  Places
     are code points.  Texts without a cue, null and empty texts have no rows; a repeated row repeats its rows, a null
@@ -154,9 +219,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             owner, out = [], []
             for at, text in enumerate(batch.column(1)):
                 text = text.as_py()
+                rows = matcher.notices(text, tolerance)
+                held = [(s, e) for s, e, _ in rows]
                 for start, end in blocks(text):
-                    owner.append(at)
-                    out.append((start, end, matcher.confirm(text[start:end], tolerance, tries)))
+                    near = bisect.bisect_right(held, start, key=lambda k: k[1])
+                    if near == len(held) or held[near][0] >= end:
+                        rows.append((start, end, matcher.confirm(text[start:end], tolerance)))
+                rows.sort(key=lambda r: r[:2])
+                owner += [at] * len(rows)
+                out += rows
             found = [x[2] for x in out]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner, pa.int64())), pa.array([x[0] for x in out], pa.int64()),

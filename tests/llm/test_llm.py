@@ -176,6 +176,19 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_side_by_side(spark):
+    short, long = (licenses.TEMPLATES["Apache-2.0"][0], licenses.TEMPLATES["MIT"][1])
+    filler = "the license of poets is a word in a line of words and of songs "
+    texts = ["Released under the MIT License. " + short, "Released under the MIT License.\n" + short + "\nReleased under the MIT License.",
+             filler * 22 + long, "Copyright 2020 Someone. All rights reserved.", licenses.TEMPLATES["CC-BY-SA-4.0"][1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, r.license, texts[r.doc_id][r.start:r.end]) for r in licenses.scan_licenses(docs).collect() if r.confirmed]
+    mit = "Released under the MIT License"
+    assert sorted(x[:2] for x in got) == [(0, "Apache-2.0"), (0, "MIT"), (1, "Apache-2.0"), (1, "MIT"), (1, "MIT"), (2, "MIT"),
+                                          (3, "All-Rights-Reserved"), (4, "CC-BY-SA-4.0")]
+    assert [x[2] for x in got if x[0] == 1] == [mit, short[:-1], mit] and next(x[2] for x in got if x[0] == 2) == long[:-1]
+
+
 def shingle_counts(text):
     w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
     return Counter(tuple(w[i:i + 5]) for i in range(max(len(w) - 4, min(len(w), 1))))
