@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.llm import chat, decontaminate, language, licenses, neardup, neighbours, pieces, privacy, tokens, toxicity
+from caselight.llm import chains, chat, decontaminate, language, licenses, neardup, neighbours, pieces, privacy, tokens, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -84,8 +84,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    turns, tree = chat.format_chats(rows)
-    return chat.read_back(turns, tree).withColumnRenamed("conv", "conv_id")
+    turns = chains.chained_turns(rows)
+    return chains.chained_read_back(turns, chains.chained_tree(turns)).withColumnRenamed("conv", "conv_id")
 
 
 def _sql_escaped(text: str) -> str:

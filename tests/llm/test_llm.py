@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from caselight.llm import chat, decontaminate, language, licenses, neardup, neighbours, pieces, privacy, tokens, toxicity
+from caselight.llm import chains, chat, decontaminate, language, licenses, neardup, neighbours, pieces, privacy, tokens, toxicity
 
 SPM = public_tokenizers.path("piece_bpe_32k.model")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -140,6 +140,39 @@ def test_chats_read_back(spark):
     assert chat.read_back(*chat.format_chats(none)).count() == 0
 
 
+def test_long_conversations_in_chains(spark):
+    rows = [(None, i, "user" if i % 2 else "assistant", f"turn {i} [INST]") for i in range(6_000)] + [(1, i, "user" if i % 2 else "assistant", f"turn {i} [INST]") for i in range(9)]
+    rows += [(2, i, "user", f"turn {i if i < 3 else -i}") for i in range(6)] + [(3, 0, "user", "turn 0"), (3, 1, "user", "turn 1"), (3, 2, None, None), (5, 0, "user", "turn 0")]
+    convs = defaultdict(list)
+    for c, t, r, x in rows:
+        convs[c].append((t, r or "", x or ""))
+    turns = chains.chained_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7))
+    tree = chains.chained_tree(turns).cache()
+    nodes = sorted(tree.collect(), key=lambda r: r.start)
+    assert len(nodes) == len({tuple(sorted(own)[:i + 1])[-1:] + (i, hash(tuple(sorted(own)[:i + 1]))) for own in convs.values() for i in range(len(own))})
+    by_id, place, seen = {n.id: n for n in nodes}, 0, []
+    for node in nodes:
+        assert node.start == place and node.end - node.start == len(node.segment)
+        seen = seen[:node.n - 1]  # depth first: the parent is the last node one level up
+        assert (seen[-1] if seen else None) == node.parent
+        up = [by_id[i] for i in seen] if node.n < 20 or node.n % 500 == 0 else None
+        if up is not None:
+            assert node.position == sum(x.end - x.start for x in up)
+            assert {p for x in node.attends for p in range(x.start, x.end)} == {p for x in up for p in range(x.start, x.end)}
+        assert len(node.attends) <= 3 and len(node.id) < 48
+        seen.append(node.id)
+        place = node.end
+    out = {row.conv: row for row in chains.chained_read_back(turns, tree).collect()}
+    assert set(out) == set(convs)
+    for c, own in convs.items():
+        own = sorted(own)
+        assert out[c].n_turns == len(own) and out[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+        assert out[c].loss_sha256 == hashlib.sha256("".join(x for _, r, x in own if r == "assistant").encode()).hexdigest()
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    turns = chains.chained_turns(none)
+    assert chains.chained_read_back(turns, chains.chained_tree(turns)).count() == 0
+
+
 def test_exact_neighbours(spark):
     random = np.random.default_rng(5)
     points = random.normal(size=(900, 8)).round(1)
