@@ -19,9 +19,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays; rows with a null id stay."""
-    first = neardup.near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each class of near duplicates the document with the smallest id stays; rows with a null id stay.
+
+    An id on rows with different texts names as many documents, ordered by id, then digest
+    of the text.  Of rows with the same id and text the smallest stays.
+    """
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    several = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low < high")
+    key = F.col("doc_id")
+    if not several.isEmpty():
+        if docs.schema["doc_id"].dataType.simpleString() == "string":
+            ordered = F.concat("doc_id", F.lit("\0"))
+        else:  # digits that sort as the numbers do
+            ordered = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+        key = F.concat(ordered, digest)
+    keyed = docs.withColumn("_key", key)
+    first = neardup.near_duplicates(keyed, "_key").where(F.col("_key") == F.col("class_id")).select("_key").distinct()
+    kept = (keyed.join(first, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+            .select("row.*"))
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 

@@ -251,6 +251,15 @@ def test_near_duplicates_equal_brute_force(spark, odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_an_id_with_two_texts_keeps_both(spark):
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in ("left", "right"))
+    rows = [(-1, "alone in the world of words"), (3, one), (3, two), (3, two), (4, one), (5, two), (12, two), (None, one)]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], (3, one), (3, two), (None, one)], key=str)
+
+
 def test_large_mixed_buckets_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "PAIRS_PER_BUCKET", 0)
     monkeypatch.setattr(neardup, "ROUNDS", 0)
