@@ -25,6 +25,7 @@ ship_by_value(__name__)
 UNKNOWN = "und"
 DIMENSIONS = 4096
 PIECE = 1 << 19  # bytes of text looked at together
+ROWS = 128  # rows looked at together: their dense features are 4 MB, however short the texts
 
 # Families of common language codes; a code not listed is a family of its own.
 FAMILIES = {
@@ -52,7 +53,7 @@ def trigram_features(texts: pa.Array, dimensions: int = DIMENSIONS) -> Iterator[
     row = 0
     while row < len(texts):
         stop, size = row + 1, sizes[row]
-        while stop < len(texts) and size + sizes[stop] <= PIECE:
+        while stop < min(len(texts), row + ROWS) and size + sizes[stop] <= PIECE:
             size += sizes[stop]
             stop += 1
         low = pa.concat_arrays([pc.utf8_lower(texts.slice(row, stop - row))])
@@ -71,7 +72,8 @@ def trigram_features(texts: pa.Array, dimensions: int = DIMENSIONS) -> Iterator[
             inside = (place + 2 < at[text + 1]) & ((b[:-2] != 32) | (b[1:-1] != 32))
             counts += np.bincount(text[inside] * dimensions + code[inside], minlength=len(counts))
         counts = counts.reshape(stop - row, dimensions)
-        yield np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+        counts /= np.maximum(counts.sum(1, keepdims=True), 1)
+        yield np.sqrt(counts, out=counts)
         row = stop
 
 
@@ -202,13 +204,13 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start = 0
-            for rows in trigram_features(batch.column(1)):
-                known = batch.column(2).slice(start, len(rows)).to_pylist()
+            for rows in trigram_features(pc.struct_field(batch.column(0), [names.index(text_col)]).cast(pa.large_string())):
+                known = batch.column(1).slice(start, len(rows)).to_pylist()
                 langs = model.predict(rows)[0] if model else [UNKNOWN] * len(rows)
                 part = batch.slice(start, len(rows)).filter(pa.array([k and x != UNKNOWN for x, k in zip(langs, known)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([part.column(0)], ["row"])
                 start += len(rows)
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).cast("string").alias("text"),
-                       letter.alias("letter")).mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), letter.alias("letter")).mapInArrow(
+        run, StructType([StructField("row", docs.schema)])).select("row.*")
