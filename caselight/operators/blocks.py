@@ -30,6 +30,14 @@ _CELLS = 4_000_000      # score cells held at once inside a task
 _EXPANDED = 16_000_000  # posting entries expanded at once inside a task
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Rows and vector entries of a block."""
+
+    rows: int
+    entries: int
+
+
 @dataclass(frozen=True)
 class Size:
     """Rows of a frame and an upper bound on the vector entries they hold."""
@@ -37,8 +45,9 @@ class Size:
     rows: int
     entries: int
 
-    def blocks(self) -> int:
-        return max(1, math.ceil(self.rows / BLOCK_ROWS), math.ceil(self.entries / BLOCK_ENTRIES))
+    def blocks(self, limits: Limits | None = None) -> int:
+        limits = limits or Limits(BLOCK_ROWS, BLOCK_ENTRIES)
+        return max(1, math.ceil(self.rows / limits.rows), math.ceil(self.entries / limits.entries))
 
 
 def plan_blocks(queries: Size, corpus: Size, groups: int) -> tuple[int, int]:
@@ -153,7 +162,7 @@ _SCORERS: dict[str, Callable] = {"dense": _dense_scores, "sparse": _sparse_score
 REPEATED = "values of %s repeat: every row of a search needs its own id"
 
 
-def _check_unique(table: pa.Table, id_col: str) -> None:
+def check_unique(table: pa.Table, id_col: str) -> None:
     """Equal ids share a block, so a repeat is seen here whatever the number of blocks."""
     if pc.count_distinct(table.column(id_col), mode="all").as_py() < table.num_rows:
         raise ValueError(REPEATED % id_col)
@@ -161,8 +170,8 @@ def _check_unique(table: pa.Table, id_col: str) -> None:
 
 def best_k(k: int, scorer: str, query_id: str, doc_id: str, schema: pa.Schema):
     def run(key, queries: pa.Table, corpus: pa.Table) -> pa.Table:
-        _check_unique(queries, query_id)
-        _check_unique(corpus, doc_id)
+        check_unique(queries, query_id)
+        check_unique(corpus, doc_id)
         if queries.num_rows == 0 or corpus.num_rows == 0:
             return schema.empty_table()
         corpus = corpus.sort_by(doc_id)
@@ -186,22 +195,29 @@ def best_k(k: int, scorer: str, query_id: str, doc_id: str, schema: pa.Schema):
 
 
 def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: str, query_id: str, doc_id: str,
-                query_size: Size, corpus_size: Size, payload: Sequence[str] = (), width: int = 0) -> DataFrame:
+                query_size: Size, corpus_size: Size, payload: Sequence[str] = (), width: int = 0,
+                limits: Limits | None = None) -> DataFrame:
     """``(query_id, rank, doc_id, score, *payload)``: the exact k best corpus rows of every query.
 
     Ties (scores equal to nine digits) go to the smaller corpus id; rows with score
     zero fill up to k.  Ids must not repeat on either side; a repeat raises an error.
     Only ids and vectors enter the blocks, whose size is bounded by them; the hits
     fetch their payload afterwards, where adaptive splitting cuts a popular corpus row.
-    A corpus that needs more than one block is searched cell by cell (``cells``), with
-    the same result; ``width`` is the length of the vectors.
+    A corpus that needs more than one block is searched by impact-ordered lists
+    (``impact``) or by a tree of balls (``balls``), with the same result; ``width`` is
+    the length of the vectors, ``limits`` the size of a block.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    if corpus_size.blocks() > 1:
-        from caselight.operators.cells import pruned_top_k
+    if corpus_size.blocks(limits) > 1:
+        if scorer == "sparse":
+            from caselight.operators.impact import impact_top_k
+
+            hits = impact_top_k(queries, corpus, k, query_id, doc_id, query_size, corpus_size, width, limits)
+        else:
+            from caselight.operators.balls import nearest_top_k
 
-        hits = pruned_top_k(queries, corpus, k, scorer, query_id, doc_id, corpus_size.blocks(), width)
+            hits = nearest_top_k(queries, corpus, k, query_id, doc_id, corpus_size, limits)
         return _with_payload(hits, corpus, query_id, doc_id, payload)
 
     parallelism = queries.sparkSession.sparkContext.defaultParallelism

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +17,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from caselight import config
+from caselight.operators import balls
 from caselight.operators.blocks import dense_rows, usable, usual_width
 from caselight.operators.features import fit_vocabulary, merged_partitions, tfidf_stages, with_terms
-from caselight.operators.ordering import head_per_group, sample_n
+from caselight.operators.ordering import head_per_group
 from caselight.session import ensure_checkpoint_dir
 from caselight.shipping import ship_by_value
 
@@ -28,7 +28,6 @@ ship_by_value(__name__)
 
 _SALTS = 16
 _PAIR_ROWS = 4_000  # a block pair compares at most about this many rows squared
-_MAX_PIVOTS = 1_000
 
 
 # --- k-means ------------------------------------------------------------------
@@ -96,82 +95,55 @@ def assign_to_centres(vectors: DataFrame, vector_col: str, centres: DataFrame, c
 
 # --- density ------------------------------------------------------------------
 
-@dataclass(frozen=True)
-class _Cells:
-    """Points dealt to blocks of bounded size: by nearest pivot, then by a hash of the id within the pivot.
-
-    Every point lists in ``cells`` the pivots whose points can lie within the limit of it.
-    """
-
-    points: DataFrame
-    first: tuple[int, ...]
-    blocks: tuple[int, ...]
-
-
-def _nearest_pivot(pivots: np.ndarray):
+def _within_reach(eps: float):
+    """Rows that can have a neighbour in the ball they are sent to."""
     def run(batches):
         for batch in batches:
-            rows = dense_rows(pa.Table.from_batches([batch]), "weight")
-            gaps = np.maximum(2.0 - 2.0 * (rows @ pivots.T), 0.0)
-            best = gaps.argmin(axis=1)
-            away = np.sqrt(gaps[np.arange(len(rows)), best])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(away)],
-                                             names=[*batch.schema.names, "pivot", "away"])
+            at = {name: i for i, name in enumerate(batch.schema.names)}
+            own, pivot = balls.unit(batch.column(at["weight"])), batch.column(at["_pivot"])
+            same = (batch.column(at["node"]).to_numpy() == batch.column(at["_to"]).to_numpy()) | pivot.is_null().to_numpy(zero_copy_only=False)
+            near = same.copy()
+            other = np.flatnonzero(~same)
+            if len(other):
+                gap = np.sqrt(((own[other] - balls.unit(pivot.take(pa.array(other)))) ** 2).sum(1))
+                near[other] = gap <= batch.column(at["_radius"]).to_numpy(zero_copy_only=False)[other] + eps + balls.SLACK
+            kept = [c for c in batch.schema.names if c not in ("_pivot", "_radius")]
+            yield batch.filter(pa.array(near)).select(kept)
     return run
 
 
-def _within_reach(pivots: np.ndarray, radius: np.ndarray, eps: float):
-    """A neighbour y of x with pivot q has |x - q| <= r_q + eps, and, as q is nearest to y, |x - q| <= |x - p| + 2 eps."""
-    def run(batches):
-        for batch in batches:
-            gaps = np.sqrt(np.maximum(2.0 - 2.0 * (dense_rows(pa.Table.from_batches([batch]), "weight") @ pivots.T), 0.0))
-            own = batch.column("away").to_numpy()
-            can = (gaps <= radius[None, :] + eps + 1e-6) & (gaps <= own[:, None] + 2 * eps + 1e-6)
-            at = np.concatenate([[0], np.cumsum(can.sum(axis=1))]).astype(np.int32)
-            cells = pa.ListArray.from_arrays(pa.array(at), pa.array(np.nonzero(can)[1].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "cells"])
-    return run
+def _neighbourhoods(tree: balls.Tree, eps: float) -> DataFrame:
+    """Every point once per leaf in which it can have a neighbour, its own included: ``_to``, with the blocks of both leaves."""
+    pairs = balls.close_leaves(tree, eps)
+    both = pairs.unionByName(pairs.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    blocks = F.ceil(F.col("n") / _PAIR_ROWS).cast("int")
+    leaves = tree.nodes.select("node", "pivot", "radius", blocks.alias("blocks"))
+    targets = both.join(leaves.select(F.col("node").alias("b"), F.col("pivot").alias("_pivot"), F.col("radius").alias("_radius"),
+                                      F.col("blocks").alias("_theirs")), "b")
+    targets = targets.join(leaves.select(F.col("node").alias("a"), F.col("blocks").alias("_ours")), "a").select(
+        F.col("a").alias("node"), F.col("b").alias("_to"), "_pivot", "_radius", "_ours", "_theirs")
+    sent = tree.rows.join(balls.small(targets.checkpoint(), "_pivot"), "node")
+    schema = T.StructType([f for f in sent.schema.fields if f.name not in ("_pivot", "_radius")])
+    return sent.mapInArrow(_within_reach(eps), schema)
+
 
+def _block_pairs(sent: DataFrame, carry: Sequence[str]):
+    """Cogroups of unordered pairs of blocks, each holding only the points that can have a neighbour in the other.
 
-def _cells(points: DataFrame, rows: int, eps: float) -> _Cells:
-    """Choose pivots by id digest (at most ``_MAX_PIVOTS``), and per point the pivots near enough to matter; exact."""
-    spark = points.sparkSession
-    wanted = int(min(_MAX_PIVOTS, max(1, rows // _PAIR_ROWS), max(1, rows // 8)))
-    if rows > 256:
-        wanted = max(wanted, spark.sparkContext.defaultParallelism)
-    chosen = sample_n(points, wanted, ["id"]).select("weight").toArrow()  # a bounded handful of vectors
-    pivots = dense_rows(chosen, "weight") if chosen.num_rows else np.zeros((1, 1))
-    schema = T.StructType([*points.schema.fields, T.StructField("pivot", T.IntegerType()),
-                           T.StructField("away", T.DoubleType())])
-    near = points.mapInArrow(_nearest_pivot(pivots), schema).checkpoint()
-    stats = {r["pivot"]: r for r in near.groupBy("pivot").agg(
-        F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}  # one row per pivot
-    size = np.array([stats[p]["n"] if p in stats else 0 for p in range(len(pivots))])
-    # a pivot without points is out of everyone's reach
-    radius = np.array([stats[p]["radius"] if p in stats else -np.inf for p in range(len(pivots))])
-    blocks = -(-size // _PAIR_ROWS)
-    first = np.cumsum(blocks) - blocks
-    schema = T.StructType([*schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
-    near = near.mapInArrow(_within_reach(pivots, radius, eps), schema).drop("away").checkpoint()
-    return _Cells(near, tuple(map(int, first)), tuple(map(int, blocks)))
-
-
-def _block_pairs(cells: _Cells, points: DataFrame, carry: Sequence[str]):
-    """Cogroups of unordered pairs of blocks, each holding only the points that can have a neighbour in the other."""
-    spark = points.sparkSession
-    first, n = (F.array(*[F.lit(x) for x in numbers]) for numbers in (cells.first, cells.blocks))  # one number per pivot
-    spans = F.flatten(F.transform("cells", lambda c: F.sequence(F.get(first, c), F.get(first, c) + F.get(n, c) - 1)))
-    own = points.select("id", "weight", *carry,
-                        (F.get(first, F.col("pivot")) + F.pmod(F.xxhash64("id"), F.get(n, F.col("pivot")))).cast("int").alias("_own"),
-                        spans.alias("_others"))
-    left = own.withColumn("_j", F.explode(F.filter("_others", lambda o: o >= F.col("_own")))).withColumn("_i", F.col("_own"))
-    right = own.withColumn("_i", F.explode(F.filter("_others", lambda o: o <= F.col("_own")))).withColumn("_j", F.col("_own"))
-    every = sum(cells.blocks)
-    tasks = min(max(1, every * (every + 1) // 2), max(2 * spark.sparkContext.defaultParallelism,
-                                                      int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    A leaf of many rows (copies, or rows no pivot parts) is cut into blocks by a hash of the id.
+    """
+    spark = sent.sparkSession
+    own = sent.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_ours")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_theirs") - 1)
+    name = lambda leaf, block: F.concat_ws(":", leaf, block)
+    here, there = name("node", "_own"), name("_to", "_other")
     keep = ["id", "weight", *carry, "_i", "_j"]
-    return (left.select(*keep).repartition(tasks, "_i", "_j").groupBy("_i", "_j")
-            .cogroup(right.select(*[F.col(c).alias(c) for c in keep]).repartition(tasks, "_i", "_j").groupBy("_i", "_j")))
+    left = (own.where("node <= _to").withColumn("_other", F.explode(F.when(F.col("node") == F.col("_to"), F.filter(every, lambda o: o >= F.col("_own"))).otherwise(every)))
+            .withColumn("_i", here).withColumn("_j", there).select(*keep))
+    right = (own.where("node >= _to").withColumn("_other", F.explode(F.when(F.col("node") == F.col("_to"), F.filter(every, lambda o: o <= F.col("_own"))).otherwise(every)))
+             .withColumn("_i", there).withColumn("_j", here).select(*[F.col(c).alias(c) for c in keep]))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return left.repartition(tasks, "_i", "_j").groupBy("_i", "_j").cogroup(right.repartition(tasks, "_i", "_j").groupBy("_i", "_j"))
 
 
 def _squared_gaps(left: pa.Table, right: pa.Table) -> np.ndarray:
@@ -284,7 +256,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def density_clusters(vectors: DataFrame, id_col: str, vector_col: str, eps: float, min_points: int = 5,
-                     min_size: int | None = None) -> DataFrame:
+                     min_size: int | None = None, leaf_rows: int | None = None) -> DataFrame:
     """``(id, cluster)``: a flat density cut; the cluster is named by its smallest core id, noise is -1.
 
     A core point has at least ``min_points`` vectors (itself included) within
@@ -293,6 +265,10 @@ def density_clusters(vectors: DataFrame, id_col: str, vector_col: str, eps: floa
     Clusters under ``min_size`` (default: a fortieth of the rows, at least 5)
     become noise.  Ids are whole numbers.  The usual length of the vectors is the
     width; a vector that is null, of another length or holds null, NaN or infinity is noise.
+
+    Points are dealt to the leaves of a tree of balls that grows with them (``leaf_rows``
+    rows at most, or all alike); only leaves whose balls come within ``eps`` meet, and
+    of their rows only those within ``eps`` of the other ball.
     """
     ensure_checkpoint_dir(vectors.sparkSession)
     given = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("weight"))
@@ -302,23 +278,25 @@ def density_clusters(vectors: DataFrame, id_col: str, vector_col: str, eps: floa
     limit = round(eps * eps, 9)
 
     # exact copies stand as one point that counts as many times; combined before the shuffle
-    points = every.groupBy("weight").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    cells = _cells(points.select("id", "weight", "copies"), rows, eps)
+    points = every.groupBy("weight").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "weight", "copies").checkpoint()
+    if leaf_rows is None:
+        leaf_rows = max(256, min(_PAIR_ROWS, rows // vectors.sparkSession.sparkContext.defaultParallelism))
+    tree = balls.grow(points, "id", "weight", leaf_rows)
+    sent = _neighbourhoods(tree, eps).checkpoint()
 
     id_type = every.schema["id"].dataType
     near = T.StructType([T.StructField("id", id_type), T.StructField("near", T.LongType())])
-    counted = _block_pairs(cells, cells.points, ("copies",)).applyInArrow(_count_near(limit, to_arrow_schema(near)), near)
-    core = counted.groupBy("id").agg((F.sum("near") >= min_points).alias("core"))
-    flagged = cells.points.join(core, "id").checkpoint()
+    counted = _block_pairs(sent, ("copies",)).applyInArrow(_count_near(limit, to_arrow_schema(near)), near)
+    core = counted.groupBy("id").agg((F.sum("near") >= min_points).alias("core")).checkpoint()
 
     link = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type),
                          T.StructField("gap", T.DoubleType()), T.StructField("kind", T.IntegerType())])
-    links = _block_pairs(cells, flagged, ("core",)).applyInArrow(_links(limit, to_arrow_schema(link)), link).checkpoint()
-    cores = connected_components(flagged.where("core").select("id"), links.where("kind = 0"))
+    links = _block_pairs(sent.join(core, "id"), ("core",)).applyInArrow(_links(limit, to_arrow_schema(link)), link).checkpoint()
+    cores = connected_components(core.where("core").select("id"), links.where("kind = 0"))
     nearest = links.where("kind = 1").groupBy("a").agg(F.min(F.struct("gap", "b")).alias("best"))
     border = _salted_lookup(nearest.select(F.col("a").alias("id"), F.col("best.b").alias("_core")), "_core",
                             cores.withColumnRenamed("id", "_cid"), "_cid", "id").select("id", "label")
-    member = flagged.select("id", "weight", "copies").join(cores.unionByName(border), "id").checkpoint()
+    member = points.join(cores.unionByName(border), "id").checkpoint()
     large = member.groupBy("label").agg(F.sum("copies").alias("n")).where(F.col("n") >= min_size).select(
         F.col("label").alias("_large"))
     kept = _salted_lookup(member, "label", large, "_large", "id").select(F.col("weight").alias("_vector"), "label")

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselight import config
-from caselight.operators.blocks import Size, block_top_k, text_size, usable, usual_width, vector_size
+from caselight.operators.blocks import Limits, Size, block_top_k, text_size, usable, usual_width, vector_size
 from caselight.operators.features import Vocabulary, fit_vocabulary, tfidf_stages, tfidf_vectors
+from caselight.operators.impact import impact_top_k
 from caselight.session import ensure_checkpoint_dir
 
 
@@ -43,30 +44,39 @@ def fit_index(corpus: DataFrame, doc_id: str, text_col: str, payload: Sequence[s
     vocabulary = fit_vocabulary(corpus, doc_id, text_col, max_features, stop_words, ngrams)
     stages = tfidf_stages(vocabulary)
     vectors = tfidf_vectors(corpus, doc_id, text_col, vocabulary, stages, payload)
-    return SparseIndex(vectors, vocabulary, stages, text_size(corpus, text_col), doc_id, tuple(payload))
+    # documents per term add up to the entries of all vectors
+    entries = vocabulary.frame.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    return SparseIndex(vectors, vocabulary, stages, Size(corpus.count(), entries), doc_id, tuple(payload))
 
 
 def search(index: SparseIndex, queries: DataFrame, query_id: str, text_col: str, k: int = config.TOP_K,
-           pad: bool = True, query_size: Size | None = None) -> DataFrame:
+           pad: bool = True, query_size: Size | None = None, limits: Limits | None = None) -> DataFrame:
     """``(query_id, rank, doc_id, score, *payload)``; without ``pad`` hits of score zero are left out.
 
-    ``query_size`` spares the pass that measures the queries.
+    ``query_size`` spares the pass that measures the queries; ``limits`` is the size of a block.
     """
     vectors = tfidf_vectors(queries, query_id, text_col, index.vocabulary, index.stages)
     hits = block_top_k(vectors, index.vectors, k, "sparse", query_id, index.doc_id,
-                       query_size or text_size(queries, text_col), index.size, index.payload, index.width)
+                       query_size or text_size(queries, text_col), index.size, index.payload, index.width, limits)
     return hits if pad else hits.where(F.col("score") > 0)
 
 
 def retrieve_sparse(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, doc_id: str,
                     doc_text: str, k: int = config.TOP_K, payload: Sequence[str] = (), pad: bool = True,
-                    max_features: int = config.MAX_FEATURES, ngrams: int = 2) -> DataFrame:
+                    max_features: int = config.MAX_FEATURES, ngrams: int = 2, limits: Limits | None = None) -> DataFrame:
     return search(fit_index(corpus, doc_id, doc_text, payload, max_features, (), ngrams),
-                  queries, query_id, query_text, k, pad)
+                  queries, query_id, query_text, k, pad, limits=limits)
+
+
+def entries_read(index: SparseIndex, queries: DataFrame, query_id: str, text_col: str, limits: Limits,
+                 k: int = config.TOP_K) -> DataFrame:
+    """One row ``(held, read)``: vector entries that share a term with a query, and those the pruned search reads or probes."""
+    vectors = tfidf_vectors(queries, query_id, text_col, index.vocabulary, index.stages)
+    return impact_top_k(vectors, index.vectors, k, query_id, index.doc_id, text_size(queries, text_col), index.size, index.width, limits, True)
 
 
 def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: str, doc_id: str,
-                   doc_vector: str, k: int = config.TOP_K, payload: Sequence[str] = ()) -> DataFrame:
+                   doc_vector: str, k: int = config.TOP_K, payload: Sequence[str] = (), limits: Limits | None = None) -> DataFrame:
     """Inner product of L2-normalised vectors, exact flat search.
 
     The usual length of the corpus vectors is the width; a row of either side whose vector is
@@ -77,7 +87,7 @@ def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_v
     left = usable(queries.select(query_id, F.col(query_vector).alias("features")), "features", width)
     right = usable(right, "features", width)
     return block_top_k(left, right, k, "dense", query_id, doc_id, vector_size(left, "features"),
-                       vector_size(right, "features"), payload, width)
+                       vector_size(right, "features"), payload, width, limits)
 
 
 def top1_scores(queries: DataFrame, hits: DataFrame, query_id: str) -> DataFrame:

@@ -11,6 +11,7 @@ from caselight.operators import features as FE
 from caselight.operators import intents as I
 from caselight.operators import pairs as O
 from caselight.operators import retrieval as R
+from caselight.operators.blocks import Limits
 from caselight.plans import evaluation as E
 from caselight.session import scratch_dir
 from caselight.sources.messages import scan_pairs, write_pairs
@@ -106,6 +107,13 @@ def _(spark, sf):
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query("retrieve_sparse_impact", SQL["retrieve_sparse_documents"])
+def _(spark, sf):
+    """The same by impact-ordered lists: small blocks, so that every table has several."""
+    hits = R.retrieve_sparse(B.table(spark, sf, "benchmark"), _docs(spark, sf), "item_id", "text", "doc_id", "text", limits=Limits(250, 10**6))
+    return hits.withColumn("score", F.round("score", 6))
+
+
 @query("top1_score", f"""WITH {PAIRS}, {PAIR_HITS}, {B.terms_ctes('documents', 'doc_id', 'text', 'qterm')},
 {B.weights_cte('qterm', 'qw')}, {B.hits_cte('documents', 'doc_id', 'corpus', 'pair_id', 'qw', 'cw', k=1)}
 SELECT query_id AS doc_id, round(score, 6) AS top1_score FROM hits""")
@@ -130,6 +138,15 @@ def _(spark, sf):
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query("retrieve_dense_tree", SQL["retrieve_dense"])
+def _(spark, sf):
+    """The same by a tree of balls, with leaves small enough for several levels."""
+    e = B.table(spark, sf, "embeddings", spread=True)
+    hits = R.retrieve_dense(e, e.withColumnRenamed("vec_id", "doc_id"), "vec_id", "embedding", "doc_id", "embedding",
+                            payload=("label",), limits=Limits(50, 10**6))
+    return hits.withColumn("score", F.round("score", 6))
+
+
 # --- clusters ------------------------------------------------------------------------------------------
 
 CENTRES = """centres AS (SELECT label, list(c ORDER BY i) AS centre FROM (
@@ -297,3 +314,18 @@ def _(spark, sf):
     copies = e.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c")).withColumn(
         "vec_id", F.col("vec_id") * 3 + F.col("c"))
     return C.density_clusters(copies, "vec_id", "embedding", EPS, 15)
+
+
+# four rows near every vector: groups that lie far apart against eps, so that few leaves meet
+_NEAR = """near_ AS (SELECT vec_id * 4 + c AS vec_id, label, list_transform(embedding::DOUBLE[], lambda x, i: x * (1 + 0.05::DOUBLE * (((i - 1) * (c + 1)) % 7 - 3)))
+  AS embedding FROM embeddings CROSS JOIN (VALUES (0), (1), (2), (3)) t(c)),"""
+TIGHT = 0.3
+
+
+@query("density_clusters_tight", SQL["density_clusters"].replace("RECURSIVE ", f"RECURSIVE {_NEAR} ", 1).replace("v FROM embeddings", "v FROM near_", 1)
+       .replace(str(EPS), str(TIGHT)).replace(f">= {MIN_POINTS})", ">= 3)", 1).replace("greatest(5, count(*) // 40)", "least(3, count(*))"))
+def _(spark, sf):
+    e = B.table(spark, sf, "embeddings", spread=True).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    near = e.select((F.col("vec_id") * 4 + F.col("c")).alias("vec_id"), F.transform(
+        "embedding", lambda x, i: x.cast("double") * (1 + F.lit(0.05) * ((i * (F.col("c") + 1)) % 7 - 3))).alias("embedding"))
+    return C.density_clusters(near, "vec_id", "embedding", TIGHT, 3, 3, leaf_rows=100)

@@ -3,6 +3,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from caselight.operators import balls as X
 from caselight.operators import clusters as C
 from caselight.operators import features as FE
 from caselight.operators import intents as I
@@ -147,12 +148,19 @@ def test_report_and_names(spark):
     assert {(r["cluster"], r["label"]) for r in named} == {(0, "zero"), (1, "other_uncategorised")}
 
 
-def test_density_skips_points_out_of_reach(spark, monkeypatch):
-    monkeypatch.setattr(C, "_PAIR_ROWS", 11)
-    points = blobs(per=60)
-    cells = C._cells(vectors(spark, points).select("id", F.col("v").alias("weight"), F.lit(1).alias("copies")), len(points), 0.15)
-    visited = cells.points.agg(F.sum(F.size("cells"))).first()[0]
-    assert visited < len(points) * len(cells.blocks) / 2
+def test_density_meets_under_a_tenth_of_the_pairs(spark):
+    rng = np.random.default_rng(6)
+    points = np.repeat(rng.normal(size=(80, 16)), 6, axis=0)
+    points += rng.normal(scale=0.02, size=points.shape)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    df = vectors(spark, points)
+    tree = X.grow(df.select("id", F.col("v").alias("weight"), F.lit(1).alias("copies")), "id", "weight", 20)
+    sent = C._neighbourhoods(tree, 0.3).groupBy("node", "_to").agg(F.count(F.lit(1)).alias("n")).collect()
+    size = {(r["node"], r["_to"]): r["n"] for r in sent}
+    met = sum(n * size.get((b, a), 0) for (a, b), n in size.items())
+    assert met < len(points) ** 2 / 10
+    got = C.density_clusters(df, "id", "v", 0.3, 3, 3, leaf_rows=20).orderBy("id").collect()
+    assert [r["cluster"] for r in got] == brute_density(points, 0.3, 3, 3)
 
 
 def test_density_of_odd_vectors(spark):

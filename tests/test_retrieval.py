@@ -1,4 +1,5 @@
 import math
+import os
 import re
 from collections import Counter
 
@@ -8,8 +9,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from caselight.functions import tokens as K
+from caselight.operators import balls as X
 from caselight.operators import blocks as B
 from caselight.operators import features as FE
+from caselight.operators import impact as I
 from caselight.operators import retrieval as R
 
 DOCS = ["battery drains fast", "battery drains fast", "the screen is cracked", "update broke the battery", "", "x",
@@ -171,31 +174,98 @@ def clustered(spark, groups=12, per=15):
     return spark.createDataFrame([(i, t, [float(x) for x in p]) for i, (t, p) in enumerate(zip(texts, points))], "doc_id long, text string, v array<double>"), texts, points
 
 
-@pytest.mark.parametrize("scorer", ["sparse", "dense"])
-def test_pruning_skips_cells_and_loses_nothing(spark, monkeypatch, scorer):
-    from caselight.operators import cells as X
-    docs, texts, points = clustered(spark)
+def dense_brute(points, k):
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 9)
+    return [(i, r + 1, int(j), round(float(scores[i, j]), 6) + 0.0) for i in range(len(unit))
+            for r, j in enumerate(np.lexsort((np.arange(len(unit)), -scores[i]))[:k])]
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_the_tree_skips_leaves_and_loses_nothing(spark, monkeypatch, together):
+    docs, _, points = clustered(spark)
     asked = docs.withColumnRenamed("doc_id", "query_id")
     visits, compare = [], X.compare
 
-    def watched(sent, placed, k, *rest):
-        visits.append(sent.agg(F.sum(F.size("cells"))).first()[0])
-        return compare(sent, placed, k, *rest)
+    def watched(sent, tree, *rest):
+        visits.append(sent.select("node").join(tree.nodes, "node").agg(F.sum("n")).first()[0] or 0)
+        return compare(sent, tree, *rest)
 
     monkeypatch.setattr(X, "compare", watched)
-    monkeypatch.setattr(B, "BLOCK_ROWS", 20)
-    if scorer == "sparse":
-        got = rows(R.retrieve_sparse(asked, docs, "query_id", "text", "doc_id", "text", 3))
-        want = brute(texts, texts, 3)
-    else:
-        got = rows(R.retrieve_dense(asked, docs, "query_id", "v", "doc_id", "v", 3))
-        unit = points / np.linalg.norm(points, axis=1, keepdims=True)
-        scores = np.round(unit @ unit.T, 9)
-        want = [(i, r + 1, int(j), round(float(scores[i, j]), 6) + 0.0) for i in range(len(unit))
-                for r, j in enumerate(np.lexsort((np.arange(len(unit)), -scores[i]))[:3])]
-    assert got == want
-    cells = 4 * math.ceil(len(texts) / 20)
-    assert sum(visits) < len(texts) * cells / 3
+    monkeypatch.setattr(X, "GROUP_ROWS", 7)
+    if not together:
+        monkeypatch.setattr(X, "PIVOT_VALUES", 0)
+    got = rows(R.retrieve_dense(asked, docs, "query_id", "v", "doc_id", "v", 3, limits=B.Limits(20, 10**9)))
+    assert got == dense_brute(points, 3)
+    assert sum(visits) < len(points) ** 2 / 4
+
+
+def test_the_tree_grows_with_the_rows(spark):
+    rng = np.random.default_rng(2)
+    leaves = []
+    for n in (200, 800):
+        points = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, 6)))]
+        points += [(n + i, [1.0] * 6) for i in range(60)]  # copies cannot be parted
+        tree = X.grow(spark.createDataFrame(points, "id long, v array<double>"), "id", "v", 20)
+        sizes = {r["node"]: r["n"] for r in tree.nodes.where("NOT inner").collect()}
+        assert sum(sizes.values()) == len(points) == tree.rows.count()
+        assert sorted(sizes.values())[-2] <= 20 and {r["node"] for r in tree.rows.select("node").distinct().collect()} == set(sizes)
+        leaves.append(len(sizes))
+    assert leaves[1] > 2 * leaves[0]
+
+
+def test_zero_vectors_in_the_tree(spark):
+    points = np.random.default_rng(3).normal(size=(60, 5))
+    points[[4, 40]] = 0
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "doc_id long, v array<double>")
+    got = rows(R.retrieve_dense(df.withColumnRenamed("doc_id", "query_id"), df, "query_id", "v", "doc_id", "v", 4, limits=B.Limits(9, 10**9)))
+    points[[4, 40]] = 1e-300  # any direction: scores of zero vectors are zero
+    unit = points / np.where(np.arange(60)[:, None] % 36 == 4, np.inf, np.linalg.norm(points, axis=1, keepdims=True))
+    scores = np.round(unit @ unit.T, 9)
+    assert got == [(i, r + 1, int(j), round(float(scores[i, j]), 6) + 0.0) for i in range(60) for r, j in enumerate(np.lexsort((np.arange(60), -scores[i]))[:4])]
+
+
+def random_rows(rng, n, width, heavy=3):
+    lengths = rng.integers(0, 30, n)
+    terms = [np.sort(rng.choice(width, l, replace=False, p=None)) for l in lengths]
+    weights = [rng.random(l) ** heavy for l in lengths]
+    weights = [w / (np.linalg.norm(w) or 1) for w in weights]
+    return lengths, np.concatenate(terms).astype(np.int64), np.concatenate(weights)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_impact_lists_equal_all_products(monkeypatch, seed):
+    rng, width, k = np.random.default_rng(seed), 60, 3
+    if seed % 2:
+        monkeypatch.setattr(I, "_ENTRIES", 50)
+        monkeypatch.setattr(I, "_CELLS", 400)
+    docs, asked = random_rows(rng, 150, width), random_rows(rng, 40, width)
+    dense = lambda x: np.array([np.bincount(t, weights=w, minlength=width) for t, w in zip(
+        np.split(x[1], np.cumsum(x[0])[:-1]), np.split(x[2], np.cumsum(x[0])[:-1]))])
+    scores = dense(asked) @ dense(docs).T
+    least = np.where(rng.random(40) < 0.5, -np.inf, np.sort(scores, axis=1)[:, -k])  # nothing known, or the very score of the k-th
+    found, read, held = {}, 0, 0
+    for start, query, row, score, h, r in I.search_block(I.Lists(*docs), *asked, least, k):
+        held, read = held + h.sum(), read + r.sum()
+        for q, d, s in zip(query, row, score):
+            found.setdefault(q + start, []).append((-round(s, 9), d))
+            assert s == pytest.approx(scores[q + start, d], abs=1e-9)
+    for q in range(40):
+        want = [(-round(s, 9) + 0.0, d) for s, d in sorted(((scores[q, d], d) for d in range(150)), key=lambda x: (-round(x[0], 9), x[1]))[:k] if s > 1e-12]
+        assert sorted(found.get(q, []))[:len(want)] == want
+
+
+def test_less_than_half_of_the_entries_is_read(spark):
+    """On the given texts: the pruned search reads or probes under half of what shares a term, and finds the same."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    index = R.fit_index(docs, "doc_id", "text").written()
+    held, read = R.entries_read(index, items, "item_id", "text", B.Limits(2500, 10**9)).first()
+    assert 0 < read < held / 2
+    whole, cut = (R.search(index, items, "item_id", "text", limits=x).withColumnRenamed("item_id", "query_id") for x in (None, B.Limits(2500, 10**9)))
+    assert rows(cut) == rows(whole)
 
 
 @pytest.mark.parametrize("block", [20_000, 4])
