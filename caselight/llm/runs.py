@@ -57,6 +57,9 @@ class _Wrapping:
     def reduced(self, x: np.ndarray) -> np.ndarray:
         return x
 
+    def span(self, difference: np.ndarray) -> np.ndarray:
+        return difference
+
 
 class _Prime:
     """Fingerprints modulo a prime, with a base of their own per trial."""
@@ -77,6 +80,9 @@ class _Prime:
     def reduced(self, x: np.ndarray) -> np.ndarray:
         return x % _U(_PRIME)
 
+    def span(self, difference: np.ndarray) -> np.ndarray:
+        return (difference + _U(_PRIME)) % _U(_PRIME)  # two sums below the prime, the first maybe smaller
+
 
 class SquareCatcher:
     """Runs of one text, to which words are appended: at least ``times`` periods and ``least`` words long.
@@ -124,9 +130,7 @@ class SquareCatcher:
     def _same(self, a: np.ndarray, b: np.ndarray, length) -> np.ndarray:
         """Whether the fingerprints of ``length`` words at ``a`` and, later, at ``b`` are equal."""
         here, there = self.sums[a + length] - self.sums[a], self.sums[b + length] - self.sums[b]
-        if isinstance(self.prints, _Prime):
-            here, there = (self.prints.reduced(x + _U(_PRIME)) for x in (here, there))
-        return self.prints.reduced(here * self.powers[b - a]) == self.prints.reduced(there)
+        return self.prints.reduced(self.prints.span(here) * self.powers[b - a]) == self.prints.span(there)
 
     def _look(self, size: int, n: int) -> None:
         """The places whose block of ``size`` words has been completed by the words appended last."""
