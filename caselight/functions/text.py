@@ -6,8 +6,9 @@ Java's ``\\w \\d \\s \\b`` are ASCII by default, so the classes are spelled out.
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import cache, reduce
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -30,11 +31,11 @@ _CP1252 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0)
 _EXTRA = "".join(_CP1252.values())
 _TAIL = rf"[\x{{80}}-\x{{bf}}{_EXTRA}]"
 _SUSPECT = rf"[\x{{c2}}-\x{{f4}}]{_TAIL}"  # a cheap look that settles most texts
-# only characters that stand for one byte, and among them a lead byte with its followers
-_MOJIBAKE = (rf"(?s)^(?=[\x00-\x{{ff}}{_EXTRA}]*+$).*?"
-             rf"(?:[\x{{c2}}-\x{{df}}]{_TAIL}|[\x{{e0}}-\x{{ef}}]{_TAIL}{{2}}|[\x{{f0}}-\x{{f4}}]{_TAIL}{{3}})")
+# lead bytes with their followers, as many side by side as a pattern may hold without deep recursion
+_MOJIBAKE = rf"(?:[\x{{c2}}-\x{{df}}]{_TAIL}|[\x{{e0}}-\x{{ef}}]{_TAIL}{{2}}|[\x{{f0}}-\x{{f4}}]{_TAIL}{{3}}){{1,200}}"
 _CONTROL = r"\x00-\x08\x0b\x0e-\x1f\x7f\x{206a}-\x{206f}\x{feff}\x{fff9}-\x{fffc}"
 # plain ranges that hold all that is straightened; cheap looks that settle most texts
+_HIGH_ANY = r"[\x{300}-\x{10ffff}]"
 _HIGH, _LOW = r"[\x{2bc}-\x{ffff}]", r"[\x00-\x08\x0b-\x1f\x7f-\x{85}]"
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _ODD = "ʼ‘’‚‛“”„‟　" + _WIDE
@@ -89,18 +90,119 @@ def decode_entities(text: Column) -> Column:
 
 
 def repair_mojibake(text: Column) -> Column:
-    """UTF-8 that was read as Windows-1252 or Latin-1, when the whole text allows it."""
+    """UTF-8 that was read as Windows-1252 or Latin-1, stretch by stretch.
+
+    A stretch is a run of characters that spell lead bytes with their followers; each is
+    judged alone, so sound words, other scripts and emojis beside it neither hinder the repair nor change.
+    """
+    def mended(part: Column) -> Column:
+        as_bytes = F.translate(part, _EXTRA, "".join(map(chr, _CP1252)))
+        return F.coalesce(F.try_validate_utf8(F.encode(as_bytes, "ISO-8859-1").cast("string")), part)
+
     def repaired(t: Column) -> Column:
-        eligible = t.rlike(_SUSPECT) & t.rlike(_MOJIBAKE)
-        as_bytes = F.translate(t, _EXTRA, "".join(map(chr, _CP1252)))
-        # blanked inside the branch as well: encode() raises on what it cannot map
-        safe = F.when(eligible, as_bytes).otherwise(F.lit(""))
-        fixed = F.try_validate_utf8(F.encode(safe, "ISO-8859-1").cast("string"))
-        return F.when(eligible, F.coalesce(fixed, t)).otherwise(t)
+        eligible = t.rlike(_SUSPECT)
+        # blanked inside the branch as well: a branch may be evaluated ahead of its condition
+        safe = F.when(eligible, t).otherwise(F.lit(""))
+        around = F.split(safe, _MOJIBAKE, -1)
+        between = F.transform(F.regexp_extract_all(safe, F.lit(_MOJIBAKE), F.lit(0)), mended)
+        out = F.array_join(F.zip_with(around, between, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(eligible, out).otherwise(t)
 
     return bind(text, repaired)
 
 
+# --- canonical composition --------------------------------------------------------------------
+
+@cache
+def _composition() -> dict[str, str]:
+    """Tables of canonical composition, made from the Unicode data that Python carries, as JSON or as pattern classes."""
+    code = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and not 0xAC00 <= c <= 0xD7A3]
+    apart = {c: d for c in code if (d := unicodedata.normalize("NFD", c)) != c}
+    pairs = {}
+    for c in apart:
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and unicodedata.normalize("NFC", c) == c:
+            pairs["".join(chr(int(p, 16)) for p in parts)] = c
+    ranks = {c: unicodedata.combining(c) for c in code if unicodedata.combining(c)}
+    alone = {c: n for c in code if (n := unicodedata.normalize("NFC", c)) != c}
+    return {"apart": json.dumps(apart, ensure_ascii=False), "pairs": json.dumps(pairs, ensure_ascii=False), "ranks": json.dumps(ranks, ensure_ascii=False),
+            "from": "".join(c for c, n in alone.items() if len(n) == 1), "to": "".join(n for n in alone.values() if len(n) == 1),
+            "longer": json.dumps({c: n for c, n in alone.items() if len(n) > 1}, ensure_ascii=False)}
+
+
+# wide classes that hold all there is to compose or replace
+_LOOSE = (r"[\p{M}\x{374}\x{37e}\x{387}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{fb9}\x{2adc}\x{1100}-\x{11ff}\x{1f00}-\x{1fff}\x{2000}\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{f900}-\x{faff}"
+          r"\x{fb1d}-\x{fb4e}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}]")
+_CLUSTER = r"(?s)(?:[^\p{M}]|^)\p{M}{1,200}"
+_JAMO = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11a8}-\x{11c2}]?|[\x{ac00}-\x{d7a3}][\x{11a8}-\x{11c2}]"
+
+
+def compose(text: Column) -> Column:
+    """Canonical composition (NFC): letters and the marks behind them become one character where there is one.
+
+    Built-in expressions over tables of Unicode's own data; texts without a mark or
+    another character that could change are left after one look.  At most 200 marks
+    in a row are ordered.
+    """
+    tables = _composition()
+
+    def table(name: str, kind: str = "map<string,string>") -> Column:
+        return F.from_json(F.lit(tables[name]), kind)
+
+    def characters(t: Column) -> Column:
+        return F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+
+    def apart(t: Column) -> Column:
+        return F.array_join(F.transform(characters(t), lambda c: F.coalesce(F.try_element_at(table("apart"), c), c)), "")
+
+    def cluster(t: Column) -> Column:
+        def joined(chars: Column) -> Column:
+            ranked = F.transform(chars, lambda c: F.coalesce(F.try_element_at(table("ranks", "map<string,int>"), c), F.lit(0)))
+            return bind(ranked, lambda ranks: fold(chars, ranks))
+
+        def fold(chars: Column, ranks: Column) -> Column:
+            # marks are ordered by rank between characters of rank 0
+            places = F.transform(chars, lambda c, i: F.struct(
+                F.size(F.filter(F.slice(ranks, F.lit(1), i + 1), lambda r: r == 0)).alias("group"), F.get(ranks, i).alias("rank"), i.alias("at"), c.alias("c")))
+            start = F.struct(F.lit("").alias("done"), F.lit("").alias("letter"), F.lit(-1).alias("last"), F.lit("").alias("rest"))
+
+            def step(s: Column, m: Column) -> Column:
+                open_ = (s["rest"] == "") | ((s["last"] < m["rank"]) & (m["rank"] > 0))
+                made = F.when(open_ & (s["letter"] != ""), F.try_element_at(table("pairs"), F.concat(s["letter"], m["c"])))
+                return (F.when(made.isNotNull(), F.struct(s["done"].alias("done"), made.alias("letter"), s["last"].alias("last"), s["rest"].alias("rest")))
+                        .when(m["rank"] == 0, F.struct(F.concat(s["done"], s["letter"], s["rest"]).alias("done"), m["c"].alias("letter"),
+                                                       F.lit(-1).alias("last"), F.lit("").alias("rest")))
+                        .otherwise(F.struct(s["done"].alias("done"), s["letter"].alias("letter"), m["rank"].alias("last"),
+                                            F.concat(s["rest"], m["c"]).alias("rest"))))
+
+            return F.aggregate(F.array_sort(places), start, step, lambda s: F.concat(s["done"], s["letter"], s["rest"]))
+
+        return bind(characters(apart(t)), joined)
+
+    def syllable(t: Column) -> Column:
+        def number(at: int) -> Column:
+            return F.conv(F.hex(F.encode(F.substr(t, F.lit(at), F.lit(1)), "UTF-32")), 16, 10).cast("int")
+
+        def last(at: int) -> Column:
+            return F.when(F.length(t) >= at, number(at) - 0x11A7).otherwise(F.lit(0))
+
+        whole = F.when(number(1) >= 0xAC00, F.when((number(1) - 0xAC00) % 28 == 0, number(1) + last(2))).otherwise(
+            0xAC00 + ((number(1) - 0x1100) * 21 + number(2) - 0x1161) * 28 + last(3))
+        return F.coalesce(F.decode(F.unhex(F.lpad(F.hex(whole), 8, "0")), "UTF-32"), t)
+
+    def each(t: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), change)
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    def composed(t: Column) -> Column:
+        loose = t.rlike(_HIGH_ANY) & t.rlike(_LOOSE)
+        out = F.translate(F.when(loose, t).otherwise(F.lit("")), tables["from"], tables["to"])
+        steps = ((f"[{''.join(json.loads(tables['longer']))}]", lambda c: F.try_element_at(table("longer"), c)), (_CLUSTER, cluster), (_JAMO, syllable))
+        return F.when(loose, reduce(lambda c, s: bind(c, lambda o: each(o, *s)), steps, out)).otherwise(t)
+
+    return bind(text, composed)
+
+
 def straighten(text: Column) -> Column:
     """Curly quotes, ligatures, full-width ASCII, line ends and control characters."""
     def straight(t: Column) -> Column:
@@ -114,7 +216,8 @@ def straighten(text: Column) -> Column:
 
 
 def fix_encoding(text: Column) -> Column:
-    return straighten(repair_mojibake(decode_entities(text)))
+    """References, wrongly read stretches, plain signs, and composed characters, in this order."""
+    return compose(straighten(repair_mojibake(decode_entities(text))))
 
 
 def normalise_mentions(text: Column, brands: Sequence[str] = config.BRAND_HANDLES) -> Column:

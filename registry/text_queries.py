@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from caselight import config
@@ -75,6 +77,38 @@ def _side(phrases, at: int, number: str) -> str:
     return B.sql_pick(tuple(p[at] for p in phrases), number)
 
 
+_READ_WRONG = {c: c.encode().decode("cp1252") for c in "éèêëçñöüäßáíóúâôîûœ"}
+
+
+@query("repair_stretches", "SELECT doc_id, 'naïve ☃ ' || coalesce(text, '') AS text FROM documents")
+def _(spark, sf):
+    """Whole documents whose accented letters were read in the wrong encoding, behind a sound word and another script: only the broken parts change."""
+    broken = F.coalesce("text", F.lit(""))
+    for sound, wrong in _READ_WRONG.items():
+        broken = F.replace(broken, F.lit(sound), F.lit(wrong))
+    return B.table(spark, sf, "documents", spread=True).select("doc_id", T.repair_mojibake(F.concat(F.lit("naïve ☃ "), broken)).alias("text"))
+
+
+_APART = {c: unicodedata.normalize("NFD", c) for c in "éèêëçñöüäáíóúâôîû"}
+
+
+def _sql_apart(text: str) -> str:
+    for whole, parts in _APART.items():
+        text = f"replace({text}, '{whole}', '{parts}')"
+    return text
+
+
+@query("compose_text", f"""SELECT doc_id, nfc_normalize({_sql_apart("coalesce(text, '')")} || 'Å' || chr(803) || chr(8491) || 'q' || chr(775) || chr(803)) AS text
+FROM documents""")
+def _(spark, sf):
+    """Whole documents with their accents apart, and marks out of order behind them."""
+    apart = F.coalesce("text", F.lit(""))
+    for whole, parts in _APART.items():
+        apart = F.replace(apart, F.lit(whole), F.lit(parts))
+    tail = F.lit("Å" + chr(803) + chr(8491) + "q" + chr(775) + chr(803))
+    return B.table(spark, sf, "documents", spread=True).select("doc_id", T.compose(F.concat(apart, tail)).alias("text"))
+
+
 @query("fix_encoding", rf"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, html FROM pages),
 a AS (SELECT page_id, {B.sql_entities('title')} AS title, html FROM t)
 SELECT 'title' AS kind, page_id AS id, {B.sql_straight('title')} AS text FROM a

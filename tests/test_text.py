@@ -1,5 +1,7 @@
 import re
+import unicodedata
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -46,7 +48,22 @@ def test_scrub_is_optional(spark):
 def test_fix_encoding(spark):
     got = apply(spark, T.fix_encoding, ["donâ€™t", "cafÃ©", "café", "Ã", "&amp;lt; &lt;b&gt;", "<b>&amp;</b>", "“a” ‘b’", "a\r\nb\x07",
                                         "ﬁne ＡＢ", "snow ☃ Ã©", None])
-    assert got == ["don't", "café", "café", "Ã", "&lt; <b>", "<b>&amp;</b>", "\"a\" 'b'", "a\nb", "fine AB", "snow ☃ Ã©", None]
+    assert got == ["don't", "café", "café", "Ã", "&lt; <b>", "<b>&amp;</b>", "\"a\" 'b'", "a\nb", "fine AB", "snow ☃ é", None]
+
+
+def test_broken_stretches_are_mended_beside_sound_ones(spark):
+    texts = ["naïve cafÃ© ☃", "éÃ©Ã", "SÃO PAULO", "donâ€™t 日本 naïve", "ÐŸÑ€Ð¸Ð²ÐµÑ‚ привет", "Ã©" * 3000 + " ï", "Ã\xa0 la", "ï¿½Ã¼"]
+    assert apply(spark, T.repair_mojibake, texts) == ["naïve café ☃", "ééÃ", "SÃO PAULO", "don’t 日本 naïve", "Привет привет", "é" * 3000 + " ï", "à la", "\ufffdü"]
+
+
+def test_composition_equals_the_library(spark):
+    random = np.random.default_rng(4)
+    letters = list("aeiouAEncCoOsSẹệêâ각가x9 \n") + ["\u1100", "\u1161", "\u11a8", "\u0915", "\u0bc6", "\u212b", "\u2126", "\u0958", "\U0001d15e", "\uf900"]
+    marks = [chr(c) for c in (0x300, 0x301, 0x302, 0x303, 0x308, 0x323, 0x327, 0x328, 0x331, 0x344, 0x345, 0x93c, 0x9be, 0xbbe, 0x3099, 0x5bc)]
+    texts = ["".join(random.choice(letters if random.random() < 0.5 else marks) for _ in range(random.integers(0, 14))) for _ in range(1500)]
+    texts += [unicodedata.normalize("NFD", chr(c)) + "x" for c in range(0x80, 0x2000)] + ["plain", "", "e" + "\u0301" * 150]
+    assert apply(spark, T.compose, texts) == [unicodedata.normalize("NFC", t) for t in texts]
+    assert apply(spark, T.compose, [None]) == [None]
 
 
 def test_references_equal_the_standard(spark):
