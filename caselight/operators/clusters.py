@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from caselight import config
 from caselight.operators import balls
-from caselight.operators.blocks import dense_rows, usable, usual_width
+from caselight.operators.blocks import dense_rows, sparse_parts, usable, usual_width
 from caselight.operators.features import fit_vocabulary, merged_partitions, tfidf_stages, with_terms
 from caselight.operators.ordering import head_per_group
 from caselight.session import ensure_checkpoint_dir
@@ -37,38 +36,187 @@ def cluster_count(rows: int, k: int) -> int:
     return min(k, max(2, rows // 3)) if rows < 3 * k else k
 
 
-def fit_kmeans(features: DataFrame, features_col: str, k: int = 8, seed: int = 42, starts: int = 10,
-               parallelism: int = 4) -> KMeansModel:
-    """The best of several seeded starts by training cost; a few starts run side by side."""
-    spark, rows = features.sparkSession, features.count()
-    k = cluster_count(rows, k)
-    features = merged_partitions(features.select(features_col), rows).persist()
-    try:
-        features.count()
+class _Rows:
+    """A batch of vectors, dense or sparse, for products with few centres."""
+
+    def __init__(self, column: pa.Array, width: int):
+        self.width = width
+        lists = column
+        self.dense = None
+        if pa.types.is_struct(column.type):
+            lists = column.field("values")
+            if pc.all(pc.equal(column.field("type"), 0)).as_py():
+                self.lengths, self.terms, self.weights = sparse_parts(pa.table({"features": column}))
+                return
+        self.dense = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    def __len__(self) -> int:
+        return len(self.dense) if self.dense is not None else len(self.lengths)
+
+    def slices(self, values: int = 4_000_000):
+        """The same a bounded number of dense values at a time."""
+        if self.dense is None:
+            step, ends = max(1, values // max(1, self.width)), np.cumsum(self.lengths)
+            for a in range(0, len(self.lengths), step):
+                b = min(len(self.lengths), a + step)
+                own = slice(ends[a] - self.lengths[a], ends[b - 1])
+                out = np.zeros((b - a, self.width))
+                out[np.repeat(np.arange(b - a), self.lengths[a:b]), self.terms[own]] = self.weights[own]
+                yield a, out
+        else:
+            step = max(1, values // max(1, self.dense.shape[1]))
+            for a in range(0, len(self.dense), step):
+                yield a, self.dense[a:a + step]
+
+
+def _gaps(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of dense rows to centres."""
+    square = (rows * rows).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2.0 * (rows @ centres.T)
+    return np.maximum(square, 0.0)
+
+
+def _luck(rows: np.ndarray, seed: int) -> np.ndarray:
+    """A number in (0, 1) per row that depends only on its values and the seed."""
+    bits = np.ascontiguousarray(rows + 0.0).view(np.uint64)
+    odd = np.random.default_rng(seed).integers(0, 1 << 63, rows.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    x = ((bits ^ (bits >> np.uint64(29))) * odd).sum(1, dtype=np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def _drawing(centres: np.ndarray, starts: Sequence[int], seed: int, width: int):
+    """One candidate per start and task for the next centre: drawn in proportion to the squared distance from those chosen."""
+    def run(batches):
+        best: dict[int, tuple[float, np.ndarray]] = {}
+        for batch in batches:
+            for _, rows in _Rows(batch.column(0), width).slices():
+                for s in starts:
+                    far = _gaps(rows, centres[s]).min(1) if centres.shape[1] else np.ones(len(rows))
+                    with np.errstate(divide="ignore"):
+                        race = -np.log(_luck(rows, seed + 1000 * s + centres.shape[1])) / far
+                    at = int(race.argmin())
+                    if s not in best or (race[at], rows[at].tolist()) < (best[s][0], best[s][1].tolist()):
+                        best[s] = race[at], rows[at].copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([r for r, _ in best.values()], pa.float64()),
+                                          pa.array([v for _, v in best.values()], pa.list_(pa.float64()))], ["start", "race", "row"])
+    return run
+
+
+def _moving(centres: dict[int, np.ndarray], width: int):
+    """Per task, start and cluster: rows, cost and sum of the rows nearest to it; all starts in one pass."""
+    starts, k = list(centres), len(next(iter(centres.values())))
+    every = np.concatenate([centres[s] for s in starts])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        n, cost, total = np.zeros(len(every), np.int64), np.zeros(len(every)), np.zeros((len(every), width))
+        for batch in batches:
+            for _, rows in _Rows(batch.column(0), width).slices():
+                gaps = _gaps(rows, every).reshape(len(rows), len(starts), k)
+                for at in range(len(starts)):
+                    near = gaps[:, at].argmin(1)
+                    own = np.zeros((k, len(rows)))
+                    own[near, np.arange(len(rows))] = 1.0
+                    place = slice(at * k, at * k + k)
+                    n[place] += np.bincount(near, minlength=k)
+                    cost[place] += np.bincount(near, weights=gaps[np.arange(len(rows)), at, near], minlength=k)
+                    total[place] += own @ rows
+        size = len(every)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(starts, k), pa.int32()), pa.array(np.tile(np.arange(k), len(starts)), pa.int32()),
+             pa.array(np.full(size, TaskContext.get().partitionId()), pa.int32()), pa.array(n), pa.array(cost),
+             pa.array(list(total), pa.list_(pa.float64()))], ["start", "cluster", "task", "n", "cost", "total"])
+    return run
+
+
+def _added(table):
+    """The sums of all tasks for one start and cluster, in the order of the tasks, so that equal passes give equal bits."""
+    table = table.sort_by("task")
+    total = table.column("total").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(0)
+    return pa.table({"start": table.column("start")[:1], "cluster": table.column("cluster")[:1], "n": pa.array([pc.sum(table.column("n")).as_py()], pa.int64()),
+                     "cost": pa.array([float(np.sum(table.column("cost").to_numpy()))]), "total": pa.array([total], pa.list_(pa.float64()))})
+
 
-        def fit(start: int) -> KMeansModel:
-            return KMeans(k=k, seed=seed + start, featuresCol=features_col, predictionCol="cluster", maxIter=300).fit(
-                features)
+@dataclass(frozen=True)
+class KMeansFit:
+    """The centres of the best start, its cost, and how many passes all starts took together."""
 
-        with ThreadPoolExecutor(parallelism) as pool:
-            models = list(pool.map(inheritable_thread_target(spark)(fit), range(starts)))
-        return min(models, key=lambda m: m.summary.trainingCost)
+    centres: np.ndarray
+    cost: float
+    passes: int
+
+    def assign(self, rows: DataFrame, features_col: str, keep: Sequence[str]) -> DataFrame:
+        """The columns to keep plus ``cluster``, the nearest centre; ties go to the smaller number.  Map-only."""
+        centres = self.centres
+
+        def run(batches):
+            for batch in batches:
+                near = [_gaps(part, centres).argmin(1) for _, part in _Rows(batch.column(len(keep)), centres.shape[1]).slices()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(np.concatenate(near) if near else [], pa.int32())],
+                                                 [*keep, "cluster"])
+
+        schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("cluster", T.IntegerType())])
+        return rows.select(*keep, F.col(features_col).alias("_features")).mapInArrow(run, schema)
+
+
+def fit_kmeans(features: DataFrame, features_col: str, width: int, k: int = 8, seed: int = 42, starts: int = 10,
+               most_passes: int = 300) -> KMeansFit:
+    """The best of several seeded starts by cost; all starts advance in the same pass over the rows.
+
+    Start centres are drawn one after another in proportion to the squared distance
+    from those chosen.  A start is done when its centres no longer move at all.  Tasks send sums per
+    start and cluster, which are added before the driver reads ``starts * k`` rows of ``width`` numbers.
+    """
+    rows = features.select(F.col(features_col).alias("features"))
+    n = rows.count()
+    k = cluster_count(n, k)
+    if n == 0:
+        raise ValueError("no rows to cluster")
+    rows = merged_partitions(rows, n).persist()
+    try:
+        chosen = np.zeros((starts, 0, width))
+        for _ in range(k):
+            drawn = rows.mapInArrow(_drawing(chosen, range(starts), seed, width), "start int, race double, row array<double>")
+            best = drawn.groupBy("start").agg(F.min(F.struct("race", "row")).alias("best")).select("start", "best.row").collect()
+            following = np.stack([np.array(r["row"]) for r in sorted(best, key=lambda r: r["start"])])
+            chosen = np.concatenate([chosen, following[:, None, :]], axis=1)
+        active, settled, passes = dict(enumerate(chosen)), {}, 0
+        while active:
+            passes += 1
+            sums = rows.mapInArrow(_moving(active, width), "start int, cluster int, task int, n long, cost double, total array<double>")
+            told = sums.groupBy("start", "cluster").applyInArrow(_added, "start int, cluster int, n long, cost double, total array<double>").toArrow()
+            cost = dict.fromkeys(active, 0.0)
+            moved = {s: c.copy() for s, c in active.items()}
+            for r in told.to_pylist():
+                cost[r["start"]] += r["cost"]
+                if r["n"]:  # a centre without rows stays where it is
+                    moved[r["start"]][r["cluster"]] = np.array(r["total"]) / r["n"]
+            for s in list(active):
+                if passes == most_passes or np.array_equal(moved[s], active[s]):
+                    settled[s] = cost[s], active.pop(s)
+                else:
+                    active[s] = moved[s]
+        best = min(settled, key=lambda s: (settled[s][0], s))
+        return KMeansFit(settled[best][1], settled[best][0], passes)
     finally:
-        features.unpersist()
+        rows.unpersist()
 
 
 def kmeans_text_clusters(docs: DataFrame, id_col: str, text_col: str, k: int = 8, seed: int = 42, starts: int = 10,
                          max_features: int = config.CLUSTER_MAX_FEATURES) -> DataFrame:
     """Input rows plus ``cluster``, from TF-IDF features."""
     vocabulary = fit_vocabulary(docs, id_col, text_col, max_features)
-    features = tfidf_stages(vocabulary).transform(with_terms(docs, text_col, vocabulary))
-    return fit_kmeans(features, "features", k, seed, starts).transform(features).select(*docs.columns, "cluster")
+    stages = tfidf_stages(vocabulary)
+    features = stages.transform(with_terms(docs, text_col, vocabulary))
+    return fit_kmeans(features, "features", len(stages.stages[0].vocabulary), k, seed, starts).assign(features, "features", docs.columns)
 
 
 def kmeans_vector_clusters(vectors: DataFrame, vector_col: str, k: int = 8, seed: int = 42,
                            starts: int = 10) -> DataFrame:
-    features = vectors.withColumn("features", array_to_vector(F.col(vector_col).cast("array<double>")))
-    return fit_kmeans(features, "features", k, seed, starts).transform(features).select(*vectors.columns, "cluster")
+    """Input rows plus ``cluster``; vectors have one length."""
+    features = vectors.withColumn("_vector", F.col(vector_col).cast("array<double>"))
+    return fit_kmeans(features, "_vector", usual_width(vectors, vector_col), k, seed, starts).assign(features, "_vector", vectors.columns)
 
 
 def centres_of(vectors: DataFrame, vector_col: str, cluster: str) -> DataFrame:
@@ -78,19 +226,26 @@ def centres_of(vectors: DataFrame, vector_col: str, cluster: str) -> DataFrame:
         vector_to_array(Summarizer.mean(vector)).alias("centre"), F.count(F.lit(1)).alias("n"))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-
-
 def assign_to_centres(vectors: DataFrame, vector_col: str, centres: DataFrame, cluster: str) -> DataFrame:
-    """Nearest centre of every vector; ties go to the smaller cluster.  Centres are few: one row holds them all."""
-    table = centres.agg(F.sort_array(F.collect_list(F.struct(cluster, "centre"))).alias("centres")).scalar()
-    x = F.col(vector_col).cast("array<double>")
-    nearest = F.array_min(F.transform("_centres", lambda c: F.struct(
-        squared_distance(c["centre"], x).alias("distance2"), c[cluster].alias("cluster"))))
-    return (vectors.withColumn("_centres", table).withColumn("_nearest", nearest)
-            .select(*vectors.columns, F.col("_nearest.cluster").alias("assigned"),
-                    F.col("_nearest.distance2").alias("distance2")))
+    """Nearest centre of every vector; ties go to the smaller cluster.  Map-only; the centres are few, one row each, and travel with the tasks."""
+    table = centres.select(cluster, F.col("centre").cast("array<double>").alias("centre")).orderBy(cluster).toArrow()
+    matrix = np.array(table.column("centre").to_pylist(), np.float64)
+    names = table.column(cluster).combine_chunks()
+    names = names if isinstance(names, pa.Array) else pa.concat_arrays(names.chunks)
+    keep = vectors.columns
+
+    def run(batches):
+        for batch in batches:
+            best, gap = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for _, rows in _Rows(batch.column(len(keep)), matrix.shape[1]).slices(4_000_000 // len(matrix)):
+                gaps = ((rows[:, None, :] - matrix[None, :, :]) ** 2).sum(2)
+                best.append(gaps.argmin(1))
+                gap.append(gaps.min(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], names.take(pa.array(np.concatenate(best))), pa.array(np.concatenate(gap))],
+                                             [*keep, "assigned", "distance2"])
+
+    schema = T.StructType([*vectors.schema.fields, T.StructField("assigned", centres.schema[cluster].dataType), T.StructField("distance2", T.DoubleType())])
+    return vectors.select(*keep, F.col(vector_col).cast("array<double>").alias("_vector")).mapInArrow(run, schema)
 
 
 # --- density ------------------------------------------------------------------

@@ -137,5 +137,5 @@ def with_terms(docs: DataFrame, text_col: str, vocabulary: Vocabulary, output_co
 
 
 def merged_partitions(features: DataFrame, rows: int, at_least: int = 10_000) -> DataFrame:
-    """Merge near-empty partitions before an iterative fit, which runs one job over all of them per step; never below the cores."""
-    return features.coalesce(max(features.sparkSession.sparkContext.defaultParallelism, rows // at_least))
+    """Merge near-empty partitions before an iterative fit, which runs one job over all of them per step: a task has ``at_least`` rows if there are."""
+    return features.coalesce(max(1, rows // at_least))

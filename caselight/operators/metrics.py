@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from caselight import config
 from caselight.config import Grid, Policy
 from caselight.functions import policy as P
+from caselight.operators.ordering import running_totals
+from caselight.session import ensure_checkpoint_dir
 from caselight.shipping import ship_by_value
 
 
@@ -181,19 +183,22 @@ def spearman_by_axis(merged: DataFrame, axes: Sequence[str] = config.JUDGE_AXES,
     """``(axis, spearman_rho, p_value, n)`` for axes with more than two complete pairs; average ranks on ties.
 
     Grades are counted per (axis, judge, human) first, so ranking works on the
-    distinct grades of the scale and not on the rows.
+    distinct grades of the scale and not on the rows; these may be many as well, and
+    are ranked range by range (``running_totals``), never an axis in one task.
     """
     both = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("j"),
                               F.col(prefix + a).cast("double").alias("h")) for a in axes])
     cells = (merged.select(F.inline(both)).where(F.col("j").isNotNull() & F.col("h").isNotNull())
              .groupBy("axis", "j", "h").agg(F.count(F.lit(1)).alias("n")))
 
+    ensure_checkpoint_dir(merged.sparkSession)
+    cells = cells.checkpoint()
+    totals = cells.groupBy("axis").agg(F.sum("n").alias("_total"))  # one row per axis
+
     def centred_ranks(side: str) -> DataFrame:
-        below = F.coalesce(F.sum("c").over(Window.partitionBy("axis").orderBy(side)
-                                           .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        total = F.sum("c").over(Window.partitionBy("axis"))
-        return cells.groupBy("axis", side).agg(F.sum("n").alias("c")).select(
-            "axis", side, (below + (F.col("c") + 1) / 2 - (total + 1) / 2).alias(f"r{side}"))
+        grades = running_totals(cells.groupBy("axis", side).agg(F.sum("n").alias("c")), ["axis"], side, "c", "_below")
+        return grades.join(F.broadcast(totals), "axis").select(
+            "axis", side, (F.col("_below") + (F.col("c") + 1) / 2 - (F.col("_total") + 1) / 2).alias(f"r{side}"))
 
     ranked = cells.join(centred_ranks("j"), ["axis", "j"]).join(centred_ranks("h"), ["axis", "h"])
     weighted = lambda c: F.sum(F.col("n") * c)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselight.session import ensure_checkpoint_dir
+
 
 def id_order(*ids: str) -> list[Column]:
     """Numeric order for ids that are digit strings, without parsing them."""
@@ -50,3 +52,21 @@ def sample_n(df: DataFrame, n: int | None, id_cols: Sequence[str], seed: int = 4
             .where(F.col("_rank") <= n - cut.select("cut._before").scalar())
             .agg(F.max("_key").alias("last")))
     return keyed.where(key <= edge.scalar()).drop("_digest", "_bucket")
+
+
+def running_totals(df: DataFrame, group: Sequence[str], order: str, value: str, output: str) -> DataFrame:
+    """The rows plus ``output``: the sum of ``value`` over the rows of the group that come before, by ``order``.
+
+    No task sees a whole group: rows are range-partitioned, every range adds up its own part, and
+    only the ranges' totals, one row per range and group, are run through in order.
+    Rows with equal group and order stand in one range and in no particular order.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(*[F.col(c) for c in group], F.col(order)).withColumn("_range", F.spark_partition_id())
+              .checkpoint())  # the ranges must not be dealt anew
+    before = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))
+               .withColumn("_offset", F.coalesce(F.sum("_sum").over(before(*group, by="_range")), F.lit(0))).drop("_sum"))
+    inside = F.coalesce(F.sum(value).over(before(*group, "_range", by=order)), F.lit(0))
+    return (ranged.withColumn("_inside", inside).join(offsets, [*group, "_range"])
+            .withColumn(output, F.col("_inside") + F.col("_offset")).select(*df.columns, output))

@@ -33,12 +33,18 @@ def train_eval_baselines(train: DataFrame, id_col: str, text_col: str, label: st
     answers serve the policy through ``handling.answers_classifier``.
     """
     model = intents.fit_intent_model(train, id_col, text_col, label, **fit)
-    out = (_evaluated("trivial", intents.predict_majority(train, label, golden), truth, "predicted", labels)
-           .unionByName(_evaluated("tfidf", model.predict(golden, golden_text), truth, "intent", labels)))
+    fitted = _evaluated("tfidf", model.predict(golden, golden_text), truth, "intent", labels)
+    return model, evaluate_unfitted(train, label, golden, truth, answers, golden_id, labels).unionByName(fitted)
+
+
+def evaluate_unfitted(train: DataFrame, label: str, golden: DataFrame, truth: str, answers: DataFrame | None = None,
+                      golden_id: str | None = None, labels: Sequence[str] = config.LABELS) -> DataFrame:
+    """The rows that need no fitted model: the majority floor, and a language model's answers if there are any."""
+    out = _evaluated("trivial", intents.predict_majority(train, label, golden), truth, "predicted", labels)
     if answers is not None:
         answered = labels_from_responses(golden, answers, golden_id, labels=labels)
         out = out.unionByName(_evaluated("llm", answered, truth, "intent", labels))
-    return model, out
+    return out
 
 
 def _evaluated(name: str, rows: DataFrame, truth: str, predicted: str, labels: Sequence[str]) -> DataFrame:

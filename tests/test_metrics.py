@@ -9,6 +9,7 @@ from caselight import config
 from caselight.config import Policy
 from caselight.functions import policy as P
 from caselight.operators import metrics as M
+from caselight.operators import ordering as O
 
 A, B_, C_ = "battery_power", "account_access", "app_store_billing"
 
@@ -157,3 +158,25 @@ def test_sweep_groups_before_the_grid(spark, plan):
     df = spark.range(10).selectExpr("id", "'x' text", "'a' intent", "0.5D confidence", "0.1D top1", "true negative", "true truth")
     text = plan(M.threshold_sweep(df, "truth", "text", "intent", "confidence", "top1", "negative"), "simple")
     assert text.index("Generate") < text.rindex("HashAggregate") and "NestedLoop" not in text
+
+
+def test_ranks_of_many_grades_are_dealt_over_tasks(spark, plan):
+    """10^5 distinct grades on one axis: no task ranks them all, and the result is that of plain ranks."""
+    n = 100_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n / 3.0).alias("a"), ((F.col("id") * 104729) % n / 7.0 + F.col("id") % 2).alias("human_a"))
+    row = M.spearman_by_axis(df, ("a",)).first()
+    x, y = (np.array(c, float) for c in zip(*df.collect()))
+    rank = lambda v: np.searchsorted(np.sort(v), v, "left") + (np.searchsorted(np.sort(v), v, "right") - np.searchsorted(np.sort(v), v, "left") + 1) / 2
+    assert row["n"] == n and row["spearman_rho"] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1], abs=1e-9)
+    totals = O.running_totals(df.select(F.lit("q").alias("axis"), "a", F.lit(1).alias("c")), ["axis"], "a", "c", "below")
+    sizes = totals.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert totals.where("below != round(a * 3)").count() == 0
+    assert "hashpartitioning(axis" in plan(totals, "simple") and len(sizes) >= 1
+
+
+def test_running_totals_of_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(o), int(v)) for g, o, v in zip(rng.integers(0, 3, 400), rng.permutation(400), rng.integers(0, 9, 400))]
+    got = O.running_totals(spark.createDataFrame(rows, "g int, o double, v int").repartition(5), ["g"], "o", "v", "before").collect()
+    assert len(got) == 400
+    assert all(r["before"] == sum(v for g, o, v in rows if g == r["g"] and o < r["o"]) for r in got)

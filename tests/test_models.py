@@ -168,3 +168,64 @@ def test_density_of_odd_vectors(spark):
     df = spark.createDataFrame(list(enumerate(points)), "id long, v array<double>")
     got = [r["cluster"] for r in C.density_clusters(df, "id", "v", 0.3, 5, 5).orderBy("id").collect()]
     assert got == [0] * 6 + [-1] * 4
+
+
+def test_every_start_settles_on_its_means(spark):
+    points = blobs(per=40)
+    for k, starts in ((4, 5), (1, 1), (30, 2)):
+        fit = C.fit_kmeans(vectors(spark, points).repartition(3), "v", 6, k=k, starts=starts)
+        gaps = ((points[:, None, :] - fit.centres[None]) ** 2).sum(2)
+        near = gaps.argmin(1)
+        for c in set(near):
+            assert fit.centres[c] == pytest.approx(points[near == c].mean(0), abs=1e-9)
+        assert fit.cost == pytest.approx(gaps.min(1).sum(), abs=1e-9) and fit.passes < 100
+    assert C.fit_kmeans(vectors(spark, points), "v", 6, k=4, starts=8).cost <= C.fit_kmeans(vectors(spark, points), "v", 6, k=4, starts=1).cost
+
+
+def test_sparse_and_dense_rows_settle_alike(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TEXTS)], "id long, text string")
+    vocabulary = FE.fit_vocabulary(docs, "id", "text", 50)
+    stages = FE.tfidf_stages(vocabulary)
+    sparse = stages.transform(FE.with_terms(docs, "text", vocabulary))
+    width = len(stages.stages[0].vocabulary)
+    dense = sparse.select("id", vector_to_array("features").alias("v"))
+    a, b = C.fit_kmeans(sparse, "features", width, 3, starts=3), C.fit_kmeans(dense, "v", width, 3, starts=3)
+    assert a.centres == pytest.approx(b.centres) and a.cost == pytest.approx(b.cost)
+
+
+def newton(x, y, weight, c, classes, rounds=60):
+    """Multinomial regression by plain Newton steps, the intercepts without a penalty; the last class's intercept is held."""
+    n, d = x.shape
+    x1 = np.hstack([x, np.ones((n, 1))])
+    beta, hot = np.zeros((classes, d + 1)), np.eye(classes)[y]
+    ridge = np.append(np.full(d, 1 / (c * n)), 1e-12)
+    for _ in range(rounds):
+        z = x1 @ beta.T
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        slope = ((p - hot) * weight[:, None]).T @ x1 / n + beta * ridge
+        hessian = np.zeros((classes * (d + 1), classes * (d + 1)))
+        for a in range(classes):
+            for b in range(classes):
+                v = weight * p[:, a] * ((a == b) - p[:, b])
+                hessian[a * (d + 1):(a + 1) * (d + 1), b * (d + 1):(b + 1) * (d + 1)] = (x1 * v[:, None]).T @ x1 / n + (a == b) * np.diag(ridge)
+        beta -= np.linalg.lstsq(hessian, slope.ravel(), rcond=None)[0].reshape(beta.shape)
+    return p
+
+
+@pytest.mark.parametrize("labels", [("p", "q", "r"), ("p", "q")])
+def test_the_fit_is_the_only_optimum(spark, labels):
+    df = train(spark).where(F.col("label").isin(list(labels)))
+    model = I.fit_intent_model(df, "id", "text", "label", stop_words=())
+    certificate = I.fit_certificate(model, df, "label").first()
+    assert certificate["n"] == df.count() and certificate["gradient"] < 1e-5
+    rows = model.stages.transform(FE.with_terms(df, "text", FE.Vocabulary(None, 0, (), 2), "_terms")).orderBy("id").select(
+        "label", vector_to_array("_features").alias("x"), vector_to_array("_probability").alias("p")).collect()
+    y = np.array([labels.index(r["label"]) for r in rows])
+    weight = len(y) / len(labels) / np.bincount(y)[y]
+    if len(labels) > 2:
+        want = newton(np.array([r["x"] for r in rows]), y, weight, 1.0, len(labels))
+        assert np.array([r["p"] for r in rows]) == pytest.approx(want, abs=1e-4)
+    early = I.fit_intent_model(df, "id", "text", "label", stop_words=(), max_iter=2)
+    worse = I.fit_certificate(early, df, "label").first()
+    assert worse["gradient"] > 50 * certificate["gradient"] and worse["objective"] > certificate["objective"]
