@@ -14,10 +14,17 @@ from caselight.plans import handling as H
 from caselight.session import scratch_dir
 from caselight.sources import messages as S
 from caselight.streaming.arriving import handle_stream, read_arriving
+from caselight.streaming.growing import GrowingIndex
 from registry import base as B
-from registry.model_queries import PAIR_HITS, PAIRS, _asked, _pairs
+from registry.metric_queries import SQL as METRIC_SQL
+from registry.metric_queries import _CALLED as CALLED
+from registry.metric_queries import _report_sql as report_sql
+from registry.model_queries import PAIR_HITS, PAIRS, _asked, _baselines, _pairs, _train
+from registry.model_queries import SQL as MODEL_SQL
 from registry.text_queries import sql_rule
 
+SQL_FLOOR = MODEL_SQL["eval_floor_and_answers"]
+
 QUERIES, SQL = {}, {}
 
 
@@ -191,6 +198,34 @@ def _(spark, sf):
     return _flat(spark.read.parquet(out))
 
 
+def _halves(asked):
+    """Messages of even conversations arrive first, each with the reply it got; the others after them."""
+    even = F.substring_index("tweet_id", ":", 1).cast("long") % 2 == 0
+    told = asked.withColumn("reply", F.concat(F.lit("We wrote to "), "tweet_id"))
+    return told.where(even), told.where(~even)
+
+
+_EVEN = "split_part(tweet_id, ':', 1)::BIGINT % 2 = 0"
+_GROWN = HITS.replace("corpus AS (SELECT brand_tweet_id AS pair_id, cust_text_clean AS cust, brand_text_clean AS reply FROM built)",
+                      f"""asked_ AS (SELECT tweet_id, text FROM msgs WHERE inbound = 'True' AND {_EVEN}),
+{B.clean_ctes('asked_', {'clean': 'text'}, 'cleaned_', config.BRAND_HANDLES)},
+corpus AS (SELECT brand_tweet_id AS pair_id, cust_text_clean AS cust, brand_text_clean AS reply FROM built
+  UNION ALL SELECT tweet_id, clean, 'We wrote to ' || tweet_id FROM cleaned_)""")
+
+
+@query("handle_stream_growing", f"WITH {_GROWN} SELECT tweet_id, round(coalesce(top1, 0.0), 6) AS top1_retrieval_score, first_reply AS draft_reply FROM cases WHERE NOT ({_EVEN})")
+def _(spark, sf):
+    """The second half of the messages, answered from the corpus and from the replies that the first half got."""
+    arriving, out, marks, cases = (scratch_dir(spark, n) for n in ("arriving", "handled", "marks", "cases"))
+    index = GrowingIndex.start(_pairs(spark, sf), "pair_id", "cust", cases, ("cust", "reply"))
+    for half in _halves(_asked(spark, sf)):
+        half.coalesce(1).write.mode("append").parquet(arriving)
+        handle_stream(read_arriving(spark, arriving, half.schema), index, H.rule_classifier(), out, marks, "tweet_id", "text",
+                      draft="canned", reply_col="reply").awaitTermination()
+    late = F.substring_index("tweet_id", ":", 1).cast("long") % 2 != 0
+    return spark.read.parquet(out).where(late).select("tweet_id", F.round("top1_retrieval_score", 6).alias("top1_retrieval_score"), "draft_reply")
+
+
 # --- evaluation ---------------------------------------------------------------------------------------------
 
 def _golden(spark, sf):
@@ -232,6 +267,83 @@ def _(spark, sf):
     return spark.read.text(f"{path}/metrics")
 
 
+# the document's fields one by one, each from the SQL of the operator that fills it
+_SAID = SQL_FLOOR.split("seen AS (SELECT DISTINCT model")[0].rstrip().rstrip(",")
+
+
+def _sql_report(model: str) -> str:
+    counted = report_sql(config.LABELS).replace(B.GRADED, f"{_SAID.removeprefix('WITH ')}, graded AS (SELECT truth AS true_intent, guess AS intent FROM said WHERE model = '{model}')", 1)
+    measures = " UNION ALL ".join(f"SELECT 'intent_classification.{model}.report.' || label || '.{m}' AS field, {m}::DOUBLE AS value FROM r" for m in ("precision", "recall", "f1", "support"))
+    return f"SELECT field, value FROM (WITH r AS ({counted}) {measures})"
+
+
+_SWEEP_GRID = ", ".join(f"({c}::DOUBLE, {r}::DOUBLE)" for c in config.CONFIDENCE_GRID for r in config.RETRIEVAL_GRID)
+_SWEPT = SQL["escalation_eval"].split("ruled AS (SELECT truth")[0] + f"""base AS (SELECT *, {CALLED} AS always, CASE WHEN intent = 'other_uncategorised' THEN 0.3 ELSE 1.0 END::DOUBLE AS confidence FROM held),
+grid(ct, rt) AS (VALUES {_SWEEP_GRID}),
+c AS (SELECT ct, rt, count(*) FILTER (WHERE truth AND (always OR confidence < ct OR top1_score < rt)) AS h, count(*) FILTER (WHERE truth) AS t,
+  count(*) FILTER (WHERE always OR confidence < ct OR top1_score < rt) AS p FROM base CROSS JOIN grid GROUP BY ct, rt)
+SELECT 'escalation_threshold_sweep.' || (ct * 100)::INTEGER || '.' || (rt * 100)::INTEGER AS place, h / p AS precision, h / t AS recall, 2 * h / (p + t) AS f1 FROM c"""
+
+
+def _fields(source: str, prefix: str, *names: str) -> str:
+    """``(field, value)`` of the named columns; ``prefix`` is SQL."""
+    return " UNION ALL ".join(f"SELECT {prefix} || '.{n}' AS field, {n}::DOUBLE AS value FROM ({source})" for n in names)
+
+
+_FIELDS = " UNION ALL ".join([
+    f"SELECT 'golden_set_size' AS field, count(*)::DOUBLE AS value FROM (WITH {B.MESSAGES} SELECT * FROM msgs WHERE inbound = 'True')",
+    f"SELECT 'golden_set_sources.turn' || split_part(tweet_id, ':', -1), count(*)::DOUBLE FROM (WITH {B.MESSAGES} SELECT * FROM msgs WHERE inbound = 'True') GROUP BY 1",
+    _fields(SQL_FLOOR, "'intent_classification.' || model", "accuracy", "macro_f1"), _sql_report("trivial"), _sql_report("llm"),
+    _fields(SQL["escalation_eval"], "'escalation'", "precision", "recall", "f1", "n_true", "n_predicted"),
+    f"SELECT 'false_negatives', n_true - round(recall * n_true) FROM ({SQL['escalation_eval']})",
+    _fields(_SWEPT, "place", "precision", "recall", "f1"),
+    "SELECT 'config.confidence_threshold_used', 0.55::DOUBLE", "SELECT 'config.retrieval_threshold_used', 0.05::DOUBLE",
+    _fields(METRIC_SQL["judge_means"], "'reply_quality_judge'", *config.JUDGE_AXES, "n_scored"),
+    f"SELECT 'judge_human_agreement.n_examples_rated', count(*)::DOUBLE FROM ({METRIC_SQL['ratings_join']})",
+    # grades that agree wholly have a correlation of 1 only up to rounding
+    _fields(METRIC_SQL["spearman"].replace("corr(rj, rh) AS r", "greatest(-1, least(1, corr(rj, rh))) AS r").replace(
+        "ln(1 - r * r)", "ln(greatest(1 - r * r, 1e-300))"), "'judge_human_agreement.' || axis", "spearman_rho", "p_value", "n")])
+
+
+@query("metrics_document_fields", f"SELECT field, round(value, 3) AS value FROM ({_FIELDS})")
+def _(spark, sf):
+    """Every field of the document with rule labels in the model's place, written as JSON, read back and laid out one by one."""
+    golden = _golden(spark, sf)
+    weak, answers = _baselines(spark, sf)
+    floor = E.evaluate_unfitted(_train(spark, sf), "weak_label", weak, "weak_label", answers, "tweet_id")
+    scored = E.scored_golden(golden, _index(spark, sf), H.rule_classifier(), "tweet_id", "text")
+    answers = B.judge_answers(spark, sf)
+    judged = Q.scores_from_responses(answers.select("tweet_id"), answers, "tweet_id")
+    path = scratch_dir(spark, "metrics")
+    agreement = M.ratings_join(judged, B.human_ratings(spark, sf))
+    written = E.metrics_document(scored, floor, "text", judge=judged, agreement=agreement)
+    S.write_metrics_json(written, f"{path}/metrics")
+    document = spark.read.text(f"{path}/metrics").select(F.from_json("value", written.schema).alias("d")).select("d.*")
+
+    def told(prefix, row, names):
+        return [F.struct(F.concat(prefix, F.lit(f".{n}")).alias("field"), row[n].cast("double").alias("value")) for n in names]
+
+    def each(column, name, names):
+        return F.flatten(F.transform(column, lambda r: F.array(*told(name(r), r, names))))
+
+    percent = lambda c: F.round(c * 100).cast("int").cast("string")
+    parts = [
+        F.array(F.struct(F.lit("golden_set_size").alias("field"), F.col("golden_set_size").cast("double").alias("value")),
+                F.struct(F.lit("false_negatives").alias("field"), F.col("false_negatives").cast("double").alias("value"))),
+        F.transform("golden_set_sources", lambda r: F.struct(F.concat(F.lit("golden_set_sources."), r["source"]).alias("field"), r["n"].cast("double").alias("value"))),
+        each("intent_classification", lambda r: F.concat(F.lit("intent_classification."), r["model"]), ("accuracy", "macro_f1")),
+        F.flatten(F.transform("intent_classification", lambda m: F.flatten(F.transform(m["report"], lambda r: F.array(
+            *told(F.concat(F.lit("intent_classification."), m["model"], F.lit(".report."), r["label"]), r, ("precision", "recall", "f1", "support"))))))),
+        F.array(*told(F.lit("escalation"), F.col("escalation"), ("precision", "recall", "f1", "n_true", "n_predicted"))),
+        each("escalation_threshold_sweep", lambda r: F.concat(F.lit("escalation_threshold_sweep."), percent(r["confidence_threshold"]), F.lit("."),
+                                                              percent(r["retrieval_threshold"])), ("precision", "recall", "f1")),
+        F.array(*told(F.lit("config"), F.col("config"), ("confidence_threshold_used", "retrieval_threshold_used"))),
+        F.array(*told(F.lit("reply_quality_judge"), F.col("reply_quality_judge"), (*config.JUDGE_AXES, "n_scored"))),
+        F.array(*told(F.lit("judge_human_agreement"), F.col("judge_human_agreement"), ("n_examples_rated",))),
+        each("judge_human_agreement.spearman_by_axis", lambda r: F.concat(F.lit("judge_human_agreement."), r["axis"]), ("spearman_rho", "p_value", "n"))]
+    return document.select(F.inline(F.concat(*parts))).select("field", F.round("value", 3).alias("value"))
+
+
 @query("score_drafts", f"""WITH {B.MESSAGES}, asked AS (SELECT tweet_id, text FROM msgs WHERE inbound = 'True'),
 n AS (SELECT tweet_id, length(text) AS l FROM asked)
 SELECT count(*) AS n_scored, round(avg(1 + l % 5), 6) AS groundedness, round(avg(1 + l % 4), 6) AS correctness,

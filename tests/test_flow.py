@@ -11,6 +11,7 @@ from caselight.operators import retrieval as R
 from caselight.plans import evaluation as E
 from caselight.plans import handling as H
 from caselight.streaming.arriving import handle_stream, read_arriving
+from caselight.streaming.growing import GrowingIndex
 
 PAIRS = [("p1", "battery drains so fast", "Try low power mode"), ("p2", "charged twice for one app", "DM your order"),
          ("p3", "screen has a crack", "Book a repair"), ("p4", "update made it crash", "Reinstall please"),
@@ -65,6 +66,38 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(repr, spark.read.parquet(out).select(*columns).collect())) == sorted(map(repr, batch.collect()))
 
 
+@pytest.mark.parametrize("merge_every", [20, 1])
+def test_a_growing_index_finds_the_replies_of_earlier_batches(spark, tmp_path, merge_every):
+    source, out, marks, cases = (str(tmp_path / n) for n in ("in", "out", "marks", "cases"))
+    first = [("n1", "my toaster explodes daily", "Unplug it"), ("n2", "no reply came to this", None)]
+    second = [("n3", "the toaster explodes daily again", "As before"), ("n4", "charged twice for one app", None)]
+    third = [("n5", "toaster explodes daily again", None)]
+    schema, classify = "id string, text string, reply string", H.rule_classifier()
+    corpus = spark.createDataFrame(PAIRS, "pair_id string, cust string, reply string")
+    ix = GrowingIndex.start(corpus, "pair_id", "cust", cases, ("cust", "reply"), merge_every=merge_every)
+    for batch in (first, second, third):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        handle_stream(read_arriving(spark, source, schema), ix, classify, out, marks, reply_col="reply").awaitTermination()
+    got = {r["id"]: r for r in spark.read.parquet(out).collect()}
+    assert got["n3"]["grounded_on"][0]["reply"] == "Unplug it" and got["n5"]["grounded_on"][0]["reply"] == "As before"
+    known = list(PAIRS)
+    for number, batch in enumerate((first, second, third)):
+        union = R.fit_index(spark.createDataFrame(known, "pair_id string, cust string, reply string"), "pair_id", "cust", ("cust", "reply"))
+        want = H.handle(spark.createDataFrame(batch, schema), union, classify)
+        have = spark.read.parquet(f"{out}/batch={number}").select(*want.columns)
+        assert sorted(map(repr, have.collect())) == sorted(map(repr, want.collect()))
+        known += [x for x in batch if x[2]]
+    # a batch that comes again overwrites its own version
+    before = ix.state(2)
+    ix.add(1, spark.createDataFrame([(a, b, c) for a, b, c in second if c], "pair_id string, cust string, reply string"), "cust")
+    assert ix.state(2) == before and ix.state(1)["rows"] == len(PAIRS) + 1 and ix.state(2)["rows"] == len(PAIRS) + 2
+
+
+def test_replies_need_a_growing_index(spark, tmp_path):
+    with pytest.raises(ValueError, match="growing"):
+        handle_stream(asked(spark), index(spark), H.rule_classifier(), "o", "c", reply_col="reply")
+
+
 def parsed(spark, fn, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     return [r[0] for r in df.orderBy("i").select(fn(F.col("t"))).collect()]
