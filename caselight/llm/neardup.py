@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from caselight.llm.links import components, packed, settled
 from caselight.llm.words import as_long, mix, shingles, word_hashes
@@ -212,10 +214,12 @@ def _block(n: int, threshold: float, id_type: pa.DataType):
             part = columns[start:start + 8192]
             both += shares(mine, part) @ shares(theirs, part).T
         size = np.add.outer([len(x) for x in mine], [len(x) for x in theirs]) - both
-        la, lb = left.column("label").to_numpy(), right.column("label").to_numpy()
+        # classes are numbered, as ids may be of any type
+        numbers = pa.concat_arrays(left.column("label").chunks + right.column("label").chunks).dictionary_encode().indices.to_numpy()
+        la, lb = numbers[:len(mine)], numbers[len(mine):]
         i, j = np.nonzero((both >= threshold * size - 1e-9) & (size > 0) & (la[:, None] != lb[None, :]))
         # one link to each class is enough: the first
-        _, first = np.unique(np.stack([i, np.unique(lb, return_inverse=True)[1][j]], 1), axis=0, return_index=True) if len(i) else (None, [])
+        _, first = np.unique(np.stack([i, lb[j]], 1), axis=0, return_index=True) if len(i) else (None, [])
         i, j = i[first], j[first]
         return pa.table({"a": left.column("id").take(pa.array(i)), "b": right.column("id").take(pa.array(j))}) if len(i) else empty
     return run
@@ -230,7 +234,7 @@ def _in_blocks(mixed: DataFrame, texts: DataFrame, n: int, threshold: float, id_
     left = mixed.where("label <> main").select("id", "label", "text", "key", deal(1, "out").alias("l"), every("all").alias("r")).toDF("id", "label", "text", "key", "l", "r")
     right = mixed.select("id", "label", "text", "key", deal(2, "all").alias("r"), every("out").alias("l")).toDF(
         "id", "label", "text", "key", "r", "l")
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[id_type]
+    arrow = to_arrow_type(mixed.schema["id"].dataType)
     return (left.groupBy("key", "l", "r").cogroup(right.groupBy("key", "l", "r"))
             .applyInArrow(_block(n, threshold, arrow), f"a {id_type}, b {id_type}").distinct())
 
@@ -240,3 +244,42 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, id_
     return (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b").mapInArrow(_similar(n, threshold), f"a {id_type}, b {id_type}"))
+
+
+def _sortable(column: str, kind: T.DataType):
+    """Text that sorts as the ids do."""
+    c = F.col(column)
+    if isinstance(kind, T.StringType):
+        return F.concat(c, F.lit("\0"))
+    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return F.lpad(F.hex(c.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    if isinstance(kind, T.DecimalType):
+        digits = F.lpad(F.abs(c).cast("string"), 42, "0")
+        return F.when(c < 0, F.concat(F.lit("0"), F.translate(digits, "0123456789", "9876543210"))).otherwise(F.concat(F.lit("1"), digits))
+    return F.concat(c.cast("string"), F.lit("\0"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each class of near duplicates the row with the smallest id, with all its columns; rows with a null id stay.
+
+    An id on rows with different texts names as many documents, ordered by id, then digest of
+    the text.  Of rows with the same id and text one stays, the first by its other columns.  Null and empty
+    texts are copies of one another.  Columns may have any name and type; an empty table gives no row.
+    """
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    named = docs.where(F.col(id_col).isNotNull())
+    several = named.groupBy(id_col).agg(F.min(digest).alias("_low"), F.max(digest).alias("_high")).where("_low < _high")
+    own = F.col(id_col) if several.isEmpty() else F.concat(_sortable(id_col, docs.schema[id_col].dataType), digest)
+    keyed = named.withColumn(key, own)
+    first = near_duplicates(keyed.select(F.col(key).alias("_own"), F.col(text_col).alias("_text")), "_own", "_text").where("_own = class_id").select(
+        F.col("_own").alias(key)).distinct()
+    kept = keyed.join(first, key, "left_semi")
+    repeated = settled(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key))
+    once = kept.join(repeated, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole, others = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)])
+    order = F.to_json(others) if len(docs.columns) > 2 else F.lit("")
+    one = kept.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(whole, order).alias("_row")).select("_row.*")
+    return once.unionByName(one).unionByName(docs.where(F.col(id_col).isNull()))

@@ -320,3 +320,85 @@ def test_pipeline_on_the_smallest_tables(spark):
     classes = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs.where(F.col("text").rlike(r"\p{L}"))).collect()}
     held = {r.doc_id for r in decontaminate.find_contained(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert ids == {i for i, c in classes.items() if i == c} - held
+
+
+@pytest.mark.parametrize("kind", ["decimal(20,0)", "tinyint", "double", "date", "string"])
+def test_ids_of_any_type(spark, monkeypatch, kind):
+    monkeypatch.setattr(neardup, "PAIRS_PER_BUCKET", 0)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    base = [f"t{i}" for i in range(80)]
+    texts = [" ".join(base[:i] + ["x"] + base[i + 1:]) for i in range(6)] + ["something else"]
+    days = "date_add(date'2020-01-01', CAST(n AS INT))" if kind == "date" else f"CAST(n AS {kind})"
+    docs = spark.createDataFrame(list(enumerate(texts)), "n long, text string").selectExpr(f"{days} AS doc_id", "text")
+    got = neardup.near_duplicates(docs)
+    assert got.select("class_id").distinct().count() == 2 and got.schema["class_id"].dataType == docs.schema["doc_id"].dataType
+    assert neardup.keep_first(docs).count() == 2
+
+
+def test_keeping_first_with_odd_columns(spark):
+    long_text = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, long_text, "mine", {"a": 1}, 1), (3, long_text, "mine", {"a": 1}, 1), (3, long_text, "other", {"b": 2}, 2), (3, "a second text", "x", None, 3),
+            (-5, long_text, "low", {}, 4), (None, long_text, "no id", None, 5), (7, None, "null", None, 6), (9, "", "empty", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, class_id map<string,int>, id int")
+    got = sorted(((r.doc_id, r.text, r._key, r.class_id) for r in neardup.keep_first(docs).collect()), key=str)
+    assert got == sorted([(-5, long_text, "low", {}), (3, "a second text", "x", None), (None, long_text, "no id", None), (7, None, "null", None)], key=str)
+    alone = docs.where("doc_id = 3 AND _key <> 'x'")
+    assert [r.class_id for r in neardup.keep_first(alone).collect()] == [{"a": 1}]
+    cents = docs.where("doc_id IS NOT NULL").withColumn("doc_id", (F.col("doc_id") - F.lit(8)).cast("decimal(12,2)"))
+    assert {float(r.doc_id) for r in neardup.keep_first(cents).collect()} == {-13.0, -5.0, -1.0}
+    assert neardup.keep_first(docs.limit(0)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "an item that nothing holds at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        got = stage(spark, odd, str(tmp_path))
+        assert 0 < got.count() <= odd.count(), name
+        if name != "piece_codec":
+            assert got.columns == odd.columns, name
+        if name in ("decontamination", "private_data", "piece_codec"):
+            assert got.count() == odd.count(), name
+
+
+def test_segments_merged_together_equal_one_by_one():
+    codec, random = pieces.PieceCodec(SPM), np.random.default_rng(2)
+    letters = list("abcdethr éöñß▁▁\n.,-日本1'<s>") + ["\U0001F600", "\x00", "́"]
+    segments = ["".join(random.choice(letters, random.integers(1, 60))) for _ in range(4000)] + ["▁", "the" * 12]
+    assert codec.merge_many(segments) == [codec.merge(s) for s in segments]
+
+
+def test_slices_of_short_texts_are_bounded():
+    import pyarrow as pa
+
+    texts = pa.array([f"short text number {i}" for i in range(10_000)] + [None, "", LONG])
+    sizes = [len(rows) for rows in language.trigram_features(texts)]
+    assert sum(sizes) == len(texts) and max(sizes) <= language.ROWS
+    whole = np.concatenate([rows for rows in language.trigram_features(texts.slice(9_900))])
+    apart = np.concatenate([np.concatenate(list(language.trigram_features(texts.slice(i, 1)))) for i in range(9_900, len(texts))])
+    assert np.allclose(whole, apart)
+
+
+def test_the_votes_equal_plain_one_versus_one(spark):
+    texts = {"en": "the house and the garden of the king", "de": "das haus und der garten des königs", "fr": "la maison et le jardin du roi"}
+    docs = spark.createDataFrame([(i, f"{t} {i}", l) for i, (l, t) in enumerate(list(texts.items()) * 6)], "doc_id long, text string, lang string")
+    model = language.fit_languages(docs)
+    import pyarrow as pa
+
+    features = np.concatenate(list(language.trigram_features(pa.array([r.text for r in docs.orderBy("doc_id").collect()]))))
+    langs, scores = model.predict(features)
+
+    def winner(names, prefix, x):
+        chance = {(a, b): 1 / (1 + math.exp(-3 * float(x @ w + bias))) for (a, b), (w, bias) in model.machines.items()
+                  if a.removeprefix(prefix) in names and b.removeprefix(prefix) in names and a.startswith(prefix)}
+        votes = {n: sum((p if a == prefix + n else 1 - p) > 0.5 for (a, b), p in chance.items() if prefix + n in (a, b)) for n in names}
+        best = max(names, key=lambda n: votes[n])
+        return best, min([p if a == prefix + best else 1 - p for (a, b), p in chance.items() if prefix + best in (a, b)], default=1.0)
+
+    for row, lang, score in zip(features, langs, scores):
+        family, sure = winner(sorted(model.families), "family ", row)
+        best, inner = winner(model.families[family], "", row)
+        assert lang == best and score == pytest.approx(sure * inner)
+    assert langs == [l for l in texts] * 6
