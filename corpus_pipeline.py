@@ -13,48 +13,46 @@ from caselight.session import scratch_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any identifiable language go."""
+    """Documents without any identifiable language go.
+
+    A null or empty text and one without a letter has none.  Null ids, repeated rows and long texts are
+    judged row by row like any other; an empty table gives none; further columns stay.
+    """
     model = language.fit_languages(docs.where(remainder("doc_id", 4) != 2))
     return language.keep_identified(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays; rows with a null id stay.
-
-    An id on rows with different texts names as many documents, ordered by id, then digest
-    of the text.  Of rows with the same id and text the smallest stays.
-    """
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    several = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low < high")
-    key = F.col("doc_id")
-    if not several.isEmpty():
-        if docs.schema["doc_id"].dataType.simpleString() == "string":
-            ordered = F.concat("doc_id", F.lit("\0"))
-        else:  # digits that sort as the numbers do
-            ordered = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-        key = F.concat(ordered, digest)
-    keyed = docs.withColumn("_key", key)
-    first = neardup.near_duplicates(keyed, "_key").where(F.col("_key") == F.col("class_id")).select("_key").distinct()
-    kept = (keyed.join(first, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
-            .select("row.*"))
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """Of each class of near duplicates one document stays; see ``neardup.keep_first`` for nulls, repeats and other columns."""
+    return neardup.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Rows go by id: all rows of an id of which one text holds an item.  Null and empty texts hold none; a row
+    with a null id stays; long texts are searched whole; an empty table gives none; further columns stay.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     held = settled(decontaminate.find_contained(docs, items).select("doc_id").distinct())
     return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
 
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it are replaced in the texts; every document stays."""
+    """Personal data and the terms that disclose it are replaced in the texts; every document stays.
+
+    Null and empty texts, null ids, repeated rows and further columns stay as they are; ``n_chars``, if there,
+    is counted again; an empty table gives none.
+    """
     clean = privacy.sanitise(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with digests of the ids and of the text decoded from them."""
+    """Token ids of every text, with digests of the ids and of the text decoded from them.
+
+    A null text counts as empty; null ids and repeated rows stay; other columns are not returned.
+    """
     return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True).drop("decoded")
 
 
