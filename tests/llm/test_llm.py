@@ -353,6 +353,7 @@ def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
     import corpus_pipeline
 
     spark.createDataFrame([(1, "an item that nothing holds at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd, empty = (df.withColumn("lang", F.when(F.col("text").isNotNull(), F.lit("en"))) for df in (odd, empty))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
         got = stage(spark, odd, str(tmp_path))
