@@ -1,9 +1,9 @@
 """License notices by conditional compression.
 
-Around every word of licensing each template's wording is compared word by word, so that
-notices side by side are all found.  Blocks without such a notice are compressed
-plainly and with each template as a raw zstandard dictionary; the templates that save
-bytes are compared in that order, and the best one is told.
+The text around every word of licensing is compressed plainly and with each template as a
+raw zstandard dictionary.  Templates are ranked by the bytes they save, and only those that
+save any are compared word by word, down the ranking.  What is confirmed is cut
+out and what is left is ranked again, so that notices side by side are all found.
 """
 
 from __future__ import annotations
@@ -127,6 +127,7 @@ class Matcher:
                 raw = zstandard.ZstdCompressionDict(wording.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 with_it = zstandard.ZstdCompressor(level=6, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
                 self.known.append((name, words_of(wording), with_it))
+        self.fewest = min((len(w) for _, w, _ in self.known), default=1)
 
     def rank(self, block: str) -> list[tuple[float, int]]:
         """Bytes saved by each template's dictionary, the most first; ties to the longer wording, then by place."""
@@ -151,39 +152,57 @@ class Matcher:
                 break
         return best or {"license": None, "saved": 0, "missing": [], "n_words": 0, "confirmed": False}
 
+    def standing(self, words: list[tuple[str, int, int]], at: int, tolerance: float) -> Iterator[tuple[int, int, dict]]:
+        """``(first, last, found)``: the stretches of words in which a template's wording stands in one place."""
+        name, wanted, _ = self.known[at]
+        plain = [w for w, _, _ in words]
+        held = set(plain)
+        if not agrees([w for w in wanted if w not in held], wanted, tolerance):
+            return
+        start = 0
+        while start < len(plain):
+            steps = [m for m in difflib.SequenceMatcher(None, wanted, plain[start:], autojunk=False).get_matching_blocks() if m.size]
+            found = compared(wanted, steps, tolerance)
+            if not found["confirmed"] or not steps:
+                return
+            first, last = start + steps[0].b, start + steps[-1].b + steps[-1].size
+            if last - first <= len(wanted) + len(wanted) // 2:
+                yield first, last, {"license": name, **found}
+            start += max(steps, key=lambda m: m.size).b + 1
+
     def notices(self, text: str, tolerance: float) -> list[tuple[int, int, dict]]:
         """``(start, end, found)`` of every template whose wording stands in one place near a cue; of overlapping ones that with the most words.
 
-        Each cue has a window of its own, longer than the longest wording, and every
-        template is compared in it; what stands behind a found notice is compared again.
+        Each cue has a window of its own, longer than the longest wording.  Its templates are
+        ranked by compression; of the stretches confirmed the best is taken and cut out, and
+        what stands before and behind it is ranked again.
         """
         out = {}
         for low, high in windows(text, self.reach):
             words = [(m.group(), low + m.start(), low + m.end()) for m in _WORD.finditer(text[low:high].lower())]
             if len(text[low:high].lower()) != high - low:  # lower case that changes the length
                 words = [(m.group().lower(), low + m.start(), low + m.end()) for m in _WORD.finditer(text[low:high])]
-            plain = [w for w, _, _ in words]
-            held = set(plain)
-            for at, (name, wanted, _) in enumerate(self.known):
-                if not agrees([w for w in wanted if w not in held], wanted, tolerance):
+            pieces = [words]
+            while pieces:
+                piece = pieces.pop()
+                if len(piece) < self.fewest:
                     continue
-                start = 0
-                while start < len(plain):
-                    steps = [m for m in difflib.SequenceMatcher(None, wanted, plain[start:], autojunk=False).get_matching_blocks() if m.size]
-                    found = compared(wanted, steps, tolerance)
-                    if not found["confirmed"] or not steps:
+                best = None
+                for saved, at in self.rank(text[piece[0][1]:piece[-1][2]]):
+                    if saved <= 0:
                         break
-                    first, last = start + steps[0].b, start + steps[-1].b + steps[-1].size
-                    if last - first <= len(wanted) + len(wanted) // 2:
-                        place = words[first][1], words[last - 1][2]
-                        out.setdefault((*place, at), {"license": name, **found})
-                    start += max(steps, key=lambda m: m.size).b + 1
+                    for first, last, found in self.standing(piece, at, tolerance):
+                        order = len(found["missing"]) - found["n_words"], len(found["missing"]), piece[first][1], piece[last - 1][2], at
+                        if best is None or order < best[0]:
+                            best = order, first, last, {**found, "saved": saved}
+                if best:
+                    (*_, start, end, at), first, last, found = best
+                    out.setdefault((start, end, at), found)
+                    pieces += [piece[:first], piece[last:]]
         kept: list[tuple[int, int, dict]] = []
-        for (start, end, at), found in sorted(out.items(), key=lambda x: (len(x[1]["missing"]) - x[1]["n_words"], len(x[1]["missing"]), x[0])):
+        for (start, end, _), found in sorted(out.items(), key=lambda x: (len(x[1]["missing"]) - x[1]["n_words"], len(x[1]["missing"]), x[0])):
             near = bisect.bisect_left(kept, start, key=lambda k: k[1] - 1)  # the first kept one that ends behind the start
             if near == len(kept) or kept[near][0] >= end:
-                data = text[max(start - LEAD_CHARS, 0):end + LEAD_CHARS].lower().encode()
-                found["saved"] = len(self.plain.compress(data)) - len(self.known[at][2].compress(data))
                 kept.insert(near, (start, end, found))
         return kept
 
@@ -207,7 +226,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``(id, start, end, license, confirmed, saved, n_words, n_missing, missing)``: one row per notice found in each text,
     with its place, and one per candidate block in which none begins or ends.
 
-    ``saved`` is the number of bytes that the template's dictionary takes off the compressed block, or notice with what is around it;
+    ``saved`` is the number of bytes that the template's dictionary took off the compressed block, or window, in which it was found;
     ``confirmed`` says that at most ``tolerance`` of its words, and no number or code, are
     missing from the block (``missing``, in order).  Blocks that no dictionary helps have a null license.  Places
     are code points.  Texts without a cue, null and empty texts have no rows; a repeated row repeats its rows, a null
