@@ -12,16 +12,17 @@ labelled rows that the counts have not seen.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from caselight.llm.links import settled
 from caselight.llm.words import worker_state
+from caselight.operators.ordering import sample_n
 from caselight.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -165,8 +166,8 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, 1.2 * rows / n + 20 / n))).otherwise(share)
     some = marked.where(F.pmod("digest", F.lit(1 << 20)) < share * (1 << 20))
-    order = Window.partitionBy("label").orderBy("digest", "id")
-    some = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).drop("_n")
+    # the exact cut of each class without a class in one task
+    some = reduce(DataFrame.unionByName, [sample_n(some.where(F.col("label") == label), rows, ["id"], seed=10) for label in (0, 1)])
     # at most 2 x rows ids: small by construction
     one = settled(docs.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("size"),
                               F.md5(F.col(text_col).cast("binary")).alias("copy"))
