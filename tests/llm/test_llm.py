@@ -403,3 +403,22 @@ def test_the_votes_equal_plain_one_versus_one(spark):
         best, inner = winner(model.families[family], "", row)
         assert lang == best and score == pytest.approx(sure * inner)
     assert langs == [l for l in texts] * 6
+
+
+def notices_of(matcher, texts):
+    return [[(s, e, f["license"]) for s, e, f in matcher.notices(t, 0.15)] for t in texts]
+
+
+def test_ranking_by_compression_finds_what_comparing_all_templates_finds(monkeypatch):
+    import pyarrow.parquet as pq
+
+    short, long = licenses.TEMPLATES["Apache-2.0"][0], licenses.TEMPLATES["MIT"][1]
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t and re.search(licenses.CUES, t)]
+    texts += ["Released under the MIT License. " + short + "\n" + long, long + long, "words " * 300 + short + " words" * 300]
+    ranked, every, turned = (licenses.Matcher(licenses.TEMPLATES) for _ in range(3))
+    monkeypatch.setattr(every, "rank", lambda block: [(1, at) for at in range(len(every.known))])
+    n, rank = len(turned.known), turned.rank
+    monkeypatch.setattr(turned, "rank", lambda block: [(saved, (at + n // 2) % n) for saved, at in rank(block)][:2])
+    found = notices_of(ranked, texts)
+    assert found == notices_of(every, texts) and sum(map(len, found)) > len(texts) // 2
+    assert notices_of(turned, texts) != found  # the ranking decides: with the wrong templates in front notices are lost
