@@ -1,9 +1,11 @@
-"""Personal data: base patterns, and terms that give a protected entity away.
+"""Personal data: base patterns, keys, and terms that give a protected entity away.
 
 Every e-mail address, network address, card and phone number found is a
-protected entity.  The words of all documents that name it show how strongly a
-term reveals it: a term discloses an entity when their pointwise mutual
-information comes near the information content of the entity itself.  Such
+protected entity, and so is every key: a long word of letters and digits whose signs carry
+too much information for a word of any language.  The words of all documents that name an entity
+show how strongly a term reveals it: a term discloses an entity when their pointwise mutual
+information comes near the information content of the entity itself.  The same is
+asked of each kind of entity, which recurs where single values hardly do.  Such
 terms are replaced wherever they stand, in any document, by their kind, or
 removed where even the kind tells too much.
 """
@@ -14,6 +16,7 @@ import bisect
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Whatever holds an ip, card or phone match lies within one such run: shorter ones are too short for any of them.
 NUMBERS = re.compile(r"[+0-9][0-9 ().\-]{6,}")
 TERM = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
+KEY = re.compile(r"(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{20,}(?![0-9A-Za-z_-])")
+KEY_BITS = 3.0  # information per sign of a key, by the frequencies within it
+TERM_PLACE, KEY_PLACE = 4, 5  # places of the method's kinds behind the base ones
 WINDOW = 6  # words on each side of an entity that are its surroundings
 REACH = 400  # characters on each side in which they are looked for
 
@@ -87,15 +93,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def key_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """``(start, end)`` of words that can only be keys, apart from base spans."""
+    out = []
+    for m in KEY.finditer(text):
+        word = m.group()
+        digits, letters = sum(c.isdigit() for c in word), sum(c.isalpha() for c in word)
+        if digits < 4 or letters < 2 or any(s < m.end() and m.start() < e for s, _, e in base):
+            continue
+        if -sum(n / len(word) * math.log2(n / len(word)) for n in Counter(word).values()) >= KEY_BITS:
+            out.append(m.span())
+    return out
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+KIND_ENTITIES = {kind: _signed(xxhash.xxh64_intdigest(f"every {kind}")) for kind in (*KINDS, "key")}
+
+
 def marks(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
-    """Per base span: its entity, a digest of the words around it, and those words with their places."""
+    """Per base span or key: its entity and the entity of its kind, each with a digest of the words around it, and those words with their places."""
     out = []
     for start, kind, end in spans:
-        value = text[start:end].lower() if kind == 0 else re.sub("[^0-9.]" if kind == 1 else "[^0-9]", "", text[start:end])
+        name = "key" if kind == KEY_PLACE else KINDS[kind]
+        value = text[start:end].lower() if kind in (0, KEY_PLACE) else re.sub("[^0-9.]" if kind == 1 else "[^0-9]", "", text[start:end])
         low = max(start - REACH, 0)
         before = [(low + m.start(), low + m.end()) for m in TERM.finditer(text[low:start])]
         if before and low and before[0][0] == low:
@@ -105,14 +128,13 @@ def marks(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
             after = after[:-1]
         near = [(s, e) for s, e in before[-WINDOW:] + after[:WINDOW] if not any(s < y and x < e for x, _, y in spans)]
         words = [text[s:e] for s, e in near]
-        out.append({"entity": _signed(xxhash.xxh64_intdigest(f"{KINDS[kind]}:{value}")),
-                    "context": _signed(xxhash.xxh64_intdigest(" ".join(words).lower())),
-                    "words": words, "places": near})
+        for entity in (_signed(xxhash.xxh64_intdigest(f"{name}:{value}")), KIND_ENTITIES[name]):
+            out.append({"entity": entity, "context": _signed(xxhash.xxh64_intdigest(" ".join(words).lower())), "words": words, "places": near})
     return out
 
 
 _FOUND = ("copy string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-          "base array<struct<start:int,place:int,end:int>>, "
+          "base array<struct<start:int,place:int,end:int>>, keys array<struct<start:int,place:int,end:int>>, "
           "marks array<struct<entity:long,context:long,terms:array<struct<term:long,start:int,end:int,number:boolean>>>>")
 
 
@@ -124,13 +146,15 @@ def _detect(id_col: str):
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
-                counts, digests, base, held, copies, words = [], [], [], [], [], []
+                counts, digests, base, keys, held, copies, words = [], [], [], [], [], [], []
                 for text in part.column(1):
                     text = text.as_py() or ""
                     spans = base_spans(text)
                     counts.append([sum(k == kind for _, k, _ in spans) for kind in range(4)])
                     digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest())
                     base.append([{"start": s, "place": k, "end": e} for s, k, e in spans])
+                    keys.append([{"start": s, "place": KEY_PLACE, "end": e} for s, e in key_spans(text, spans)])
+                    spans = sorted(spans + [(k["start"], KEY_PLACE, k["end"]) for k in keys[-1]])
                     copies.append(hashlib.md5(text.encode()).hexdigest() if text else None)
                     held.append(marks(text, spans) if spans else [])
                     words += [w for m in held[-1] for w in m["words"]]
@@ -151,9 +175,9 @@ def _detect(id_col: str):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(copies, pa.string()), *[pa.array([c[i] for c in counts], pa.int64()) for i in range(4)],
                      pa.array(digests),
-                     pa.array(base, pa.list_(pa.struct([("start", pa.int32()), ("place", pa.int32()), ("end", pa.int32())]))),
+                     *[pa.array(x, pa.list_(pa.struct([("start", pa.int32()), ("place", pa.int32()), ("end", pa.int32())]))) for x in (base, keys)],
                      pa.array(rows, pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(term))])))],
-                    [id_col, "copy", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "marks"])
+                    [id_col, "copy", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "keys", "marks"])
     return run
 
 
@@ -177,8 +201,9 @@ def _documents_with(field):
 
 
 def _free_words(text: str, hashes: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """``(start, end, hash)`` of the chosen ones of a text's words, without those that a base span touches."""
+    """``(start, end, hash)`` of the chosen ones of a text's words, without those that a base span or a key touches."""
     spans = base_spans(text)
+    spans = sorted(spans + [(s, KEY_PLACE, e) for s, e in key_spans(text, spans)])
     places = [(m.start(), m.end()) for m in TERM.finditer(text)]
     if len(places) != len(hashes):  # a run without any divider was hashed in pieces
         wanted = hashes[chosen]
@@ -260,8 +285,9 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, strength: float = 0.75,
 
     ``log2 p(e,t) / (p(e) p(t)) >= strength * -log2 p(e)`` over whole documents, for terms
     that stand in texts with at least ``support`` different surroundings of the entity, or in that many surroundings
-    themselves, so that copies of one text prove nothing.  Exact over the whole corpus; only the fields of
-    bits that preselect terms and texts are bounded.
+    themselves, so that copies of one text prove nothing.  For a kind of entity, which many texts name, documents
+    with both count less two standard errors, so that chance among many rare words proves nothing either.
+    Exact over the whole corpus; only the fields of bits that preselect terms and texts are bounded.
     """
     rows = max(texts.count(), 1)
     named = found.where(F.size("marks") > 0).groupBy("copy").agg(F.count("*").alias("n"), F.min("marks").alias("marks"))
@@ -295,7 +321,8 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, strength: float = 0.75,
              .groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
              .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("s")))
     information = F.log2(F.lit(float(rows)) / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * float(rows) / (F.col("n_entity") * F.col("n_term")))
+    certain = F.when(F.col("entity").isin(list(KIND_ENTITIES.values())), F.greatest(F.col("n_both") - 2 * F.sqrt("n_both"), F.lit(1e-9))).otherwise(F.col("n_both"))
+    mutual = F.log2(certain * float(rows) / (F.col("n_entity") * F.col("n_term")))
     strong = (pairs.join(backed, ["entity", "term"], "left").where((F.col("s") >= support) | F.col("near"))
               .join(counts, "term").join(entity, "entity").where((information > 0) & (mutual >= strength * information - 1e-9)))
     # the more general term is the kind of word: it is judged by the same measure among all surroundings
@@ -316,7 +343,7 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, strength: float = 0.75,
     return (places.join(F.broadcast(disclosing) if disclosing.count() <= broadcast_rows else disclosing, "term")
             .groupBy("copy", "start", "end", "number")
             .agg(F.bool_or(F.when(F.col("number"), F.col("remove_number")).otherwise(F.col("remove_word"))).alias("remove"))
-            .groupBy("copy").agg(F.collect_list(F.struct("start", F.lit(4).alias("place"), "end", "number", "remove")).alias("extra")))
+            .groupBy("copy").agg(F.collect_list(F.struct("start", F.lit(TERM_PLACE).alias("place"), "end", "number", "remove")).alias("extra")))
 
 
 def _extra(found: DataFrame, docs: DataFrame, text_col: str, strength: float, support: int, broadcast_rows: int) -> DataFrame:
@@ -328,30 +355,31 @@ def _extra(found: DataFrame, docs: DataFrame, text_col: str, strength: float, su
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 0.75, support: int = 3,
                  broadcast_rows: int = 100_000) -> DataFrame:
-    """``(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms)`` per row.
+    """``(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, n_keys, n_spans)`` per row.
 
-    ``spans`` lists ``kind:start:end`` of base matches and of disclosing terms
-    (kind ``term``, wherever they stand) by start, then kind; places are code points, the end is not
+    ``spans`` lists ``kind:start:end`` of base matches, of disclosing terms
+    (kind ``term``, wherever they stand) and of keys (kind ``key``) by start, then kind; places are code points, the end is not
     included.  A null or empty text has no spans; repeated rows give one row each, a null id
     stays null, other columns are not read, and an empty table gives no rows.  Beyond
     ``broadcast_rows`` texts with terms these are joined by a shuffle.
     """
     found = detect(docs, id_col, text_col)
     extra = _extra(found, docs, text_col, strength, support, broadcast_rows)
-    names = F.create_map(*[F.lit(x) for at, kind in enumerate((*KINDS, "term")) for x in (at, kind)])
+    names = F.create_map(*[F.lit(x) for at, kind in enumerate((*KINDS, "term", "key")) for x in (at, kind)])
     plain = F.transform("extra", lambda x: F.struct(x["start"].alias("start"), x["place"].alias("place"), x["end"].alias("end")))
-    joined = F.array_sort(F.concat("base", F.coalesce(plain, F.expr("array()").cast("array<struct<start:int,place:int,end:int>>"))))
+    joined = F.array_sort(F.concat("base", "keys", F.coalesce(plain, F.expr("array()").cast("array<struct<start:int,place:int,end:int>>"))))
     written = F.transform(joined, lambda x: F.concat_ws(":", names[x["place"]], x["start"].cast("string"), x["end"].cast("string")))
     return (found.join(extra, "copy", "left")
             .select(id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(written, ",").alias("spans"),
-                    F.coalesce(F.size("extra").cast("long"), F.lit(0).cast("long")).alias("n_terms")))
+                    F.coalesce(F.size("extra").cast("long"), F.lit(0).cast("long")).alias("n_terms"), F.size("keys").cast("long").alias("n_keys"),
+                    F.size(joined).cast("long").alias("n_spans")))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 0.75, support: int = 3,
              broadcast_rows: int = 100_000) -> DataFrame:
     """The same rows and columns with every span of the text replaced.
 
-    Base spans become ``<EMAIL>``, ``<IP>``, ``<CARD>`` or ``<PHONE>``; a disclosing
+    Base spans become ``<EMAIL>``, ``<IP>``, ``<CARD>`` or ``<PHONE>``, keys ``<KEY>``; a disclosing
     term becomes ``<WORD>`` or ``<NUMBER>``, or goes where that kind discloses too.
     Overlapping spans are replaced together by the mark of the first.  A null text
     stays null.  The table of term spans is broadcast only if counted to hold at most
@@ -375,7 +403,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
 
 
 def rewritten(text: str, extra: list[dict]) -> str:
-    spans = [(s, e, f"<{KINDS[k].upper()}>") for s, k, e in base_spans(text)]
+    base = base_spans(text)
+    spans = [(s, e, f"<{KINDS[k].upper()}>") for s, k, e in base] + [(s, e, "<KEY>") for s, e in key_spans(text, base)]
     spans += [(x["start"], x["end"], "" if x["remove"] else "<NUMBER>" if x["number"] else "<WORD>") for x in extra]
     out, last = [], 0
     for start, end, mark in sorted(spans):

@@ -422,3 +422,41 @@ def test_ranking_by_compression_finds_what_comparing_all_templates_finds(monkeyp
     found = notices_of(ranked, texts)
     assert found == notices_of(every, texts) and sum(map(len, found)) > len(texts) // 2
     assert notices_of(turned, texts) != found  # the ranking decides: with the wrong templates in front notices are lost
+
+
+KEYS = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
+
+
+def test_keys_are_found():
+    text = f'token = "{KEYS[0]}" and aaaaaaaaaaaaaaaaaaaaaaaa1234 plainwordthatisverylongindeed 12345678901234567890123 x{KEYS[1]}@b.org'
+    assert [text[s:e] for s, e in privacy.key_spans(text, privacy.base_spans(text))] == [KEYS[0]]
+    assert privacy.rewritten(text, []).startswith('token = "<KEY>" and aaaa')
+
+
+def test_terms_of_a_kind_equal_brute_force(spark):
+    random = np.random.default_rng(9)
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    texts = []
+    for i in range(600):
+        text = " ".join(random.choice(words, 12, p=np.arange(400, 0, -1) / np.arange(1, 401).sum()))
+        kind = i % 15
+        texts.append(f"{text} token = {KEYS[i // 15]} {random.choice(words)}" if kind == 0 else
+                     f"{text} write to {'contact' if i % 2 else 'mail'} u{i}@x{i}.org now" if kind == 1 else text)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in privacy.find_private(docs).collect()}
+    held = [{w.lower() for w in privacy.TERM.findall(re.sub(r"u\d+@x\d+\.org", " ", t)) if w not in KEYS} for t in texts]
+    strong = set()
+    for kind in (0, 1):
+        named = [i for i in range(600) if i % 15 == kind]
+        information = math.log2(600 / len(named))
+        for w in set().union(*held):
+            n_term, n_both = sum(w in h for h in held), sum(w in held[i] for i in named)
+            if n_both >= 3 and (certain := n_both - 2 * math.sqrt(n_both)) > 0 and math.log2(certain * 600 / (len(named) * n_term)) >= 0.75 * information:
+                strong.add(w)
+    assert {"token", "write", "to", "now"} <= strong
+    for i, text in enumerate(texts):
+        terms = [s.split(":") for s in found[i].spans.split(",") if s.startswith("term")]
+        assert {text[int(a):int(b)] for _, a, b in terms} == strong & held[i]
+        assert found[i].n_keys == (i % 15 == 0) and found[i].n_spans == len([s for s in found[i].spans.split(",") if s])
+        if i % 15 > 1:
+            assert found[i].spans == ""
