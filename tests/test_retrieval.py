@@ -288,3 +288,41 @@ def test_weights_are_map_only(spark, plan):
     docs, _ = frames(spark)
     text = plan(FE.tfidf_weights(docs, "doc_id", "text", FE.fit_vocabulary(docs, "doc_id", "text")), "simple")
     assert "Exchange" not in text and "Window" not in text
+
+
+def test_a_query_is_sent_to_nodes_not_to_leaves(spark, monkeypatch):
+    """Where nothing can be pruned, a query and its vector travel once per searched node, however many leaves that has."""
+    points = np.random.default_rng(8).normal(size=(300, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "doc_id long, v array<double>")
+    sent, compare = [], X.compare
+    monkeypatch.setattr(X, "compare", lambda asked, *rest: sent.append(asked.count()) or compare(asked, *rest))
+    for group in (1000, 150):
+        sent.clear()
+        monkeypatch.setattr(X, "GROUP_ROWS", group)
+        got = rows(R.retrieve_dense(df.withColumnRenamed("doc_id", "query_id"), df, "query_id", "v", "doc_id", "v", 3, limits=B.Limits(10, 10**9)))
+        assert got == dense_brute(points, 3)
+        assert sum(sent) <= (300 if group == 1000 else 300 * 64)
+    assert len(sent) == 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_leaves_searched_in_single_precision_give_the_exact_best(monkeypatch, seed):
+    rng, k = np.random.default_rng(seed), 4
+    monkeypatch.setattr(X, "_EXACT", 7 if seed % 2 else 1000)
+    monkeypatch.setattr(X, "_CHUNK_ROWS", (5, 60, 1000)[seed % 3])
+    vectors = rng.normal(size=(200, 8))
+    vectors[50:90] = vectors[3]  # more copies than k
+    vectors[90:110] = vectors[4] + rng.normal(scale=1e-9, size=(20, 8))  # nearer to each other than single precision tells
+    vectors[150] = 0
+    vectors /= np.where(np.linalg.norm(vectors, axis=1) == 0, 1, np.linalg.norm(vectors, axis=1))[:, None]
+    leaf = rng.integers(0, 12, 200)
+    asked = vectors[rng.permutation(200)[:70]]
+    scores = np.round(asked @ vectors.T, 9)
+    want = [np.lexsort((np.arange(200), -s))[:k] for s in scores]
+    least = np.where(rng.random(70) < 0.5, -np.inf, [s[w[-1]] for s, w in zip(scores, want)])
+    query, row, score = X.search_leaves(asked, vectors, leaf, least, k)
+    for q in range(70):
+        found = sorted((-round(s, 9), r) for r, s in zip(row[query == q], score[query == q]))
+        assert [-s for s, _ in found] == pytest.approx(scores[q, want[q]], abs=2e-9)
+        near = {r for r in range(90, 110)} | {4}
+        assert [r for _, r in found if r not in near] == [r for r in want[q] if r not in near]
