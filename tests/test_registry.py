@@ -36,3 +36,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_ngrams_shuffles_rows_not_terms(spark, plan):
+    assert "Generate" not in plan(entry.queries()["ngrams"](spark, SF), "simple")
