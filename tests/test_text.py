@@ -106,3 +106,16 @@ def test_cleaning_stays_in_the_jvm(spark, plan):
     df = spark.createDataFrame([("x",)], "t string")
     text = plan(df.select(T.clean_text(F.col("t")), T.negative_sentiment(F.col("t")), T.weak_label(F.col("t"))))
     assert "EvalPython" not in text and "Exchange" not in text
+
+
+def test_composition_reads_no_long_map():
+    """A map is read from end to end: the tables are dealt to buckets of a few entries."""
+    import json
+    for name in ("apart", "pairs", "ranks"):
+        buckets = json.loads(T._composition()[name])
+        assert isinstance(buckets, list) and max(map(len, buckets)) <= 16
+
+
+def test_a_letter_with_one_mark(spark):
+    texts = [a + chr(c) + "z" for a in "aeqZ-" for c in range(0x300, 0x370)]
+    assert apply(spark, T.compose, texts) == [unicodedata.normalize("NFC", t) for t in texts]
