@@ -326,3 +326,24 @@ def test_leaves_searched_in_single_precision_give_the_exact_best(monkeypatch, se
         assert [-s for s, _ in found] == pytest.approx(scores[q, want[q]], abs=2e-9)
         near = {r for r in range(90, 110)} | {4}
         assert [r for _, r in found if r not in near] == [r for r in want[q] if r not in near]
+
+
+def test_terms_are_counted_over_many_rows_at_once(spark, plan, monkeypatch):
+    """Whatever the slices, null and empty texts and rows whose ends must not make a bigram with the next row."""
+    texts = [*DOCS, None, "", "x", "the the the", "ab", "ab cd", *[f"ab w{i % 3} cd" for i in range(40)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for most, stop, ngrams in ((2_000_000, (), 2), (7, ("the", "is"), 2), (7, (), 1)):
+        monkeypatch.setattr(FE, "_TOKENS", most)
+        counts = [Counter(t for t in terms(x or "", stop) if ngrams == 2 or " " not in t) for x in texts]
+        got = FE.term_frequencies(docs, "doc_id", "text", stop, ngrams)
+        want = {t: (sum(t in c for c in counts), sum(c[t] for c in counts)) for c in counts for t in c}
+        assert {r["term"]: (r["df"], r["total"]) for r in got.collect()} == want
+        assert "Generate" not in plan(got)
+    assert "ArrowEvalPython" not in plan(got) and plan(got).count("MapInArrow") >= 1
+
+
+def test_weights_need_no_vectors(spark, plan):
+    docs, _ = frames(spark)
+    vocabulary = FE.fit_vocabulary(docs, "doc_id", "text", 20000)
+    weights = FE.tfidf_weights(docs, "doc_id", "text", vocabulary)
+    assert "UDF(" not in plan(weights, "extended")  # no stage that turns an array of terms into a vector
