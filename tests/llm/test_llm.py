@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from caselight.llm import chains, chat, decontaminate, language, licenses, neardup, neighbours, pieces, privacy, tokens, toxicity
+from caselight.llm import chains, chat, decontaminate, language, licenses, links, neardup, neighbours, pieces, privacy, tokens, toxicity
 
 SPM = public_tokenizers.path("piece_bpe_32k.model")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -460,3 +460,26 @@ def test_terms_of_a_kind_equal_brute_force(spark):
         assert found[i].n_keys == (i % 15 == 0) and found[i].n_spans == len([s for s in found[i].spans.split(",") if s])
         if i % 15 > 1:
             assert found[i].spans == ""
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_components_join_edges_inside_tasks_first(spark, monkeypatch, kind):
+    rng = np.random.default_rng(7)
+    chain = [(i, i + 1) for i in range(1, 400)]
+    loose = [(int(a), int(b)) for a, b in rng.integers(1000, 1300, (150, 2))]
+    edges = spark.createDataFrame(chain + loose, "a long, b long").repartition(4).selectExpr(f"cast(a AS {kind}) AS a", f"cast(b AS {kind}) AS b")
+    low = {}
+    for a, b in [*chain, *loose] * 400:
+        if a != b:
+            names = [n if kind != "string" else str(n) for n in (a, b)]
+            least = min(*[low.get(n, n) for n in names])
+            for n in names:
+                low[n] = least
+    written = []
+    monkeypatch.setattr(links, "settled", lambda df, own=links.settled: written.append(1) or own(df))
+    got = {r["id"]: r["label"] for r in links.components(edges).collect()}
+    assert got == low and len(written) == 2  # no rounds: one task holds them all
+    if kind == "string":
+        monkeypatch.setattr(links, "EDGES_PER_TASK", 300)
+        assert {r["id"]: r["label"] for r in links.components(edges).collect()} == low
+    assert links.components(edges.limit(0)).count() == 0
