@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from caselight.llm.links import settled
 from caselight.llm.words import worker_state
 from caselight.operators.ordering import sample_n
+from caselight.session import scratch_dir
 from caselight.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -32,6 +33,8 @@ ORDINARY = 0.95  # share of a class's texts that count by their full length
 DISCOUNTS = (0.75, 1.5, 3.0, 6.0, 12.0)  # above 1, rare sequences count through the shared backoff alone
 ORDER = 6
 SLICE = 1 << 19  # bytes of text looked at together
+BUCKETS = 256  # that the sequences are dealt to
+_CORPUS, _HELD = 2, 3  # kinds of counts beside the two classes
 _FIVE, _FOUR, _THREE = (1 << 40) - 1, (1 << 32) - 1, (1 << 24) - 1
 
 
@@ -87,6 +90,18 @@ def look_up(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def found(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of keys in a sorted table, 0 where absent, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(keys)), np.zeros(len(keys), bool)
+    at = look_up(table, keys)
+    return np.where(at >= 0, values[at], 0.0), at >= 0
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
 class ToxicityModel:
     """Log-likelihood differences of seen sequences of six and five bytes, and those of backing off from each context."""
 
@@ -98,20 +113,17 @@ class ToxicityModel:
     def differences(self, keys: np.ndarray) -> np.ndarray:
         """Log-likelihood difference at each byte."""
         unique, place = np.unique(keys, return_inverse=True)
-        seen = look_up(self.six, unique)
-        value = np.where(seen >= 0, self.of_six[seen], 0.0)
-        rest = np.flatnonzero(seen < 0)
+        value, seen = found(self.six, self.of_six, unique)
+        rest = np.flatnonzero(~seen)
         low = unique[rest]
-        context = look_up(self.from_five, low >> 8)
-        back = np.where(context >= 0, self.of_from_five[context], 0.0)
-        seen = look_up(self.five, low & _FIVE)
-        context = look_up(self.from_four, (low & _FIVE) >> 8)
-        back += np.where(seen >= 0, self.of_five[seen], np.where(context >= 0, self.of_from_four[context], 0.0))
-        value[rest] = back
+        back, _ = found(self.from_five, self.of_from_five, low >> 8)
+        five, seen = found(self.five, self.of_five, low & _FIVE)
+        four, _ = found(self.from_four, self.of_from_four, (low & _FIVE) >> 8)
+        value[rest] = back + np.where(seen, five, four)
         return value[place]
 
     def score(self, difference: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.offset, -35, 35)))
+        return _logistic(self.slope * difference + self.offset)
 
 
 def _distinct_five(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,65 +195,116 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                  rows: int = ROWS_PER_CLASS) -> ToxicityModel | None:
     """Learn from labelled rows (a sample of ``rows`` per class, each with its whole text) and from the texts of all documents.
 
-    A quarter of the sample is kept for the discount and the logistic curve.  Texts stay in
-    the tasks: the driver gets counted sequences, so a long text costs it only its distinct ones.
+    A quarter of the sample is kept for the discount and the logistic curve.  Texts and counts stay in
+    the tasks: all that is asked of a sequence lies in the bucket of its three bytes before the last, so buckets are
+    weighed apart.  The driver gets two figures per text kept, and of the model what differs from backing off.
     Returns None when a class has no text.  Rows with a null id are not labelled;
     null and empty texts add nothing.
     """
     sample = bounded_sample(docs, labels, id_col, text_col, label_col, rows)
     texts = settled(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
                     .join(F.broadcast(sample), "id").select("text", "label", "fold", "weight"))
-    grams = (texts.where("fold > 0").select("text", "label", "weight").mapInArrow(_counted, "label int, key long, n double")
-             .groupBy("label", "key").agg(F.sum("n").alias("n"))).toArrow()  # distinct sequences of the sample
-    label, key, n = (grams.column(c).to_numpy() for c in ("label", "key", "n"))
-    del grams
-    if len(np.unique(label)) < 2:
+    grams = _written(texts.where("fold > 0").select("text", "label", "weight").mapInArrow(_counted, "label int, key long, n double")
+                     .groupBy("label", "key").agg(F.sum("n").alias("n")))  # distinct sequences of the sample
+    if grams.select("label").distinct().count() < 2:
         return None
-    kept = (texts.where("fold = 0").select(F.monotonically_increasing_id().alias("row"), "text", "label")
-            .mapInArrow(_counted_each, "row long, label int, key long, n int")).toArrow()
-    held_row, held_key, held_n = (kept.column(c).to_numpy() for c in ("row", "key", "n"))
-    _, first, held_row = np.unique(held_row, return_index=True, return_inverse=True)
-    truth = kept.column("label").to_numpy()[first].astype(float)
-    held_row = held_row.astype(np.int32)
-    size = np.bincount(held_row, held_n, len(truth))
-    del kept
-    five = np.unique(key & _FIVE)
-    shared = _shared(docs.select(F.col(text_col).cast("string")), five)
-    best, counted = None, _arranged(label, key, n, five, shared)
-    del label, key, n
-    for discount in DISCOUNTS:
-        model = _model(*counted, discount)
-        x = np.bincount(held_row, held_n * model.differences(held_key), len(truth)) / np.maximum(size, 1)
-        model.slope, model.offset = _curve(x, truth)
-        p = np.clip(model.score(x), 1e-9, 1 - 1e-9)
+    kept = _written(texts.where("fold = 0").select(F.monotonically_increasing_id().alias("row"), "text", "label")
+                    .mapInArrow(_counted_each, "row long, label int, key long, n int"))
+    none = F.lit(None).cast("long").alias("row")
+    counts = (grams.select(F.col("label").alias("kind"), none, "key", "n")
+              .unionByName(_follows(docs.select(F.col(text_col).cast("string"))).select(F.lit(_CORPUS).alias("kind"), none, F.col("four").alias("key"), F.col("n").cast("double").alias("n"))))
+    held = kept.where("n > 0").select(F.lit(_HELD).alias("kind"), "row", "key", F.col("n").cast("double").alias("n"))
+    sums = (_by_bucket(counts.unionByName(held)).applyInArrow(_tried, "row long, sums array<double>")
+            .groupBy("row").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(len(DISCOUNTS))]).alias("sums")))
+    tried = (kept.groupBy("row", "label").agg(F.sum("n").alias("size")).join(sums, "row", "left").orderBy("row")
+             .select("label", "size", *[F.coalesce(F.col("sums")[i], F.lit(0.0)).alias(f"x{i}") for i in range(len(DISCOUNTS))])).toArrow()  # texts kept
+    truth, size = (tried.column(c).to_numpy().astype(float) for c in ("label", "size"))
+    best = None
+    for i, discount in enumerate(DISCOUNTS):
+        x = tried.column(f"x{i}").to_numpy() / np.maximum(size, 1)
+        slope, offset = _curve(x, truth)
+        p = np.clip(_logistic(slope * x + offset), 1e-9, 1 - 1e-9)
         loss = -np.log(p[truth == 1]).mean() - np.log(1 - p[truth == 0]).mean() if 0 < truth.sum() < len(truth) else 0.0
         if best is None or loss < best[0]:
-            best = loss, model
-    return best[1]
-
-
-def _shared(texts: DataFrame, five: np.ndarray) -> np.ndarray:
-    """The corpus-wide chance of the last byte of each sequence after the three before it, by continuation counts.
-
-    Of the counts of the whole corpus only those of the sample's sequences come to the driver.
-    """
-    four = np.unique(five & _FOUR)
-    follows = settled(texts.mapInArrow(_distinct_five, "key long").distinct()
-                      .groupBy(F.expr(f"key & {_FOUR}").alias("four")).agg(F.count("*").alias("n")))
-    spark = texts.sparkSession
-    wanted = spark.createDataFrame(pa.table({"four": four}))
-    counts = follows.join(wanted, "four").toArrow()
-    totals = (follows.groupBy(F.shiftright("four", 8).alias("three")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-              .join(wanted.select(F.shiftright("four", 8).alias("three")).distinct(), "three").toArrow())
-    count, total, kinds = np.zeros(len(four)), np.ones(len(four)), np.ones(len(four))
-    count[np.searchsorted(four, counts.column("four").to_numpy())] = counts.column("n").to_numpy()
-    three = totals.column("three").to_numpy()
-    order = np.argsort(three)
-    at = look_up(three[order], four >> 8)
-    total = np.where(at >= 0, totals.column("total").to_numpy()[order][at], 1) if len(three) else total
-    kinds = np.where(at >= 0, totals.column("kinds").to_numpy()[order][at], 1) if len(three) else kinds
-    chance = (np.maximum(count - 0.75, 0) + 0.75 * kinds / 256) / total
-    return chance[np.searchsorted(four, five & _FOUR)]
+            best = loss, discount, slope, offset
+    _, discount, slope, offset = best
+    told = _written(_by_bucket(counts).applyInArrow(_telling(discount), "part int, key long, value double"))
+    arrays = []
+    for part in range(4):
+        table = told.where(F.col("part") == part).select("key", "value").toArrow()
+        key, value = table.column("key").to_numpy(), table.column("value").to_numpy()
+        del table
+        order = np.argsort(key)
+        arrays += [key[order], value[order]]
+    model = ToxicityModel(*arrays)
+    model.slope, model.offset = slope, offset
+    return model
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """The frame as files of the shared folder: columns of small numbers take far less there than in a checkpoint."""
+    path = scratch_dir(df.sparkSession, "toxicity")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _follows(texts: DataFrame) -> DataFrame:
+    """``(four, n)``: how many different bytes stand before each sequence of four bytes of the whole corpus."""
+    return _written(texts.mapInArrow(_distinct_five, "key long").distinct()
+                    .groupBy(F.expr(f"key & {_FOUR}").alias("four")).agg(F.count("*").alias("n")))
+
+
+def _by_bucket(counts: DataFrame):
+    three = F.expr(f"shiftright(key, 8) & {_THREE}")
+    return counts.withColumn("bucket", F.pmod(F.xxhash64(three), F.lit(BUCKETS)).cast("int")).groupBy("bucket")
+
+
+def _bucket_counts(table: pa.Table):
+    """The sample's counts of a bucket, arranged, and its rows of held-out texts."""
+    kind, key, n = (table.column(c).to_numpy() for c in ("kind", "key", "n"))
+    mine, corpus, held = kind < 2, kind == _CORPUS, kind == _HELD
+    five = np.unique(key[mine] & _FIVE)
+    counted = _arranged(kind[mine], key[mine], n[mine], five, _shared(five, key[corpus], n[corpus]))
+    return counted, table.column("row").filter(pa.array(held)).to_numpy(), key[held], n[held]
+
+
+def _tried(table: pa.Table) -> pa.Table:
+    """What the held-out texts' sequences of a bucket add to each text's difference, for every discount."""
+    counted, row, key, n = _bucket_counts(table)
+    rows, at = np.unique(row, return_inverse=True)
+    sums = [np.bincount(at, n * _model(*counted, discount).differences(key), len(rows)) for discount in DISCOUNTS]
+    flat = pa.array(np.stack(sums, 1).ravel(), pa.float64())  # without rows, bincount tells whole numbers
+    return pa.table({"row": pa.array(rows, pa.int64()), "sums": pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(DISCOUNTS), pa.int32()), flat)})
+
+
+def _telling(discount: float):
+    """A bucket's part of the model, without what gives the same by backing off: sequences that no class counts above
+    the discount, and contexts that both classes discount alike."""
+    def run(table: pa.Table) -> pa.Table:
+        counted = _bucket_counts(table)[0]
+        model, (six, *_, classes, _) = _model(*counted, discount), counted
+        often_six, often_five = np.zeros(len(six), bool), np.zeros(len(model.five), bool)
+        for mine, n, follows in classes:
+            often_six[mine[n > discount]] = True
+            often_five |= follows > discount
+        parts = [(six[often_six], model.of_six[often_six])]
+        parts.append((model.from_five[model.of_from_five != 0], model.of_from_five[model.of_from_five != 0]))
+        parts.append((model.five[often_five], model.of_five[often_five]))
+        parts.append((model.from_four[model.of_from_four != 0], model.of_from_four[model.of_from_four != 0]))
+        return pa.table({"part": pa.array(np.repeat(np.arange(4, dtype=np.int32), [len(k) for k, _ in parts])),
+                         "key": pa.array(np.concatenate([k for k, _ in parts])), "value": pa.array(np.concatenate([v for _, v in parts]), pa.float64())})
+    return run
+
+
+def _shared(five: np.ndarray, four: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The corpus-wide chance of the last byte of each sequence after the three before it, by continuation counts."""
+    order = np.argsort(four)
+    four, n = four[order], n[order]
+    three, at = np.unique(four >> 8, return_inverse=True)
+    total, kinds = np.append(np.bincount(at, n, len(three)), 1.0), np.append(np.bincount(at, minlength=len(three)), 1)
+    count = np.append(n, 0.0)[look_up(four, five & _FOUR)]
+    context = look_up(three, (five & _FOUR) >> 8)
+    return (np.maximum(count - 0.75, 0) + 0.75 * kinds[context] / 256) / total[context]
 
 
 def _arranged(label, key, n, five, shared) -> tuple:

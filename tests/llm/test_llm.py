@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -309,6 +310,28 @@ def test_a_long_labelled_text_ends_no_class(spark):
     assert min(toxic) > max(ordinary) and sum(s >= 0.7 for s in toxic) >= 0.8 * len(toxic)
 
 
+def test_toxicity_counts_stay_in_the_tasks(spark, monkeypatch):
+    """The driver gets no row per sequence of the sample, and what it leaves out of the model changes no difference."""
+    random = np.random.default_rng(10)
+    rows = [(i, " ".join(str(x) for x in random.choice(["gragh", "kara", "lolo", "mivi"], 30)) + f" {chr(97 + i % 26)}{i * 7919}x" * 3, int(i % 3 == 0)) for i in range(200)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    got, plain = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: got.append(plain(self)) or got[-1])
+    monkeypatch.setattr(toxicity, "DISCOUNTS", (3.0,))
+    model = toxicity.fit_toxicity(docs, labels)
+    sample = {r.id: r for r in toxicity.bounded_sample(docs, labels, "doc_id", "text", "toxic", 4_000).collect()}
+    batch = [pa.RecordBatch.from_arrays([pa.array([t for i, t, _ in rows if sample[i].fold > 0 and sample[i].label == c]), pa.array([c] * sum(r.fold > 0 and r.label == c for r in sample.values())),
+                                         pa.array([r.weight for i, _, _ in rows if (r := sample[i]).fold > 0 and r.label == c])], ["text", "label", "weight"]) for c in (0, 1)]
+    counts = pa.Table.from_batches(toxicity._counted(iter(batch))).group_by(["label", "key"]).aggregate([("n", "sum")])
+    label, key, n = (counts.column(c).to_numpy() for c in ("label", "key", "n_sum"))
+    assert max(t.num_rows for t in got) < len(key) / 2
+    every = np.concatenate([k for _, _, k, _ in toxicity.sequences(pa.array([t for _, t, _ in rows]))])
+    five, corpus = np.unique(key & ((1 << 40) - 1)), np.unique(every & ((1 << 40) - 1)) & ((1 << 32) - 1)
+    whole = toxicity._model(*toxicity._arranged(label, key, n, five, toxicity._shared(five, *np.unique(corpus, return_counts=True))), 3.0)
+    assert len(model.six) < len(whole.six) / 2
+    assert model.differences(every) == pytest.approx(whole.differences(every), abs=1e-12)
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
 
