@@ -25,9 +25,13 @@ _U = np.uint64
 
 
 def worker_state(key: str, make: Callable):
-    """A value that stays in this Python worker from task to task."""
-    held = sys.modules.setdefault("_caselight_worker", types.ModuleType("_caselight_worker")).__dict__
+    """A value that stays in this Python worker from task to task, until a task of another kind asks for its own.
+
+    Workers outlive a stage, so tables of earlier stages must not lie beside those of the present one.
+    """
+    held = sys.modules.setdefault("_caselight_worker", types.ModuleType("_caselight_worker")).__dict__.setdefault("held", {})
     if key not in held:
+        held.clear()
         held[key] = make()
     return held[key]
 

@@ -310,6 +310,23 @@ def test_a_long_labelled_text_ends_no_class(spark):
     assert min(toxic) > max(ordinary) and sum(s >= 0.7 for s in toxic) >= 0.8 * len(toxic)
 
 
+def test_a_worker_holds_the_tables_of_one_stage(monkeypatch):
+    import sys
+    import weakref
+
+    from caselight.llm.words import worker_state
+
+    class Tables:
+        pass
+
+    monkeypatch.delitem(sys.modules, "_caselight_worker", raising=False)
+    first = weakref.ref(worker_state("codec", Tables))
+    assert first() is not None and worker_state("codec", Tables) is first()
+    second = worker_state("word tables", Tables)
+    assert first() is None and worker_state("word tables", Tables) is second
+    sys.modules.pop("_caselight_worker")
+
+
 def test_toxicity_counts_stay_in_the_tasks(spark, monkeypatch):
     """The driver gets no row per sequence of the sample, and what it leaves out of the model changes no difference."""
     random = np.random.default_rng(10)
