@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from caselight.operators import blocks as B
+from caselight.operators import impact as I
 from caselight.operators import products as M
 from caselight.operators import retrieval as R
 
@@ -48,3 +49,20 @@ def test_many_messages_meet_every_block_in_one_pass(spark, plan):
     assert "_homes" not in plan(cut, "simple")
     rows = lambda f: [(r[0], r[1], r[2], round(r[3], 9)) for r in f.orderBy("query_id", "rank").collect()]
     assert rows(cut) == rows(whole)
+
+
+def test_nothing_is_repeated_per_block(spark, plan, monkeypatch):
+    """Many queries and a corpus of many blocks: each side is dealt once, tasks read pairs of packed blocks from the checkpoint."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{x}" for x in (rng.random(n) ** 2 * 200).astype(int))
+    docs = spark.createDataFrame([(i, words(6)) for i in range(200)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, words(7)) for i in range(M.MANY)], "query_id long, text string")
+    monkeypatch.setattr(I, "_PACKED", 300)  # more entries in a block than expected: several rows
+    search = lambda q, limits: R.retrieve_sparse(q, docs, "query_id", "text", "doc_id", "text", 2, limits=limits)
+    cut, whole = search(asked, B.Limits(20, 10**6)), search(asked, None)
+    text = plan(cut, "simple")
+    assert "_qb" not in text and "CartesianProduct" in text and text.index("CartesianProduct") > text.rindex("Exchange")
+    rows = lambda f: [(r[0], r[1], r[2], round(r[3], 9)) for r in f.orderBy("query_id", "rank").collect()]
+    assert rows(cut) == rows(whole)
+    with pytest.raises(Exception, match="values of query_id repeat"):
+        search(asked.unionByName(asked.limit(1)), B.Limits(20, 10**6)).count()
